@@ -1,0 +1,59 @@
+"""Global prefix sums over a range-partitioned order."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+
+from strandline.llm.scratch import stored
+
+
+def global_prefix(df: DataFrame, order: Sequence[str | Column], measures: Sequence[str]) -> DataFrame:
+    """Add ``row_before`` and, for each long column m of ``measures``,
+    ``m_before``: how many rows, and how much of m, come before a row in ``order``.
+
+    Rows are range-partitioned and sorted, each partition adds up its own rows as
+    they stream by, and the totals of the partitions (one row each) give every
+    partition's start.  ``order`` should be total; equal rows keep any order.
+    A hot leading key is split by the later keys of ``order``.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    names = list(df.columns)
+    extra = [StructField("part__", IntegerType()), StructField("row_before", LongType())]
+    extra += [StructField(f"{m}_before", LongType()) for m in measures]
+    schema = StructType(list(df.schema.fields) + extra)
+
+    def local(batches):
+        part, rows, sums = TaskContext.get().partitionId(), 0, dict.fromkeys(measures, 0)
+        for b in batches:
+            n = b.num_rows
+            arrays = [b.column(i) for i in range(len(names))]
+            arrays += [pa.array(np.full(n, part, np.int32)), pa.array(np.arange(rows, rows + n))]
+            rows += n
+            for m in measures:
+                v = b.column(names.index(m)).to_numpy(zero_copy_only=False).astype(np.int64)
+                arrays.append(pa.array(np.cumsum(v) - v + sums[m]))
+                sums[m] += int(v.sum())
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    rows = stored(ordered.mapInArrow(local, schema), "prefix")
+    totals = rows.groupBy("part__").agg(F.count(F.lit(1)).alias("n__"), *[F.sum(m).alias(f"{m}__") for m in measures])
+    before = Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(
+        "part__",
+        F.coalesce(F.sum("n__").over(before), F.lit(0)).alias("row_start__"),
+        *[F.coalesce(F.sum(f"{m}__").over(before), F.lit(0)).alias(f"{m}_start__") for m in measures],
+    )  # one row for each partition of the sort
+    return rows.join(F.broadcast(starts), "part__").select(
+        *names,
+        (F.col("row_before") + F.col("row_start__")).alias("row_before"),
+        *[(F.col(f"{m}_before") + F.col(f"{m}_start__")).alias(f"{m}_before") for m in measures],
+    )

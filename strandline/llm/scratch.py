@@ -1,0 +1,31 @@
+"""Places for intermediate tables that every executor can read."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+from functools import lru_cache
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder named in ``spark.checkpoint.dir``; where it is unset
+    (local tests) a temporary folder of this machine."""
+    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+
+
+@lru_cache(maxsize=1)
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="strandline-")
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back: the
+    lineage ends there, and a lost executor costs no recomputation of it."""
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    schema = StructType.fromJson(df.schema.jsonValue())
+    return spark.read.schema(schema).parquet(path)
