@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,17 +23,46 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_shards(table(spark, sf_dir, "documents"), 24)
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.pfp import removal_digest
+
+    return removal_digest(table(spark, sf_dir, "documents"), 400)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandline.llm.packing import packed_sequences
 
     return packed_sequences(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.langid import language_model, predicted_languages
+
+    docs = table(spark, sf_dir, "documents")
+    found = predicted_languages(docs, language_model(docs))
+    return found.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.toxicity import fitted_model, toxicity_scores
+
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity_scores(docs, fitted_model(docs, table(spark, sf_dir, "labels")))
+    held_out = (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("held_out")
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandline.llm.mixing import mixed_sources
 
     return mixed_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sharding, op5_packing, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_minhash, op4_suffix_dedup, op5_packing, op8_language_id, op9_mixing, op10_toxicity)}
 ORACLES: dict[str, str] = {}
