@@ -41,6 +41,18 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_sequences(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.webp import media_digest
+
+    return media_digest(table(spark, sf_dir, "documents"))
+
+
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.spann import nearest_neighbours
+
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandline.llm.langid import language_model, predicted_languages
 
@@ -64,5 +76,5 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_minhash, op4_suffix_dedup, op5_packing, op8_language_id, op9_mixing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_minhash, op4_suffix_dedup, op5_packing, op6_media, op7_neighbours, op8_language_id, op9_mixing, op10_toxicity)}
 ORACLES: dict[str, str] = {}

@@ -1,9 +1,11 @@
 """Toxic spans by a linear-chain conditional random field.
 
 Tokens of labelled documents get labels by distant supervision: in a toxic document the
-words that mark toxic documents, in a clean one none.  The field has two states (clean,
-toxic); a token's feature is the level of its word's association with toxic documents,
-so the weights are one row a level, and a 2 x 2 transition matrix.  Forward-backward
+words that mark toxic documents, in a clean one none.  A mark is a whole word or a stem
+(its first 3 to 5 letters) that many toxic documents hold, in many different contexts so
+that copies of one text don't count.  The field has two states (clean, toxic); a token's
+feature is the highest level of association of its word and stems, so the weights are
+one row a level and a 2 x 2 transition matrix, fitted to the token labels.  Forward-backward
 marginals give the toxic spans and, summed up by a logistic curve, the document's score.
 """
 
@@ -16,12 +18,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 WORD = re.compile(r"[^\W_]+")
 LEVELS = 12
 #: The fit sees about this many labelled documents of each class, chosen by hash of the id.
 FIT_ROWS = 4_000
 SPAN_AT = 0.5
+STEMS = (3, 4, 5)
+#: Levels are steps of half a unit of log-odds; words and stems below this one are neutral.
+MARK = 6
+#: Tokens of a stretch that the fit walks at once.
+STRETCH = 32
+REMEMBERED = 500_000
+SPAN = StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])
 
 
 @dataclass
@@ -38,9 +48,16 @@ class ToxicModel:
         emit, move = np.exp(self.emission), np.exp(self.transition)
         return forward_backward(levels, emit, move)
 
-    def levels_of(self, text: str) -> np.ndarray:
-        get = self.level.get
-        return np.array([get(w, NEUTRAL) for w in WORD.findall(text.lower())], np.int8)
+    def levels_of(self, words: list[str], memo: dict[str, int]) -> np.ndarray:
+        missing = {w for w in words if w not in memo}
+        for w in missing:
+            memo[w] = max(self.level.get(k, NEUTRAL) for k in features(w))
+        return np.array([memo[w] for w in words], np.int8)
+
+
+def features(word: str) -> list[str]:
+    """The word and its stems, as keys."""
+    return [f"={word}", *(word[:k] for k in STEMS if len(word) > k)]
 
 
 #: Level of words that the fit has not met or that tell nothing.
@@ -86,64 +103,80 @@ def forward_backward(docs: list[np.ndarray], emit: np.ndarray, move: np.ndarray)
 
 
 def _summary(p: np.ndarray) -> float:
-    """Expected number of toxic tokens, on a log scale."""
-    return float(np.log1p(p.sum()))
+    """Expected number of toxic tokens within the spans, on a log scale."""
+    return float(np.log1p(p[p >= SPAN_AT].sum()))
+
+
+def likelihood_gradient(grid: np.ndarray, tags: np.ndarray, emission: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient of the log-likelihood of ``tags`` over chains of one length (time x chain)."""
+    n, m = grid.shape
+    emit, move = np.exp(emission), np.exp(transition)
+    e = emit[grid]  # n x m x 2
+    alpha, beta = np.empty((n, m, 2)), np.ones((n, m, 2))
+    alpha[0] = e[0]
+    for t in range(1, n):
+        alpha[t] = (alpha[t - 1] @ move) * e[t]
+        alpha[t] /= alpha[t].sum(axis=1, keepdims=True)
+    for t in range(n - 2, -1, -1):
+        beta[t] = (e[t + 1] * beta[t + 1]) @ move.T
+        beta[t] /= beta[t].sum(axis=1, keepdims=True)
+    node = alpha * beta
+    node /= node.sum(axis=2, keepdims=True)
+    pair = alpha[:-1, :, :, None] * move * (e[1:] * beta[1:])[:, :, None, :]
+    pair /= pair.sum(axis=(2, 3), keepdims=True)
+    g_e, g_t = np.zeros_like(emission), np.zeros_like(transition)
+    np.add.at(g_e, (grid, tags), 1)
+    np.add.at(g_t, (tags[:-1], tags[1:]), 1)
+    for state in (0, 1):
+        g_e[:, state] -= np.bincount(grid.ravel(), node[:, :, state].ravel(), len(emission))
+    return g_e, g_t - pair.sum(axis=(0, 1))
 
 
 def fit(texts: list[str], toxic: list[int], rounds: int = 150) -> ToxicModel:
-    """Fit on labelled texts: word levels, then the field by gradient ascent on its
-    likelihood, then the curve by Newton's method."""
-    y = np.array(toxic)
+    """Fit on labelled texts: levels of words and stems, then the field by gradient ascent
+    on the likelihood of the token labels, then the curve by Newton's method."""
+    y = np.array(toxic, int)
     words = [WORD.findall(t.lower()) for t in texts]
     seen: dict[str, list[int]] = {}
     for ws, label in zip(words, y, strict=True):
-        for w in set(ws):
-            seen.setdefault(w, [0, 0])[label] += 1
+        for key in {k for w in set(ws) for k in features(w)}:
+            seen.setdefault(key, [0, 0])[label] += 1
     n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    level: dict[str, int] = {}
-    marks = set()
-    least = max(3, n1 // 400)
-    for w, (c0, c1) in seen.items():
-        lift = np.log((c1 + 0.5) / (n1 + 1)) - np.log((c0 + 0.5) / (n0 + 1))
-        k = int(np.clip(np.floor(lift / 0.5), 0, LEVELS - 1))
-        if c1 >= least and k > 0 and lift * np.sqrt(c1) > 3:
-            level[w] = k
-            if lift > 1.5:
-                marks.add(w)
+    least = max(3, n1 // 100)
+    lift = {k: np.log((c1 + 0.5) / (n1 + 1)) - np.log((c0 + 0.5) / (n0 + 1)) for k, (c0, c1) in seen.items() if c1 >= least}
+    lift = {k: v for k, v in lift.items() if v >= MARK / 2}
+    contexts: dict[str, set] = {k: set() for k in lift}
+    for ws, label in zip(words, y, strict=True):
+        if label:
+            for i, w in enumerate(ws):
+                for k in features(w):
+                    if k in contexts:
+                        contexts[k].add((ws[i - 1] if i else "", ws[i + 1] if i + 1 < len(ws) else ""))
+    level = {k: int(np.clip(v / 0.5, 1, LEVELS - 1)) for k, v in lift.items() if len(contexts[k]) >= least}
     model = ToxicModel(level, np.zeros((LEVELS, 2)), np.zeros((2, 2)), (1.0, 0.0))
-    grids = [np.array([level.get(w, NEUTRAL) for w in ws], np.int8) for ws in words]
-    tags = [np.array([label and w in marks for w in ws], np.int8) for ws, label in zip(words, y, strict=True)]
-    use = [i for i in range(len(texts)) if len(grids[i]) and (y[i] or grids[i].any())][:2000]
-    use += [i for i in range(len(texts)) if len(grids[i]) and not y[i]][:500]
-    emission, transition = model.emission, model.transition
-    want_e, want_t, total = np.zeros((LEVELS, 2)), np.zeros((2, 2)), 0
-    for i in use:
-        np.add.at(want_e, (grids[i], tags[i]), 1)
-        np.add.at(want_t, (tags[i][:-1], tags[i][1:]), 1)
-        total += len(grids[i])
-    if total:
-        # state 0 of the neutral level is the reference; smoothing keeps weights finite
-        p_state = (want_e + 0.1) / (want_e + 0.1).sum(axis=1, keepdims=True)
-        emission[:] = np.log(p_state)
-        emission -= emission[:, :1]
-        p_move = (want_t + 1) / (want_t + 1).sum(axis=1, keepdims=True)
-        transition[:] = np.log(p_move)
-        transition -= np.log(p_state.mean(axis=0))[None, :] * 0
-        sample = use[:: max(1, len(use) // 400)]
-        for _ in range(min(rounds, 30)):
-            got_e, got_t, ref_e, ref_t = np.zeros((LEVELS, 2)), np.zeros((2, 2)), np.zeros((LEVELS, 2)), np.zeros((2, 2))
-            marg = model.marginals([grids[i] for i in sample])
-            for i, p in zip(sample, marg, strict=True):
-                np.add.at(got_e[:, 1], grids[i], p)
-                np.add.at(ref_e, (grids[i], tags[i]), 1)
-                got_t[1, 1] += (p[:-1] * p[1:]).sum()
-                np.add.at(ref_t, (tags[i][:-1], tags[i][1:]), 1)
-            scale = ref_e.sum(axis=1) + 5
-            emission[:, 1] += 0.5 * (ref_e[:, 1] - got_e[:, 1]) / scale - 0.002 * emission[:, 1]
-            transition[1, 1] += 0.2 * (ref_t[1, 1] - got_t[1, 1]) / (ref_t[1].sum() + 5)
+    memo: dict[str, int] = {}
+    grids = [model.levels_of(ws, memo) for ws in words]
+    tags = [(g >= MARK).astype(np.int8) * np.int8(label) for g, label in zip(grids, y, strict=True)]
+
+    # equal stretches of tokens, half of them with a toxic one
+    parts: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
+    for g, t in zip(grids, tags, strict=True):
+        for i in range(0, len(g), STRETCH):
+            pad = (0, STRETCH - len(g[i : i + STRETCH]))
+            parts[int(t[i : i + STRETCH].any())].append((np.pad(g[i : i + STRETCH], pad), np.pad(t[i : i + STRETCH], pad)))
+    some = parts[1][:3000] + parts[0][: max(100, min(3000, len(parts[1])))]
+    if some:
+        grid, tag = np.array([p[0] for p in some]).T, np.array([p[1] for p in some]).T
+        theta = [model.emission, model.transition]
+        scale = [np.full_like(x, 1.0) for x in theta]
+        for _ in range(rounds):
+            for x, g, s in zip(theta, likelihood_gradient(grid, tag, *theta), scale, strict=True):
+                g = g - 0.1 * x
+                s += g * g
+                x += 0.5 * g / np.sqrt(s)
     x = np.array([_summary(p) for p in model.marginals(grids)])
     a, c = 1.0, 0.0
-    for _ in range(50):
+    for _ in range(50 if len(y) else 0):
         q = 1 / (1 + np.exp(-np.clip(a * x + c, -30, 30)))
         w = q * (1 - q) + 1e-6
         g = np.array([((y - q) * x).sum() - 0.01 * a, (y - q).sum() - 0.01 * c])
@@ -176,18 +209,21 @@ def toxicity_scores(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id",
     the score of a document without toxic words."""
     keep = keep or [id_col]
     rows = docs.select(*keep, F.col(text_col).alias("text__"))
-    schema = docs.select(*keep).schema.add("score", "double").add("spans", "array<struct<start:int,end:int>>")
+    schema = StructType([*docs.select(*keep).schema.fields, StructField("score", DoubleType()), StructField("spans", ArrayType(SPAN))])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [*keep, "score", "spans"]
 
     def score(batches):
         m = shared.value
         a, c = m.curve
+        memo: dict[str, int] = {}
         for b in batches:
             for lo in range(0, b.num_rows, 2000):
                 part = b.slice(lo, 2000)
                 texts = [t or "" for t in part.column(part.num_columns - 1).to_pylist()]
-                p = m.marginals([m.levels_of(t) for t in texts])
+                if len(memo) > REMEMBERED:
+                    memo.clear()
+                p = m.marginals([m.levels_of(WORD.findall(t.lower()), memo) for t in texts])
                 scores, spans = [], []
                 for t, q in zip(texts, p, strict=True):
                     scores.append(1 / (1 + np.exp(-np.clip(a * _summary(q) + c, -30, 30))))
