@@ -105,7 +105,7 @@ def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (x * q).sum(axis=1) / (np.sqrt((q * q).sum()) * np.sqrt((x * x).sum(axis=1)))
 
 
-def nearest_neighbours(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vec_col: str = "embedding", replicas: int = 6, probes: int = 24, boundary: float = 1.25, ratio: float = 1.8) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vec_col: str = "embedding", replicas: int = 6, probes: int = 48, boundary: float = 1.25, ratio: float = 3.0) -> DataFrame:
     """(query_id, rank, vec_id, score): for each vector whose id is divisible by ``every``
     the ``k`` nearest others found, by cosine, ties to the smaller id.
 
