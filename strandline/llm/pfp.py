@@ -33,66 +33,85 @@ TRIGGER = 8
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def triggers(data: bytes, modulus: int) -> np.ndarray:
-    """Ends e of all places where the hash of data[e - TRIGGER : e] is 0 mod ``modulus``."""
-    n = len(data)
-    if n < TRIGGER:
-        return np.empty(0, np.int64)
+def rolled_hashes(data: bytes) -> np.ndarray:
+    """The hash of data[i : i + TRIGGER] for every i."""
+    if len(data) < TRIGGER:
+        return np.empty(0, np.uint64)
     rolled = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), TRIGGER)
-    word = np.ascontiguousarray(rolled).view("<u8")[:, 0]
-    mixed = (word * _MIX) >> np.uint64(32)
-    return np.flatnonzero(mixed % np.uint64(modulus) == 0) + TRIGGER
+    return (np.ascontiguousarray(rolled).view("<u8")[:, 0] * _MIX) >> np.uint64(32)
 
 
-def parse_rows(data: bytes, window: int) -> list[tuple[int, int, int, int]]:
-    """(kind, e, s, t): the windows that start at s..t belong to the trigger that ends at e.
+def parse_rows(data: bytes, window: int) -> list[tuple[int, int, int]]:
+    """(e, s, t): the windows that start at s..t belong to the trigger that ends at e.
 
-    Every window start lies in exactly one row.  kind 1: at most 3/4 of the window lies
-    before e; kind 2: more does; kind 3: the window (s = t) holds no whole trigger.
+    Every window start lies in exactly one row.  A window belongs to the first trigger
+    that it wholly holds; a window that holds none (repetitive text) to the first place
+    of the least hash in it.  Either depends on the window's bytes alone.  Rows are cut
+    where more than 3/4 of the window lies before e.
     """
-    last = len(data) - window
+    last, split = len(data) - window, window * 3 // 4
+    if last < 0:
+        return []
+    hashes = rolled_hashes(data)
+    ends = (np.flatnonzero(hashes % np.uint64(max(2, window * 4 // 25)) == 0) + TRIGGER).tolist()
     rows, start = [], 0
-    for e in triggers(data, max(2, window * 4 // 25)).tolist():
+
+    def add(e: int, stop: int) -> int:
+        s = start
+        if e - s > split:
+            rows.append((e, s, min(stop, e - split - 1)))
+            s = rows[-1][2] + 1
+        if s <= stop:
+            rows.append((e, s, stop))
+        return stop + 1
+
+    for e in [*ends, len(data) + window + TRIGGER]:
+        while start <= last and e - start > window:  # no trigger in the window at start
+            within = hashes[start : start + window - TRIGGER + 1]
+            at = int(within.argmin())
+            lower = np.flatnonzero(hashes[start + len(within) : e - TRIGGER] < within[at])
+            stop = start + int(lower[0]) if len(lower) else last
+            start = add(start + at + TRIGGER, min(last, start + at, stop, e - window - 1))
         stop = min(e - TRIGGER, last)
-        while start <= stop:
-            ahead = e - start
-            if ahead > window:
-                t, kind = start, 3
-            elif ahead > window * 3 // 4:
-                t, kind = min(stop, e - window * 3 // 4 - 1), 2
-            else:
-                t, kind = stop, 1
-            rows.append((kind, e, start, t))
-            start = t + 1
-    rows.extend((3, 0, p, p) for p in range(start, last + 1))
+        if start <= stop:
+            start = add(e, stop)
     return rows
 
 
-def row_classes(data: bytes, rows: list[tuple[int, int, int, int]], window: int) -> tuple[list[int], list[int]]:
+def row_classes(data: bytes, rows: list[tuple[int, int, int]], window: int) -> tuple[list[int], list[int]]:
     """C and K of each row: the context in a place fixed by the trigger that all its
     windows hold, and all the bytes that they cover."""
     h, contexts, covers = xxhash.xxh3_64_intdigest, [], []
-    quarter, half = window // 4, window * 3 // 4
-    for kind, e, s, t in rows:
-        k = h(data[s : t + window])
-        if kind == 1:
-            c = h(data[e - TRIGGER : e + quarter], 1)
-        elif kind == 2:
-            c = h(data[e - half : e], 2)
-        else:
-            c = k
-        contexts.append(c - 2**63)
-        covers.append(k - 2**63)
+    quarter, split = window // 4, window * 3 // 4
+    for e, s, t in rows:
+        covers.append(h(data[s : t + window]) - 2**63)
+        contexts.append((h(data[e - split : e], 2) if e - s > split else h(data[e - TRIGGER : e + quarter], 1)) - 2**63)
     return contexts, covers
 
 
+#: Windows of a row that are first compared together.
+BLOCK = 8
+
+
+def window_blocks(data: bytes, e: int, s: int, t: int, window: int):
+    """(s, t, c, k, classes) of the row's windows in blocks by distance from the trigger:
+    the context that a whole block has in common, the bytes covered, and each window's class."""
+    h = xxhash.xxh3_64_intdigest
+    while s <= t:
+        b = (e - s) // BLOCK
+        stop = min(t, e - b * BLOCK)
+        c = h(data[e - b * BLOCK : e - b * BLOCK - BLOCK + 1 + window], b)
+        yield s, stop, c - 2**63, h(data[s : stop + window]) - 2**63, [h(data[p : p + window]) - 2**63 for p in range(s, stop + 1)]
+        s = stop + 1
+
+
 def repeated_spans(docs: DataFrame, window: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, starts array<int>, ends array<int>): for each id with any, the maximal runs of
     byte positions covered by a ``window``-byte string that also starts anywhere else in
     the corpus, overlapping occurrences included.
 
     Ids must be distinct.  Null, empty and shorter texts have no runs.  Classes are 64-bit
-    hashes (128 for single windows); there are no caps and no samples.
+    hashes of the bytes; there are no caps and no samples.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.octet_length("text") >= window)
     kind = dict(texts.dtypes)["id"]
@@ -101,43 +120,43 @@ def repeated_spans(docs: DataFrame, window: int = 400, id_col: str = "doc_id", t
         for b in batches:
             for lo in range(0, b.num_rows, 100):
                 part = b.slice(lo, 100)
-                at, cols = [], ([], [], [], [])
+                at, cols = [], ([], [], [], [], [])
                 for row, data in enumerate(part.column(1)):
                     data = data.as_buffer().to_pybytes()
                     rows = parse_rows(data, window)
                     at.extend([row] * len(rows))
-                    for col, new in zip(cols, ([r[2] for r in rows], [r[3] for r in rows], *row_classes(data, rows, window)), strict=True):
+                    for col, new in zip(cols, (*([r[i] for r in rows] for i in range(3)), *row_classes(data, rows, window)), strict=True):
                         col.extend(new)
-                types = (pa.int32(), pa.int32(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), *[pa.array(x, t) for x, t in zip(cols, types, strict=True)]], names=["id", "s", "t", "c", "k"])
+                types = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), *[pa.array(x, t) for x, t in zip(cols, types, strict=True)]], names=["id", "e", "s", "t", "c", "k"])
 
-    parsed = texts.mapInArrow(parse, f"id {kind}, s int, t int, c long, k long")
+    parsed = texts.mapInArrow(parse, f"id {kind}, e int, s int, t int, c long, k long")
     shared = stored(parsed.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("c"), "pfpctx")
     kept = stored(parsed.join(shared, "c"), "pfprows")
-    covers = stored(kept.groupBy("c", "k").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("id", "s", "t")).alias("rep")), "pfpcover")
+    covers = stored(kept.groupBy("c", "k").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("id", "e", "s", "t")).alias("rep")), "pfpcover")
     several = covers.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("c")
     equal = kept.join(covers.where("m > 1").select("c", "k"), ["c", "k"]).select("id", "s", "t")
 
-    # one row of each cover in contexts with several: its windows, class by class
-    asked = covers.join(several, "c").select("rep.id", "rep.s", "rep.t", (F.col("m") == 1).alias("open"))
-    asked = asked.groupBy("id").agg(F.collect_list(F.struct("s", "t", "open")).alias("rows"))  # of one text
+    # one row of each cover in contexts with several: the same comparison for blocks of
+    # its windows, and for single windows where blocks differ
+    asked = covers.join(several, "c").select("rep.id", "rep.e", "rep.s", "rep.t", (F.col("m") == 1).alias("open"))
+    asked = asked.groupBy("id").agg(F.collect_list(F.struct("e", "s", "t", "open")).alias("rows"))  # of one text
 
     def expand(batches):
-        digest = xxhash.xxh3_128_digest
         for b in batches:
             for row in range(b.num_rows):
                 data = b.column(1)[row].as_buffer().to_pybytes()
-                view = memoryview(data)
-                starts, open_ = [], []
-                for r in b.column(2)[row].as_py():
-                    starts.extend(range(r["s"], r["t"] + 1))
-                    open_.extend([r["open"]] * (r["t"] - r["s"] + 1))
-                classes = [digest(view[p : p + window]) for p in starts]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([row] * len(starts), pa.int64())), pa.array(starts, pa.int32()), pa.array(classes, pa.binary()), pa.array(open_, pa.bool_())], names=["id", "s", "h", "open"])
-
-    windows = stored(texts.join(asked, "id").select("id", "text", "rows").mapInArrow(expand, f"id {kind}, s int, h binary, open boolean"), "pfpwin")
+                out = [(*x, r["open"]) for r in b.column(2)[row].as_py() for x in window_blocks(data, r["e"], r["s"], r["t"], window)]
+                types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.bool_())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([row] * len(out), pa.int64())), *[pa.array(c, x) for c, x in zip(zip(*out, strict=True), types, strict=True)]], names=["id", "s", "t", "c", "k", "classes", "open"])
+
+    blocks = stored(texts.join(asked, "id").select("id", "text", "rows").mapInArrow(expand, f"id {kind}, s int, t int, c long, k long, classes array<long>, open boolean"), "pfpblocks")
+    same = stored(blocks.groupBy("c", "k").agg(F.count(F.lit(1)).alias("m"), F.max("open").alias("o")), "pfpsame")
+    equal_blocks = blocks.where("open").join(same.where("m > 1 and o").select("c", "k"), ["c", "k"]).select("id", "s", "t")
+    differing = same.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("o") & (F.col("m") == 1)).alias("o")).where("n > 1 and o").select("c")
+    windows = stored(blocks.join(differing, "c").select("id", "s", F.posexplode("classes").alias("i", "h"), "open"), "pfpwin")
     twice = stored(windows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("o")).where("n > 1 and o").select("h"), "pfptwice")
-    single = windows.where("open").join(twice, "h").select("id", "s", F.col("s").alias("t"))
+    single = windows.where("open").join(twice, "h").select("id", (F.col("s") + F.col("i")).alias("s"), (F.col("s") + F.col("i")).alias("t"))
 
     def merge(batches):
         for b in batches:
@@ -151,7 +170,7 @@ def repeated_spans(docs: DataFrame, window: int = 400, id_col: str = "doc_id", t
                 ends.append(hi[np.r_[np.flatnonzero(new)[1:] - 1, len(hi) - 1]])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))], names=["id", "starts", "ends"])
 
-    spans = equal.unionByName(single).groupBy("id").agg(F.collect_list(F.struct("s", "t")).alias("runs"))  # of one text
+    spans = equal.unionByName(equal_blocks).unionByName(single).groupBy("id").agg(F.collect_list(F.struct("s", "t")).alias("runs"))  # of one text
     return stored(spans.mapInArrow(merge, f"id {kind}, starts array<int>, ends array<int>"), "pfpspans").withColumnRenamed("id", id_col)
 
 
