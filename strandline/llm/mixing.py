@@ -62,13 +62,18 @@ def bounded_knapsack(counts: dict[int, int], budget: int) -> dict[int, int]:
 
 def fit_lengths(counts: dict[int, int], budget: float) -> dict[int, int]:
     """Documents to take of each exact length so that their words come near ``budget``:
-    the same share of every length rounded down, the rest largest first, and the last
-    ``FITTED`` words by the bounded knapsack over what is left."""
+    the same share of all lengths (systematic rounding from the longest down) for all but
+    ``FITTED`` / 2 words, more of the longest while over ``FITTED`` are left, and those by
+    the bounded knapsack over what is not yet taken."""
     total = sum(length * n for length, n in counts.items())
-    if not total:
+    if not total or budget < 1:
         return {}
-    share = min(1.0, budget / total)
-    take = {length: int(n * share) for length, n in counts.items()}
+    share = max(0.0, min(1.0, (budget - FITTED // 2) / total))
+    take, owed = {}, 0.0
+    for length in sorted(counts, reverse=True):
+        owed += counts[length] * share
+        take[length] = min(int(owed), counts[length])
+        owed -= take[length]
     left = int(round(budget)) - sum(length * n for length, n in take.items())
     for length in sorted(counts, reverse=True):
         if left <= FITTED:
@@ -88,10 +93,10 @@ def mixed_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int
     """How often each document goes into a mix in which the sources hold ``weights``.
 
     A size is the number of words of the text (null: 0).  A source whose target is q
-    whole passes and a rest takes all its documents q times, and once more those that
-    fit the rest: an equal share of every exact length, then a subset sum.  Which
-    documents of a length are taken follows a seeded hash of the id, so reruns agree.
-    Empty documents are never taken.  The histogram by (source, length) and the source
+    whole passes and a rest takes its documents q - 1 times, and the words of the last
+    pass and the rest from two copies of each (q = 0: from one): an equal share of every
+    exact length, then a subset sum.  Which documents of a length are taken follows a
+    seeded hash of the id, so reruns agree.  Empty documents are never taken.  The histogram by (source, length) and the source
     totals are collected; they grow with sources times ``COUNTED`` lengths, not with rows.
 
     Returns (id, size, source_size, target, taken), taken in words with repeats.
@@ -123,19 +128,23 @@ def mixed_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int
         .select("id", "source", "size")
     )
     taken_long = {r["source"]: r["n"] for r in extra_long.groupBy("source").agg(F.sum("size").alias("n")).collect()}
-    takes = [(s, length, n) for s, counts in histogram.items() for length, n in fit_lengths(counts, rest[s] - taken_long.get(s, 0)).items() if n]
+    takes = []
+    for s, counts in histogram.items():
+        held = 1 if 0 < passes[s] < most else 0  # the last whole pass is fitted with the rest
+        again = fit_lengths({k: c * (1 + held) for k, c in counts.items()}, rest[s] - taken_long.get(s, 0) + held * sum(k * c for k, c in counts.items()))
+        takes += [(s, k, passes[s] - held + again.get(k, 0) // c, again.get(k, 0) % c) for k, c in counts.items()]
 
     ranked = global_prefix(short.withColumn("pick", pick), ["source", "size", "pick", "id"], [])
     groups = ranked.groupBy("source", "size").agg(F.min("row_before").alias("first"))
-    wanted = spark.createDataFrame(takes, "s string, k long, take long")
-    ends = groups.join(wanted, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("k"))).select("s", "k", (F.col("first") + F.col("take")).alias("end"))
-    extra_short = ranked.join(ends, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("k")), "left").select("id", "source", "size", F.coalesce(F.col("row_before") < F.col("end"), F.lit(False)).cast("long").alias("once"))
-    chosen = extra_long.withColumn("once", F.lit(1).cast("long"))
-    # every row again: counted ones with their mark, long and empty ones unmarked unless chosen
-    others = ordered.select("id", "source", "size").join(chosen.select("id").distinct(), "id", "left_anti").withColumn("once", F.lit(0).cast("long"))
-    empty = rows.where(F.col("size") == 0).select("id", "source", "size", F.lit(0).cast("long").alias("once"))
-    every = extra_short.unionByName(chosen).unionByName(others).unionByName(empty)
-    per_source = plan.select(F.col("source").alias("s"), "source_size", "target", "passes")
+    wanted = spark.createDataFrame(takes, "s string, k long, each long, more long")
+    ends = groups.join(wanted, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("k"))).select("s", "k", "each", (F.col("first") + F.col("more")).alias("end"))
+    counted = ranked.join(ends, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("k"))).select("id", "source", "size", (F.col("each") + (F.col("row_before") < F.col("end")).cast("long")).alias("times"))
+    passed = plan.select(F.col("source").alias("p"), "passes")
+    whole = ordered.join(extra_long.select(F.col("id").alias("c"), F.lit(1).alias("once")).dropDuplicates(["c"]), F.col("id") == F.col("c"), "left")
+    whole = whole.join(F.broadcast(passed), F.col("source").eqNullSafe(F.col("p"))).select("id", "source", "size", (F.col("passes") + F.coalesce("once", F.lit(0))).alias("times"))
+    empty = rows.where(F.col("size") == 0).select("id", "source", "size", F.lit(0).cast("long").alias("times"))
+    every = counted.unionByName(whole).unionByName(empty)
+    per_source = plan.select(F.col("source").alias("s"), "source_size", "target")
     return every.join(F.broadcast(per_source), F.col("source").eqNullSafe(F.col("s"))).select(
-        F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * (F.col("passes") + F.col("once"))).alias("taken")
+        F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken")
     )

@@ -175,8 +175,8 @@ def repeated_spans(docs: DataFrame, window: int = 400, id_col: str = "doc_id", t
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """All rows of ``docs`` with starts and ends of their runs (null: none)."""
-    return docs.join(spans.select(F.col(id_col).alias("span_id__"), "starts", "ends"), docs[id_col] == F.col("span_id__"), "left").drop("span_id__")
+    """All rows of ``docs`` with span_starts__ and span_ends__ of their runs (null: none)."""
+    return docs.join(spans.select(F.col(id_col).alias("span_id__"), F.col("starts").alias("span_starts__"), F.col("ends").alias("span_ends__")), docs[id_col] == F.col("span_id__"), "left").drop("span_id__")
 
 
 def removal_digest(docs: DataFrame, window: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -205,7 +205,7 @@ def without_repeats(docs: DataFrame, window: int = 400, id_col: str = "doc_id",
     """``docs`` with the repeated runs cut out of the text column; a character that only
     partly lies in a run stays whole.  Rows, other columns and their order stay."""
     marked = with_spans(docs, repeated_spans(docs, window, id_col, text_col), id_col)
-    where = docs.columns.index(text_col)
+    names, where = docs.columns, docs.columns.index(text_col)
 
     def cut(batches):
         for b in batches:
@@ -225,6 +225,6 @@ def without_repeats(docs: DataFrame, window: int = 400, id_col: str = "doc_id",
                 out.append(b"".join([*kept, data[at:]]).decode())
             columns = [b.column(i) for i in range(b.num_columns - 2)]
             columns[where] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return marked.mapInArrow(cut, docs.schema)
