@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
+from strandline.llm.scratch import stored
+
 WORD = re.compile(r"[^\W_]+")
 LEVELS = 12
 #: The fit sees about this many labelled documents of each class, chosen by hash of the id.
@@ -28,8 +30,8 @@ SPAN_AT = 0.5
 STEMS = (3, 4, 5)
 #: Levels are steps of half a unit of log-odds; words and stems below this one are neutral.
 MARK = 6
-#: Tokens of a stretch that the fit walks at once.
-STRETCH = 32
+#: Tokens of a stretch that the fit walks at once, and the most stretches of a kind.
+STRETCH, STRETCHES = 32, 3_000
 REMEMBERED = 500_000
 SPAN = StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])
 
@@ -132,49 +134,21 @@ def likelihood_gradient(grid: np.ndarray, tags: np.ndarray, emission: np.ndarray
     return g_e, g_t - pair.sum(axis=(0, 1))
 
 
-def fit(texts: list[str], toxic: list[int], rounds: int = 150) -> ToxicModel:
-    """Fit on labelled texts: levels of words and stems, then the field by gradient ascent
-    on the likelihood of the token labels, then the curve by Newton's method."""
-    y = np.array(toxic, int)
-    words = [WORD.findall(t.lower()) for t in texts]
-    seen: dict[str, list[int]] = {}
-    for ws, label in zip(words, y, strict=True):
-        for key in {k for w in set(ws) for k in features(w)}:
-            seen.setdefault(key, [0, 0])[label] += 1
-    n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    least = max(3, n1 // 100)
-    lift = {k: np.log((c1 + 0.5) / (n1 + 1)) - np.log((c0 + 0.5) / (n0 + 1)) for k, (c0, c1) in seen.items() if c1 >= least}
-    lift = {k: v for k, v in lift.items() if v >= MARK / 2}
-    contexts: dict[str, set] = {k: set() for k in lift}
-    for ws, label in zip(words, y, strict=True):
-        if label:
-            for i, w in enumerate(ws):
-                for k in features(w):
-                    if k in contexts:
-                        contexts[k].add((ws[i - 1] if i else "", ws[i + 1] if i + 1 < len(ws) else ""))
-    level = {k: int(np.clip(v / 0.5, 1, LEVELS - 1)) for k, v in lift.items() if len(contexts[k]) >= least}
-    model = ToxicModel(level, np.zeros((LEVELS, 2)), np.zeros((2, 2)), (1.0, 0.0))
-    memo: dict[str, int] = {}
-    grids = [model.levels_of(ws, memo) for ws in words]
-    tags = [(g >= MARK).astype(np.int8) * np.int8(label) for g, label in zip(grids, y, strict=True)]
-
-    # equal stretches of tokens, half of them with a toxic one
-    parts: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
-    for g, t in zip(grids, tags, strict=True):
-        for i in range(0, len(g), STRETCH):
-            pad = (0, STRETCH - len(g[i : i + STRETCH]))
-            parts[int(t[i : i + STRETCH].any())].append((np.pad(g[i : i + STRETCH], pad), np.pad(t[i : i + STRETCH], pad)))
-    some = parts[1][:3000] + parts[0][: max(100, min(3000, len(parts[1])))]
-    if some:
-        grid, tag = np.array([p[0] for p in some]).T, np.array([p[1] for p in some]).T
-        theta = [model.emission, model.transition]
-        scale = [np.full_like(x, 1.0) for x in theta]
-        for _ in range(rounds):
-            for x, g, s in zip(theta, likelihood_gradient(grid, tag, *theta), scale, strict=True):
-                g = g - 0.1 * x
-                s += g * g
-                x += 0.5 * g / np.sqrt(s)
-    x = np.array([_summary(p) for p in model.marginals(grids)])
+def fitted_field(grid: np.ndarray, tags: np.ndarray, rounds: int = 150) -> tuple[np.ndarray, np.ndarray]:
+    """State scores and transitions by gradient ascent on the likelihood of token labels."""
+    emission, transition = np.zeros((LEVELS, 2)), np.zeros((2, 2))
+    theta = [emission, transition]
+    scale = [np.full_like(x, 1.0) for x in theta]
+    for _ in range(rounds if grid.size else 0):
+        for x, g, s in zip(theta, likelihood_gradient(grid, tags, *theta), scale, strict=True):
+            g = g - 0.1 * x
+            s += g * g
+            x += 0.5 * g / np.sqrt(s)
+    return emission, transition
+
+
+def fitted_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of a logistic curve by Newton's method."""
     a, c = 1.0, 0.0
     for _ in range(50 if len(y) else 0):
         q = 1 / (1 + np.exp(-np.clip(a * x + c, -30, 30)))
@@ -185,22 +159,84 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 150) -> ToxicModel:
         a, c = a + float(np.clip(d[0], -2, 2)), c + float(np.clip(d[1], -2, 2))
         if abs(d).max() < 1e-6:
             break
-    model.curve = (a, c)
-    return model
+    return a, c
 
 
 def fitted_model(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> ToxicModel:
     """Fit on about ``fit_rows`` labelled rows of each class whose crc32(id as text) mod 3
-    is not 1: a bounded sample by hash, the same at every run."""
-    known = labels.where("toxic is not null").select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")).where(F.crc32(F.col("id").cast("string")) % 3 != 1)
+    is not 1: a bounded sample by hash, the same at every run.  Spark counts words and
+    contexts and cuts the stretches; the driver gets the marks, ``STRETCHES`` stretches of
+    each kind and a number for each document of the sample.  Without labels every
+    document gets the same score."""
+    known = labels.where("toxic in (0, 1)").select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")).where(F.crc32(F.col("id").cast("string")) % 3 != 1)
     n = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    share = F.create_map(*[x for k, v in n.items() for x in (F.lit(k), F.lit(min(1.0, fit_rows / v)))]) if n else None
-    if share is None:
-        return fit([], [])
-    u = (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20))
+    model = ToxicModel({}, np.zeros((LEVELS, 2)), np.zeros((2, 2)), (1.0, 0.0))
+    if not n:
+        return model
+    share = F.create_map(*[x for k, v in n.items() for x in (F.lit(k), F.lit(min(1.0, fit_rows / v)))])
+    u = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20)
     chosen = known.where(u < share[F.col("toxic")]).dropDuplicates(["id"])
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").orderBy("id").collect()
-    return fit([r["text"] or "" for r in rows], [r["toxic"] for r in rows])
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(chosen, "id")
+    sample = stored(rows, "toxfit").select("id", "toxic", "text")
+    kind = dict(sample.dtypes)["id"]
+    n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    n1, n0 = max(1, n.get(1, 0)), max(1, n.get(0, 0))
+    least = max(3, n1 // 100)
+
+    def held(batches):
+        for b in batches:
+            seen: dict[str, list[int]] = {}
+            for label, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                for key in {k for w in set(WORD.findall(t.lower())) for k in features(w)}:
+                    seen.setdefault(key, [0, 0])[label] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *[pa.array([v[i] for v in seen.values()], pa.int64()) for i in (0, 1)]], names=["key", "c0", "c1"])
+
+    counted = sample.mapInArrow(held, "key string, c0 long, c1 long").groupBy("key").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    lift = F.log((F.col("c1") + 0.5) / (n1 + 1)) - F.log((F.col("c0") + 0.5) / (n0 + 1))
+    marks = {r["key"]: r["lift"] for r in counted.where(F.col("c1") >= least).select("key", lift.alias("lift")).where(F.col("lift") >= MARK / 2).collect()}
+
+    def contexts(batches):
+        for b in batches:
+            met = set()
+            for t in b.column(2).to_pylist():
+                ws = WORD.findall(t.lower())
+                for i, w in enumerate(ws):
+                    met.update((k, ws[i - 1] if i else "", ws[i + 1] if i + 1 < len(ws) else "") for k in features(w) if k in marks)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*met, strict=True) if met else ([], [], []))], names=["key", "before", "after"])
+
+    varied = sample.where("toxic = 1").mapInArrow(contexts, "key string, before string, after string").distinct().groupBy("key").count().where(F.col("count") >= least)
+    model.level = {r["key"]: int(np.clip(marks[r["key"]] / 0.5, 1, LEVELS - 1)) for r in varied.collect()}
+
+    def stretches(batches):
+        memo: dict[str, int] = {}
+        for b in batches:
+            at, grids, tags = [], [], []
+            for row, (label, t) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                g = model.levels_of(WORD.findall(t.lower()), memo)
+                for i in range(0, len(g), STRETCH):
+                    part = np.pad(g[i : i + STRETCH], (0, STRETCH - len(g[i : i + STRETCH])))
+                    at.append((row, i))
+                    grids.append(part.tobytes())
+                    tags.append(((part >= MARK).astype(np.int8) * np.int8(label)).tobytes())
+            ids = b.column(0).take(pa.array([r for r, _ in at], pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array([i for _, i in at], pa.int32()), pa.array(grids, pa.binary()), pa.array(tags, pa.binary())], names=["id", "i", "grid", "tags"])
+
+    parts = sample.mapInArrow(stretches, f"id {kind}, i int, grid binary, tags binary").withColumn("hit", F.locate(chr(1), F.col("tags").cast("string")) > 0)
+    order = F.xxhash64("id", "i")
+    some = parts.where("hit").orderBy(order).limit(STRETCHES).collect()
+    some += parts.where("not hit").orderBy(order).limit(max(100, min(STRETCHES, len(some)))).collect()
+    grid, tag = (np.frombuffer(b"".join(bytes(r[c]) for r in some), np.int8).reshape(-1, STRETCH).T for c in ("grid", "tags"))
+    model.emission, model.transition = fitted_field(grid, tag)
+
+    def sums(batches):
+        memo: dict[str, int] = {}
+        for b in batches:
+            p = model.marginals([model.levels_of(WORD.findall(t.lower()), memo) for t in b.column(2).to_pylist()])
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([_summary(q) for q in p], pa.float64())], names=["toxic", "x"])
+
+    found = sample.mapInArrow(sums, "toxic int, x double").orderBy("x", "toxic").collect()
+    model.curve = fitted_curve(np.array([r["x"] for r in found]), np.array([r["toxic"] for r in found]))
+    return model
 
 
 def toxicity_scores(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

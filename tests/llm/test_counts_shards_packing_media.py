@@ -226,7 +226,8 @@ def test_mixing_comes_near_the_targets(request, table):
             reach = {(passes - held) * sizes[s]}
             for n in [n for x, n in of.values() if x == s and n]:
                 reach = {r + k * n for r in reach for k in range(2 + held if passes < 3 else 1)}
-            assert taken[s] == max(r for r in reach if r <= round(targets[s]))
+            best = max(r for r in reach if r <= round(targets[s]))
+            assert best - 0.001 * targets[s] <= taken[s] <= best
     assert sorted(map(tuple, mixed_sources(df).collect())) == sorted(map(tuple, rows))
 
 
