@@ -302,6 +302,16 @@ def collapse_coverage(spark, d):
     return cov.collapsed(sub.hits(spark, d)).select("cg", "grna", *big("n_targets"))
 
 
+@query(f"""WITH {D_COLLAPSE}, p AS (SELECT grna, avg(CASE WHEN sense = '-' THEN target_len - "end" ELSE "start" END) AS pos FROM h GROUP BY grna)
+ SELECT 'cg_' || lpad(CAST(k AS VARCHAR), CAST(length(CAST((SELECT max(k) FROM s) AS VARCHAR)) AS INTEGER), '0') AS coverage_group, CAST(len(c.ts) AS BIGINT) AS coverage, 'gRNA_' || grna AS grna_id, grna AS grna_seq, round(pos, 2) AS relative_pos
+ FROM c JOIN s ON c.ts = s.ts JOIN p USING (grna)""")
+def eqv_export(spark, d):
+    hits = sub.hits(spark, d)
+    guides = hits.select(F.concat(F.lit("gRNA_"), "grna").alias("grna_id"), "grna").distinct()
+    table = src.equivalents(cov.collapsed(hits), cov.relative_position(hits), guides)
+    return table.withColumn("coverage", F.col("coverage").cast("long")).toDF("coverage_group", "coverage", "grna_id", "grna_seq", "relative_pos")
+
+
 D_COVER = f"""RECURSIVE {sub.D_HITS}, c AS (SELECT grna, list_distinct(list(target_id)) AS ts, avg(CASE WHEN sense = '-' THEN target_len - "end" ELSE "start" END) AS pos FROM h GROUP BY grna),
  step AS (SELECT 0 AS n, CAST([] AS VARCHAR[]) AS covered, CAST(NULL AS VARCHAR) AS pick UNION ALL
  SELECT n + 1, list_distinct(list_concat(covered, ts)), grna FROM (SELECT n, covered, ts, grna, row_number() OVER (ORDER BY len(list_filter(ts, lambda x: NOT list_contains(covered, x))) DESC, pos, grna) AS k

@@ -8,15 +8,31 @@ from pyspark.sql import functions as F
 HSP = "query_id string, subject_id string, ident_pct double, length int, mismatch int, gapopen int, qstart int, qend int, sstart int, send int, evalue double, bitscore double, gaps int, qlen int, btop string, nident int"
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(seq_id, seq, len): the id is the text up to white space; the last of equal ids wins."""
-    rows = spark.read.option("lineSep", ">").text(path).where("trim(value) != ''").withColumn("ord", F.monotonically_increasing_id())
+def _fasta_records(rows: DataFrame) -> DataFrame:
+    """(seq_id, seq, len) of records without the ``>`` before them; the last of equal ids wins."""
+    rows = rows.where("trim(value) != ''").withColumn("ord", F.monotonically_increasing_id())
     body = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "")
     rows = rows.select(F.regexp_extract("value", r"^(\S+)", 1).alias("seq_id"), body.alias("seq"), "ord")
     last = rows.groupBy("seq_id").agg(F.max_by("seq", "ord").alias("seq"))
     return last.withColumn("len", F.length("seq"))
 
 
+def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+    """(seq_id, seq, len): the id is the text up to white space.  Records part at a ``>``
+    that begins a line, so descriptions may hold one."""
+    rows = spark.read.option("lineSep", "\n>").text(path)
+    return _fasta_records(rows.select(F.regexp_replace("value", "^>", "").alias("value")))
+
+
+def read_gff_fasta(spark: SparkSession, path: str) -> DataFrame:
+    """Sequences of the FASTA section of a GFF3 file; none without the section.  The
+    record before the first sequence holds the features: it begins with ``#`` or with a
+    feature line."""
+    rows = spark.read.option("lineSep", "\n>").text(path)
+    features = F.col("value").startswith("#") | (F.size(F.split(F.substring_index("value", "\n", 1), "\t")) >= 9)
+    return _fasta_records(rows.where(~features))
+
+
 def write_fasta(df: DataFrame, path: str, id_col: str = "seq_id", seq_col: str = "seq", wrap: int = 60) -> None:
     wrapped = F.rtrim(F.regexp_replace(seq_col, f"(.{{{wrap}}})", "$1\n"), F.lit("\n"))
     df.select(F.concat(F.lit(">"), id_col, F.lit("\n"), wrapped)).write.mode("overwrite").text(path)
@@ -36,11 +52,39 @@ def read_gff(spark: SparkSession, path: str) -> DataFrame:
     return parsed_gff(spark.read.text(path))
 
 
+def read_bed(spark: SparkSession, path: str) -> DataFrame:
+    """Feature rows of a ten-column BED table made from GFF3: the columns of ``read_gff``."""
+    f = F.split("value", "\t")
+    text = lambda i: F.nullif(f[i], F.lit("."))
+    return spark.read.text(path).where(~F.col("value").startswith("#") & (F.size(f) >= 10)).select(
+        f[0].alias("seqid"), f[6].alias("ann_source"), f[7].alias("type"), f[1].cast("int").alias("start"), f[2].cast("int").alias("end"),
+        text(4).cast("double").alias("score"), f[5].alias("strand"), text(8).cast("int").alias("phase"), F.array_join(F.slice(f, 10, 1000), "\t").alias("attrs"))
+
+
+def read_features(spark: SparkSession, path: str) -> DataFrame:
+    """BED or GFF3 by the file's extension."""
+    return (read_bed if path.lower().endswith(".bed") else read_gff)(spark, path)
+
+
 def gff_line(seqid: Column, source: Column, kind: Column, start: Column, end: Column, score: Column, strand: Column, phase: Column, attrs: Column) -> Column:
     dot = lambda c: F.coalesce(c.cast("string"), F.lit("."))
     return F.concat_ws("\t", seqid, source, kind, (start + 1).cast("string"), end.cast("string"), dot(score), strand, dot(phase), attrs)
 
 
+def write_gff(features: DataFrame, path: str) -> None:
+    """Feature lines of nine columns; positions from 1, ends included, nulls as dots."""
+    c = [F.col(n) for n in ("seqid", "ann_source", "type", "start", "end", "score", "strand", "phase", "attrs")]
+    features.select(gff_line(*c)).write.mode("overwrite").text(path)
+
+
+def write_bed(features: DataFrame, path: str) -> None:
+    """Ten columns: place, ID attribute, score, strand, source, type, phase, attributes."""
+    dot = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("."))
+    name = F.regexp_extract("attrs", "(?:^|;)ID=([^;]*)", 1)
+    line = F.concat_ws("\t", "seqid", F.col("start").cast("string"), F.col("end").cast("string"), name, dot("score"), dot("strand"), dot("ann_source"), dot("type"), dot("phase"), F.coalesce("attrs", F.lit("")))
+    features.select(line).write.mode("overwrite").text(path)
+
+
 def read_hits(spark: SparkSession, path: str) -> DataFrame:
     """Hit table with starts from 0 and the strand apart from the coordinates."""
     raw = spark.read.schema(HSP).option("sep", "\t").csv(path)
@@ -71,6 +115,44 @@ def write_map(hits: DataFrame, path: str, checks: list[str]) -> None:
     out.write.mode("overwrite").option("header", True).option("sep", "\t").csv(path)
 
 
+def named_guides(guides: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """(grna_id, grna), with the ids that ``names`` (seq_id, seq) has for the same sequences;
+    of several the smallest."""
+    if names is None:
+        return guides.select("grna_id", "grna")
+    new = names.groupBy(F.upper("seq").alias("grna")).agg(F.min("seq_id").alias("name"))
+    return guides.join(new, "grna", "left").select(F.coalesce("name", "grna_id").alias("grna_id"), "grna")
+
+
+def write_guides(guides: DataFrame, path: str, names: DataFrame | None = None) -> None:
+    write_fasta(named_guides(guides, names).distinct().orderBy("grna_id"), path, "grna_id", "grna")
+
+
+def equivalents(groups: DataFrame, positions: DataFrame, guides: DataFrame) -> DataFrame:
+    """Guides of equal coverage, largest coverage first and nearest to 5' first within a
+    group; ``groups`` (cg, grna, n_targets), ``positions`` (grna, pos), ``guides`` (grna_id, grna)."""
+    rows = groups.select("cg", "grna", "n_targets").join(positions, "grna").join(guides, "grna").orderBy(F.desc("n_targets"), "cg", "pos", "grna_id")
+    return rows.select(F.col("cg").alias("coverage group"), F.col("n_targets").alias("coverage"), F.col("grna_id").alias("gRNA id"), F.col("grna").alias("gRNA sequence"), F.round("pos", 2).alias("relative pos"))
+
+
+def write_tsv(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").option("header", True).option("sep", "\t").csv(path)
+
+
+def mask_report(files: DataFrame, masked: DataFrame) -> DataFrame:
+    """(value): a comment line for each file (alias, fname), the header, and the masked
+    regions (fname, molecule, start, end, masked) under their alias; starts stay from 0."""
+    named = files.select(F.lit(0).alias("part"), F.concat(F.lit("#"), "alias", F.lit("\t"), "fname").alias("value"))
+    fixed = files.sparkSession.createDataFrame([(-1, "#alias\tfname"), (1, "source\tmolecule\tstart\tend\tmasked")], "part int, value string")
+    text = lambda c: F.col(c).cast("string")
+    rows = masked.join(files, "fname").select(F.lit(2).alias("part"), F.concat_ws("\t", "alias", "molecule", text("start"), text("end"), "masked").alias("value"))
+    return fixed.unionByName(named).unionByName(rows).orderBy("part", "value").select("value")
+
+
+def write_mask_report(files: DataFrame, masked: DataFrame, path: str) -> None:
+    mask_report(files, masked).write.mode("overwrite").text(path)
+
+
 def lookup(rows: DataFrame, aliases: str, value: str, sep: str = ";") -> DataFrame:
     """(alias, value): one row for each alias of a multi-key line."""
     return rows.select(F.explode(F.split(aliases, sep)).alias("alias"), F.col(value).alias("value"))
