@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,11 +13,12 @@ from strandline.llm.prefix import global_prefix
 from strandline.llm.scratch import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Documents of at most this many words are counted by exact length on the driver
-#: (a histogram of bounded size); longer ones are taken in seeded order.
-COUNTED = 16_384
-#: The dynamic program fits budgets of at most this many words exactly.
+#: At least this many words, or ``WINDOW`` times the longest document's, are left to the
+#: subset sum at the end.
 FITTED = 8_192
+WINDOW = 4
+#: The subset sum has at most this many cells; of a longer budget a cell holds several words.
+CELLS = 1 << 20
 
 
 def source_targets(sizes: dict, weights: Sequence[int], most: int = 3) -> dict:
@@ -37,55 +39,61 @@ def source_targets(sizes: dict, weights: Sequence[int], most: int = 3) -> dict:
     return target
 
 
-def bounded_knapsack(counts: dict[int, int], budget: int) -> dict[int, int]:
+def bounded_knapsack(counts: dict[int, int], budget: int, unit: int = 1) -> dict[int, int]:
     """How many of each length to take so that their sum is as near below ``budget``
-    as possible.  reached[b] is the length by which sum b was first reached."""
-    reached, used = {0: 0}, [0] * (budget + 1)
-    via = [0] * (budget + 1)
+    as possible, lengths counted in units of so many words and rounded up.  A sum is
+    first reached by a bundle of one length from a sum that earlier bundles reached."""
+    room = budget // unit
+    reached, via, bundles = np.zeros(room + 1, bool), np.zeros(room + 1, np.int32), []
+    reached[0] = True
     for length in sorted(counts, reverse=True):
-        if length > budget or not counts[length]:
-            continue
-        used = [0] * (budget + 1)
-        for b in range(length, budget + 1):
-            if b not in reached and (b - length) in reached and used[b - length] < counts[length]:
-                reached[b] = length
-                used[b] = used[b - length] + 1
-                via[b] = length
-        if budget in reached:
+        cells = -(-length // unit)
+        left, size = min(counts[length], room // cells), 1
+        while left > 0 and not reached[room]:
+            size = min(size, left)
+            new = reached[: room + 1 - size * cells] & ~reached[size * cells :]
+            via[size * cells :][new] = len(bundles)
+            reached[size * cells :] |= new
+            bundles.append((length, size, size * cells))
+            left, size = left - size, size * 2
+        if reached[room]:
             break
-    b, take = max(reached), defaultdict(int)
+    b, take = int(np.flatnonzero(reached)[-1]), defaultdict(int)
     while b:
-        take[via[b]] += 1
-        b -= via[b]
+        length, size, cells = bundles[via[b]]
+        take[length] += size
+        b -= cells
     return dict(take)
 
 
 def fit_lengths(counts: dict[int, int], budget: float) -> dict[int, int]:
     """Documents to take of each exact length so that their words come near ``budget``:
     the same share of all lengths (systematic rounding from the longest down) for all but
-    ``FITTED`` / 2 words, more of the longest while over ``FITTED`` are left, and those by
-    the bounded knapsack over what is not yet taken."""
+    ``FITTED`` words or ``WINDOW`` times the longest, and the rest by the bounded knapsack over what is not yet
+    taken.  A rest of over ``CELLS`` words is first fitted in coarse units with lengths of at
+    least 256 units, then what is still open with all lengths that fit it."""
+    left = int(round(budget))
+    counts = {length: n for length, n in counts.items() if n > 0 and length <= left}
     total = sum(length * n for length, n in counts.items())
-    if not total or budget < 1:
-        return {}
-    share = max(0.0, min(1.0, (budget - FITTED // 2) / total))
+    if total <= left:
+        return counts
+    share = max(0.0, (left - max(FITTED, WINDOW * max(counts))) / total)
     take, owed = {}, 0.0
     for length in sorted(counts, reverse=True):
         owed += counts[length] * share
         take[length] = min(int(owed), counts[length])
         owed -= take[length]
-    left = int(round(budget)) - sum(length * n for length, n in take.items())
-    for length in sorted(counts, reverse=True):
-        if left <= FITTED:
-            break
-        more = min(counts[length] - take[length], (left - FITTED // 2) // length)
-        if more > 0:
-            take[length] += more
-            left -= more * length
-    if left > 0:
-        spare = {length: min(n - take[length], left // length) for length, n in counts.items() if length <= left}
-        for length, n in bounded_knapsack(spare, min(left, FITTED)).items():
-            take[length] += n
+    left -= sum(length * n for length, n in take.items())
+    spare = {length: n - take[length] for length, n in counts.items()}
+    unit = left // CELLS + 1
+    fitted = bounded_knapsack({length: n for length, n in spare.items() if unit == 1 or length >= 256 * unit}, left, unit)
+    if unit > 1:
+        open_words = left - sum(length * n for length, n in fitted.items())
+        after = {length: n - fitted.get(length, 0) for length, n in spare.items() if fitted or length < 256 * unit}
+        for length, n in fit_lengths(after, open_words).items():
+            fitted[length] = fitted.get(length, 0) + n
+    for length, n in fitted.items():
+        take[length] += n
     return take
 
 
@@ -95,9 +103,10 @@ def mixed_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int
     A size is the number of words of the text (null: 0).  A source whose target is q
     whole passes and a rest takes its documents q - 1 times, and the words of the last
     pass and the rest from two copies of each (q = 0: from one): an equal share of every
-    exact length, then a subset sum.  Which documents of a length are taken follows a
-    seeded hash of the id, so reruns agree.  Empty documents are never taken.  The histogram by (source, length) and the source
-    totals are collected; they grow with sources times ``COUNTED`` lengths, not with rows.
+    exact length, long ones too, then a subset sum.  Which documents of a length are taken
+    follows a seeded hash of the id, so reruns agree.  Empty documents are never taken.  The
+    histogram by (source, length) and the source totals are collected; n words hold at most
+    sqrt(2 n) different lengths, so they do not grow with rows.
 
     Returns (id, size, source_size, target, taken), taken in words with repeats.
     """
@@ -109,41 +118,25 @@ def mixed_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int
     rest = {s: 0.0 if passes[s] >= most else target[s] - passes[s] * n for s, n in sizes.items()}
 
     histogram: dict = defaultdict(dict)
-    short = rows.where((F.col("size") > 0) & (F.col("size") <= COUNTED))
-    for r in short.groupBy("source", "size").count().collect():
+    filled = rows.where(F.col("size") > 0)
+    for r in filled.groupBy("source", "size").count().collect():
         histogram[r["source"]][r["size"]] = r["count"]
 
-    schema = "source string, source_size long, target double, passes long, budget double"
     spark = docs.sparkSession
-    plan = spark.createDataFrame([(s, n, target[s], passes[s], rest[s] * (1 - sum(k * c for k, c in histogram[s].items()) / n) if n else 0.0) for s, n in sizes.items()], schema)
-    pick = F.xxhash64("id", F.lit(seed))
-
-    # documents beyond the histogram: a seeded prefix of each source within its share
-    long_rows = rows.where(F.col("size") > COUNTED).withColumn("pick", pick)
-    ordered = stored(global_prefix(long_rows, ["source", "pick", "id"], ["size"]), "mixlong")
-    starts = ordered.groupBy("source").agg(F.min("size_before").alias("start"))
-    extra_long = (
-        ordered.join(F.broadcast(starts.withColumnRenamed("source", "s").join(plan.withColumnRenamed("source", "p"), F.col("s").eqNullSafe(F.col("p"))).select("s", "start", "budget")), F.col("source").eqNullSafe(F.col("s")))
-        .where(F.col("size_before") - F.col("start") + F.col("size") <= F.col("budget"))
-        .select("id", "source", "size")
-    )
-    taken_long = {r["source"]: r["n"] for r in extra_long.groupBy("source").agg(F.sum("size").alias("n")).collect()}
+    plan = spark.createDataFrame([(s, n, target[s]) for s, n in sizes.items()], "source string, source_size long, target double")
     takes = []
     for s, counts in histogram.items():
         held = 1 if 0 < passes[s] < most else 0  # the last whole pass is fitted with the rest
-        again = fit_lengths({k: c * (1 + held) for k, c in counts.items()}, rest[s] - taken_long.get(s, 0) + held * sum(k * c for k, c in counts.items()))
+        again = fit_lengths({k: c * (1 + held) for k, c in counts.items()}, rest[s] + held * sizes[s])
         takes += [(s, k, passes[s] - held + again.get(k, 0) // c, again.get(k, 0) % c) for k, c in counts.items()]
 
-    ranked = global_prefix(short.withColumn("pick", pick), ["source", "size", "pick", "id"], [])
+    ranked = global_prefix(filled.withColumn("pick", F.xxhash64("id", F.lit(seed))), ["source", "size", "pick", "id"], [])
     groups = ranked.groupBy("source", "size").agg(F.min("row_before").alias("first"))
     wanted = spark.createDataFrame(takes, "s string, k long, each long, more long")
     ends = groups.join(wanted, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("k"))).select("s", "k", "each", (F.col("first") + F.col("more")).alias("end"))
     counted = ranked.join(ends, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("k"))).select("id", "source", "size", (F.col("each") + (F.col("row_before") < F.col("end")).cast("long")).alias("times"))
-    passed = plan.select(F.col("source").alias("p"), "passes")
-    whole = ordered.join(extra_long.select(F.col("id").alias("c"), F.lit(1).alias("once")).dropDuplicates(["c"]), F.col("id") == F.col("c"), "left")
-    whole = whole.join(F.broadcast(passed), F.col("source").eqNullSafe(F.col("p"))).select("id", "source", "size", (F.col("passes") + F.coalesce("once", F.lit(0))).alias("times"))
     empty = rows.where(F.col("size") == 0).select("id", "source", "size", F.lit(0).cast("long").alias("times"))
-    every = counted.unionByName(whole).unionByName(empty)
+    every = counted.unionByName(empty)
     per_source = plan.select(F.col("source").alias("s"), "source_size", "target")
     return every.join(F.broadcast(per_source), F.col("source").eqNullSafe(F.col("s"))).select(
         F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken")

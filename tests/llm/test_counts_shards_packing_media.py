@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from strandline.llm import packing, webp
-from strandline.llm.mixing import bounded_knapsack, mixed_sources, source_targets
+from strandline.llm.mixing import bounded_knapsack, fit_lengths, mixed_sources, source_targets
 from strandline.llm.packing import packed_sequences, plan_bins
 from strandline.llm.shards import balanced_shards
 from strandline.llm.tokens_bpe import token_counts, vocabulary
@@ -246,3 +246,26 @@ def test_knapsack_finds_the_best_sum(counts, budget):
     take = bounded_knapsack(counts, budget)
     assert sum(k * n for k, n in take.items()) == max(r for r in reach if r <= budget)
     assert all(n <= counts[k] for k, n in take.items())
+
+
+@pytest.mark.parametrize(("other", "share"), [(36_400, 0.9), (64_400, 1.043), (142_800, 1.443)])
+def test_mixing_takes_long_documents_with_the_rest(spark, other, share):
+    sizes = [("a", 40_000)] + [("a", 1_000)] * 100 + [("b", 100)] * (other // 100)
+    df = spark.createDataFrame([(i, "w " * n, s) for i, (s, n) in enumerate(sizes)], "doc_id long, text string, source string")
+    target = (140_000 + other) * 5 / 7  # 126,000 of the first words, all of them and 6,000, or 62,000 more
+    assert target / 140_000 == pytest.approx(share, abs=0.001)
+    taken = sum(r.taken for r in mixed_sources(df).where("source = 'a'").collect())
+    assert 0 <= round(target) - taken < 1_000
+
+
+@pytest.mark.parametrize(
+    ("counts", "budget", "best"),
+    [
+        ({60_000: 1, 50_000: 2}, 100_000, 100_000), ({40_000: 3}, 90_000, 80_000), ({30_000: 40, 20_001: 40, 17_000: 40, 1: 10_000}, 1_000_000, 1_000_000),
+        ({3_000_000: 2, 2_000_000: 1, 7: 1000}, 5_000_703, 5_000_700), ({9_000_001: 5, 5: 1_000_000, 1: 4}, 12_000_003, 12_000_003), ({10**9: 1, 3: 10**9}, 2 * 10**9, 2 * 10**9 - 1),
+    ],
+)
+def test_lengths_beyond_the_window_are_fitted(counts, budget, best):
+    take = fit_lengths(counts, budget)
+    assert all(0 <= n <= counts[k] for k, n in take.items())
+    assert sum(k * n for k, n in take.items()) == best
