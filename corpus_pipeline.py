@@ -14,7 +14,7 @@ from strandline.llm.minhash import near_duplicates
 from strandline.llm.mixing import mixed_sources
 from strandline.llm.packing import packed_sequences
 from strandline.llm.pfp import without_repeats
-from strandline.llm.scratch import stored
+from strandline.operators.scratch import stored
 from strandline.llm.toxicity import fitted_model, toxicity_scores
 
 #: Bytes from which a repeated passage goes: 50 words of four letters and a space.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.scratch import stored
+from strandline.operators.scratch import stored
 
 
 def components(links: DataFrame) -> DataFrame:

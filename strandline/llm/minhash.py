@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.components import components
-from strandline.llm.scratch import stored
+from strandline.operators.scratch import stored
 
 COLLECTIONS, WIDTH = 13, 3
 #: Pairs whose 39 minhashes agree so seldom that similarity t is 4.5 deviations away are dropped.

@@ -9,8 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.prefix import global_prefix
-from strandline.llm.scratch import stored
+from strandline.operators.prefix import global_prefix
+from strandline.operators.scratch import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: At least this many words, or ``WINDOW`` times the longest document's, are left to the

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.prefix import global_prefix
+from strandline.operators.prefix import global_prefix
 
 #: Distinct words whose ids a worker remembers before it starts anew.
 REMEMBERED = 1_000_000

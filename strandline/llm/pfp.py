@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.scratch import stored
+from strandline.operators.scratch import stored
 
 TRIGGER = 8
 _MIX = np.uint64(0x9E3779B97F4A7C15)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.scratch import stored
+from strandline.operators.scratch import stored
 
 #: Vectors that the index is fitted on, at most.
 FIT_ROWS = 20_000

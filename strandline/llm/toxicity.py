@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from strandline.llm.scratch import stored
+from strandline.operators.scratch import stored
 
 WORD = re.compile(r"[^\W_]+")
 LEVELS = 12

@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 import heapq
+from collections import defaultdict
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.prefix import global_prefix
+from strandline.operators.scratch import stored
+
+#: Guides, and their pairs with targets, that a round of the cover brings to the driver at most.
+CANDIDATES, PAIRS = 4_096, 500_000
+
 
 def coverage(hits: DataFrame) -> DataFrame:
     """(grna, n_targets, targets): distinct targets, sorted."""
@@ -22,54 +30,89 @@ def relative_position(hits: DataFrame) -> DataFrame:
 
 def collapsed(hits: DataFrame) -> DataFrame:
     """(cg, grna, n_targets, targets): guides with the same targets share a group; groups
-    are numbered from the largest coverage, with equal digits.  The window runs over the
-    distinct target sets only."""
+    are numbered from the largest coverage, with equal digits."""
     cover = coverage(hits)
-    groups = cover.groupBy("targets").agg(F.count(F.lit(1)).alias("members"))
-    rank = F.row_number().over(Window.orderBy(F.desc(F.size("targets")), "targets"))
-    numbered = groups.select("targets", rank.alias("rank"))
-    digits = F.length(F.max("rank").over(Window.partitionBy(F.lit(1))).cast("string"))
-    named = numbered.select("targets", F.concat(F.lit("cg_"), F.lpad(F.col("rank").cast("string"), 12, "0").substr(F.lit(13) - digits, digits)).alias("cg"))
+    ordered = global_prefix(cover.select("targets").distinct(), [F.desc(F.size("targets")), F.col("targets")], [])
+    numbered = ordered.select("targets", (F.col("row_before") + 1).alias("rank"))
+    most = numbered.agg(F.length(F.max("rank").cast("string")).alias("digits"))
+    digits = F.col("digits")
+    named = numbered.crossJoin(F.broadcast(most)).select("targets", F.concat(F.lit("cg_"), F.lpad(F.col("rank").cast("string"), 12, "0").substr(F.lit(13) - digits, digits)).alias("cg"))
     return cover.join(named, "targets").select("cg", "grna", "n_targets", "targets")
 
 
-def shrinking_cover(sets: dict[str, frozenset], universe: frozenset, position: dict[str, float], exact: bool = False) -> list[str]:
-    """Greedy cover: the set with most uncovered targets, then nearest to 5', then by name;
-    empty when the universe cannot be covered.  Works on collapsed coverage."""
-    left, chosen = set(universe), []
-    heap = [(-len(s & left), position.get(g, 0.0), g) for g, s in sets.items()]
+def sure_picks(sets: dict[str, set], position: dict[str, float], bound: tuple | None) -> list[str]:
+    """Greedy picks among ``sets``: most uncovered targets, then nearest to 5', then by name.
+    They end at the first that comes after ``bound``: a guide not at hand may come before it."""
+    covered, chosen = set(), []
+    heap = [(-len(s), position[g], g) for g, s in sets.items()]
     heapq.heapify(heap)
-    while left and heap:
-        gain, pos, g = heapq.heappop(heap)
-        now = len(sets[g] & left)
-        if now == 0:
-            continue
-        if now != -gain:
-            heapq.heappush(heap, (-now, pos, g))
-            continue
-        chosen.append(g)
-        left -= sets[g]
-    return [] if left else chosen
+    while heap:
+        key = heapq.heappop(heap)
+        if bound is not None and key > bound:
+            break
+        now = len(sets[key[2]] - covered)
+        if now and now != -key[0]:
+            heapq.heappush(heap, (-now, *key[1:]))
+        elif now:
+            chosen.append(key[2])
+            covered |= sets[key[2]]
+    return chosen
+
+
+def greedy_cover(pairs: DataFrame) -> list[str]:
+    """Guides in the order in which the greedy cover picks them, from distinct ``pairs``
+    (grna, pos, target) of at least one guide a target.
+
+    Each round counts the uncovered targets of all guides on Spark and brings only the first
+    guides to the driver (at most ``CANDIDATES`` with ``PAIRS`` pairs).  Counts never grow,
+    so picks that come before the last of these are those of the whole table.
+    """
+    chosen, left = [], pairs
+    while True:
+        gains = left.groupBy("grna").agg(F.count(F.lit(1)).alias("gain"), F.first("pos").alias("pos"))
+        top = gains.orderBy(F.desc("gain"), "pos", "grna").limit(CANDIDATES).collect()
+        if not top:
+            return chosen
+        sums = list(accumulate(r["gain"] for r in top))
+        first = top[: max(1, sum(n <= PAIRS for n in sums))]
+        whole = len(first) == len(top) < CANDIDATES
+        names = left.sparkSession.createDataFrame([(r["grna"],) for r in first], "grna string")
+        if len(first) == 1:
+            picked = [first[0]["grna"]]
+        else:
+            sets = defaultdict(set)
+            for r in left.join(F.broadcast(names), "grna").select("grna", "target").collect():
+                sets[r["grna"]].add(r["target"])
+            last = first[-1]
+            picked = sure_picks(sets, {r["grna"]: r["pos"] for r in first}, None if whole else (-last["gain"], last["pos"], last["grna"]))
+        chosen += picked
+        if whole:
+            return chosen
+        names = left.sparkSession.createDataFrame([(g,) for g in picked], "grna string")
+        covered = left.join(F.broadcast(names), "grna", "left_semi").select("target").distinct()
+        left = stored(left.join(covered, "target", "left_anti"), "cover")
 
 
 def exclusive_sets(hits: DataFrame, n_sets: int = 1) -> DataFrame:
     """(set_number, grna): up to ``n_sets`` covering sets that share no guide.
 
     Guides with equal targets are interchangeable, so only the best few of each distinct
-    target set come to the driver: its rows grow with target sets, not with guides.
+    target set take part.  Only the sets themselves and a bounded part of a round's pairs
+    come to the driver.
     """
     cover = coverage(hits).join(relative_position(hits), "grna")
     best = F.row_number().over(Window.partitionBy("targets").orderBy("pos", "grna"))
-    rows = cover.withColumn("k", best).where(F.col("k") <= n_sets).select("grna", "targets", "pos").collect()
-    universe = frozenset(t for r in rows for t in r["targets"])
-    sets, pos, out = {r["grna"]: frozenset(r["targets"]) for r in rows}, {r["grna"]: r["pos"] for r in rows}, []
+    kept = cover.withColumn("k", best).where(F.col("k") <= n_sets)
+    pairs = stored(kept.select("grna", F.coalesce("pos", F.lit(float("inf"))).alias("pos"), F.explode("targets").alias("target")), "cover")
+    n_targets, out = pairs.select("target").distinct().count(), []
     for i in range(1, n_sets + 1):
-        chosen = shrinking_cover(sets, universe, pos)
-        if not chosen:
-            break
-        out += [(i, g) for g in chosen]
-        for g in chosen:
-            del sets[g]
+        free = pairs
+        if out:
+            used = hits.sparkSession.createDataFrame([(g,) for _, g in out], "grna string")
+            free = pairs.join(used, "grna", "left_anti")
+            if free.select("target").distinct().count() < n_targets:
+                break
+        out += [(i, g) for g in greedy_cover(free)]
     return hits.sparkSession.createDataFrame(out, "set_number int, grna string")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from strandline.llm.scratch import stored
+from strandline.operators.scratch import stored
 
 
 def global_prefix(df: DataFrame, order: Sequence[str | Column], measures: Sequence[str]) -> DataFrame:

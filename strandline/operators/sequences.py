@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.pam import Pam
+from strandline.operators.prefix import global_prefix
 
 # Complements of IUPAC codes; amino acids of the standard code over ACGT x ACGT x ACGT.
 BASES, COMPLEMENTS = "ACGTURYSWKMBDHVNacgturyswkmbdhvn", "TGCAAYRSWMKVHDBNtgcaayrswmkvhdbn"
@@ -59,8 +60,8 @@ def guides(targets: DataFrame, pam: Pam, keep: Sequence[str] = ("target_id",)) -
 def named_guides(hits: DataFrame, order: Sequence[str], prefix: str = "gRNA") -> DataFrame:
     """(grna, grna_id): numbers by first appearance, with at least three digits."""
     first = hits.groupBy("grna").agg(F.min(F.struct(*order)).alias("ord"))
-    number = F.row_number().over(Window.orderBy("ord", "grna"))
-    return first.select("grna", F.format_string(f"{prefix}_%03d", number).alias("grna_id"))
+    ordered = global_prefix(first, ["ord", "grna"], [])
+    return ordered.select("grna", F.format_string(f"{prefix}_%03d", F.col("row_before") + 1).alias("grna_id"))
 
 
 def exact_occurrences(queries: DataFrame, subjects: DataFrame, length: int) -> DataFrame:
