@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,24 +75,24 @@ def outside_masks(hits: DataFrame, masks: DataFrame, bin_size: int = 1000) -> Da
     return hits.join(inside, ["molecule", "start", "end"], "left_anti")
 
 
-def hamming_hits(guides: DataFrame, windows: DataFrame, length: int, most: int) -> DataFrame:
+def hamming_hits(guides: DataFrame, windows: DataFrame, length: int, most: int, agree: int = 1) -> DataFrame:
     """(grna, w, mismatches): windows within ``most`` mismatches of a guide, all of them:
-    of most + 1 equal parts at least one agrees, so parts meet by equality and the rest is
-    counted; a pair is kept for its first equal part only."""
-    parts = most + 1
+    of most + agree equal parts at least ``agree`` are the same, so every choice of
+    ``agree`` parts meets by equality and the rest is counted; a pair is kept for its first
+    choice only.  More parts make longer seeds, so fewer pairs meet by chance.
+    The seeds of small tables are many: they are merged, not broadcast."""
+    parts = most + agree
     cuts = [length * i // parts for i in range(parts + 1)]
+    piece = lambda c, i: F.substr(c, F.lit(cuts[i] + 1), F.lit(cuts[i + 1] - cuts[i]))
 
     def seeds(df: DataFrame, c: str) -> DataFrame:
-        pieces = [F.struct(F.lit(i).alias("part"), F.substr(c, F.lit(cuts[i] + 1), F.lit(cuts[i + 1] - cuts[i])).alias("seed")) for i in range(parts)]
-        return df.select(c, F.explode(F.array(*pieces)).alias("x")).select(c, "x.part", "x.seed")
-
-    pairs = seeds(guides.select("grna").distinct(), "grna").join(seeds(windows.select("w").distinct(), "w"), ["part", "seed"])
-    earlier = F.lit(False)
-    for i in range(parts):
-        same = F.substr("grna", F.lit(cuts[i] + 1), F.lit(cuts[i + 1] - cuts[i])) == F.substr("w", F.lit(cuts[i] + 1), F.lit(cuts[i + 1] - cuts[i]))
-        earlier = earlier | ((F.col("part") > i) & same)
+        pieces = [F.struct(F.lit(sum(1 << i for i in choice)).alias("choice"), F.concat(*[piece(c, i) for i in choice]).alias("seed")) for choice in combinations(range(parts), agree)]
+        return df.select(c, F.explode(F.array(*pieces)).alias("x")).select(c, "x.choice", "x.seed")
+
+    pairs = seeds(guides.select("grna").distinct(), "grna").join(seeds(windows.select("w").distinct(), "w").hint("merge"), ["choice", "seed"])
+    same = F.array_compact(F.array(*[F.when(piece("grna", i) == piece("w", i), F.lit(1 << i)) for i in range(parts)]))
     letters = F.zip_with(F.split("grna", ""), F.split("w", ""), lambda x, y: (x != y).cast("int"))
-    return pairs.where(~earlier).select("grna", "w", F.aggregate(letters, F.lit(0), lambda a, x: a + x).alias("mismatches")).where(F.col("mismatches") <= most)
+    return pairs.where(F.aggregate(F.slice(same, 1, agree), F.lit(0), lambda a, x: a + x) == F.col("choice")).select("grna", "w", F.aggregate(letters, F.lit(0), lambda a, x: a + x).alias("mismatches")).where(F.col("mismatches") <= most)
 
 
 def near_motif(seq: Column, start: Column, end: Column, motif: str, width: int, slack: Column) -> Column:

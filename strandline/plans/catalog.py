@@ -101,6 +101,16 @@ def offtarget_hits(spark, d):
     return sr.hamming_hits(q, m, 20, 4).select("grna", "w", *big("mismatches"))
 
 
+@query()
+def offtarget_guide_hits(spark, d):
+    """The whole search of which offtarget_hits and its SQL take the first 20 bases of each
+    target and one strand: all guides against the windows of both strands."""
+    q = sq.guides(sub.targets(spark, d), Pam.parse("NGG"))
+    m = sub.molecules(spark, d).select(F.explode(F.array("seq", sq.reverse_complement(F.col("seq")))).alias("seq")).where(F.length("seq") >= 20)
+    m = m.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("seq") - 19), lambda i: F.substr("seq", i, F.lit(20)))).alias("w"))
+    return sr.hamming_hits(q, m, 20, 4, agree=3).select("grna", "w", *big("mismatches"))
+
+
 @query(f"WITH {sub.D_CODING}, {sub.D_GENES}, {sub.D_TARGETS} SELECT gene, string_agg(substring(seq, CAST(\"start\" % 100 + 1 AS INTEGER), CAST(\"end\" - \"start\" AS INTEGER)), '' ORDER BY \"start\", substring(seq, CAST(\"start\" % 100 + 1 AS INTEGER), CAST(\"end\" - \"start\" AS INTEGER))) AS seq FROM cd JOIN t ON t.target_id = CAST(cd.gene % 200 + 1 AS VARCHAR) GROUP BY gene")
 def stitch_cds(spark, d):
     t = sub.targets(spark, d)
