@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.operators.prefix import global_prefix
+from strandline.operators.scratch import stored
 
 #: Distinct words whose ids a worker remembers before it starts anew.
 REMEMBERED = 1_000_000
@@ -193,7 +194,8 @@ def packed_sequences(docs: DataFrame, tokenizer: str, length: int = 2048, grain:
         raise ValueError("grain must divide length")
     capacity = length // grain
     pieces = tokenized_pieces(docs, tokenizer, length, end_id, id_col, text_col)
-    pieces = pieces.withColumn("size", F.ceil(F.col("length") / grain).cast("int"))
+    # stored: the range sort reads its input twice, the texts are tokenized once
+    pieces = stored(pieces.withColumn("size", F.ceil(F.col("length") / grain).cast("int")), "pieces")
     ranked = global_prefix(pieces, ["size", "id", "start"], [])
     demand, first = np.zeros(capacity, np.int64), np.zeros(capacity + 1, np.int64)
     for r in ranked.groupBy("size").agg(F.count(F.lit(1)).alias("n"), F.min("row_before").alias("first")).collect():
