@@ -176,7 +176,8 @@ def fitted_model(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, i
     share = F.create_map(*[x for k, v in n.items() for x in (F.lit(k), F.lit(min(1.0, fit_rows / v)))])
     u = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20)
     chosen = known.where(u < share[F.col("toxic")]).dropDuplicates(["id"])
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(chosen, "id")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.join(F.broadcast(chosen), "id")  # about fit_rows ids of each class
     sample = stored(rows, "toxfit").select("id", "toxic", "text")
     kind = dict(sample.dtypes)["id"]
     n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
@@ -234,7 +235,7 @@ def fitted_model(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, i
             p = model.marginals([model.levels_of(WORD.findall(t.lower()), memo) for t in b.column(2).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([_summary(q) for q in p], pa.float64())], names=["toxic", "x"])
 
-    found = sample.mapInArrow(sums, "toxic int, x double").orderBy("x", "toxic").collect()
+    found = sorted(sample.mapInArrow(sums, "toxic int, x double").collect(), key=lambda r: (r["x"], r["toxic"]))
     model.curve = fitted_curve(np.array([r["x"] for r in found]), np.array([r["toxic"] for r in found]))
     return model
 
