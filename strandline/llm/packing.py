@@ -18,14 +18,16 @@ from strandline.operators.scratch import stored
 
 #: Distinct words whose ids a worker remembers before it starts anew.
 REMEMBERED = 1_000_000
+#: Marks that end words; no splitting pattern cuts a run of them.
+MARKS = ".,;:!?%&#$*"
 
 
 class WordIds:
     """Ids of whole texts as little-endian 32-bit bytes, by tokenizers.
 
     Plain Latin texts are lower-cased and cut by the file's own splitting pattern, and
-    only words not met before go to the library, many in one call, told apart by its word
-    numbers.  Any other text (characters beyond U+024F, controls, special strings) is
+    only words not met before go to the library, many in one call, told apart by the ids that
+    end words.  Any other text (characters beyond U+024F, controls, special strings) is
     given to the library whole.
     """
 
@@ -41,37 +43,49 @@ class WordIds:
         self.words = regex.compile(split["pattern"]["Regex"])
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.unusual = re.compile("[^\\t\\n\\r -~\u00a0-\u012f\u0131-\u024f]")
+        #: words, and the parts of words, which read the same when they stand alone
         self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        ends = [i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]
+        self.ends = np.zeros(max(self.tokenizer.get_vocab_size(), *ends) + 1, bool)
+        self.ends[ends] = True
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
-        plain = [not self.unusual.search(t) and not any(s in t for s in self.special) for t in texts]
-        words = [t.lower().split() if p else None for t, p in zip(texts, plain, strict=True)]
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        if len(self.parts) > REMEMBERED:
-            self.parts.clear()
-        cut = {w: self.words.findall(w) for ws in words if ws for w in set(ws) if w not in known}
-        self.learn(list({p for ps in cut.values() for p in ps if p not in self.parts}))
-        part = self.parts.__getitem__
-        for w, ps in cut.items():
-            known[w] = part(ps[0]) if len(ps) == 1 else b"".join(map(part, ps))
-        get = known.__getitem__
-        return [b"".join(map(get, ws)) if ws is not None else self.whole(t) for t, ws in zip(texts, words, strict=True)]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        known, found, missing = self.known, [], set()
+        get = known.get
+        for t in texts:
+            if self.unusual.search(t) or any(s in t for s in self.special):
+                found.append((None, ()))
+                continue
+            words = t.lower().split()
+            ids = list(map(get, words))
+            if None in ids:
+                new = [w for w, x in zip(words, ids, strict=True) if x is None]
+                missing.update(new)
+                found.append((words, None))
+            else:
+                found.append((words, ids))
+        # letters alone are one part, letters and then marks are two
+        cut = {}
+        for w in missing:
+            core = w.rstrip(MARKS)
+            cut[w] = self.words.findall(w) if not core.isalpha() else () if len(core) == len(w) else (core, w[len(core) :])
+        self.learn(list({p for w, ps in cut.items() for p in ps or (w,)}.difference(known)))
+        whole, at = self.whole, known.__getitem__
+        known.update({w: b"".join(map(at, ps)) for w, ps in cut.items() if len(ps) > 1})
+        return [whole(t) if ws is None else b"".join(ids if ids is not None else map(at, ws)) for t, (ws, ids) in zip(texts, found, strict=True)]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, words: list[str]) -> None:
+        """Ids of words of one part each: the last id of a word is one that ends words."""
         for i in range(0, len(words), 5_000):
             part = words[i : i + 5_000]
-            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids, ends = np.array(e.ids, "<u4"), np.searchsorted(e.word_ids, np.arange(1, len(part) + 1))
-            start = 0
-            for w, end in zip(part, ends.tolist(), strict=True):
-                self.parts[w] = ids[start:end].tobytes()
-                start = end
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            raw, ends = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            self.known.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
 
 
 @lru_cache(maxsize=2)
