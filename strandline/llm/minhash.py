@@ -28,7 +28,7 @@ from strandline.operators.scratch import stored
 
 WIDTH, MISS = 3, 1e-4
 #: Bits of a parity sketch.
-BITS = 1024
+BITS = 2_048
 #: Large sets: pairs whose sketches differ by so many deviations more than sets just at the threshold are dropped.
 DEVIATIONS = 4.5
 #: Distinct words whose hashes a worker remembers before it starts anew.
@@ -242,7 +242,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     of a bucket is first compared with one member chosen by hash; the best partner of each
     document is confirmed and linked.  Then, in rounds, each member of a bucket that still
     holds several components is compared with all members of other components, and its
-    nearest possible partners are confirmed: two in the first round, eight times as many in
+    nearest possible partners are confirmed: two in the first round, sixteen times as many in
     each later one, until no bucket has a possible pair left.  So every pair that meets in a
     table is either linked, ruled out, or inside one component; pairs are never listed
     beyond the few nearest of each member.
@@ -297,7 +297,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         more = stored(pairs.where("more").select("bucket").distinct(), "mhmore")
         if more.isEmpty():
             break
-        open_, most = buckets.join(more, "bucket", "left_semi").select("bucket", "id"), most * 8
+        open_, most = buckets.join(more, "bucket", "left_semi").select("bucket", "id"), most * 16
 
     classes = reps.select("set_hash", "n", F.col("id").alias("rep")).join(found.withColumnRenamed("id", "rep"), "rep", "left").select("set_hash", "n", F.coalesce("component", "rep").alias("comp"))
     out = signed.select("id", "n", "set_hash").join(classes, ["set_hash", "n"], "left")
