@@ -287,7 +287,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     # members with those of other components of their buckets, until none is possible
     open_, most = buckets.select("bucket", "id"), 2
     while True:
-        placed = open_.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("comp"))
+        placed = stored(open_.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("comp")), "mhplaced")
         pairs = stored(partners(blocked(placed, brief), percent, most), "mhpairs")
         new = pairs.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
         links = confirmed(new, texts, width, percent)
