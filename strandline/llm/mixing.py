@@ -97,7 +97,7 @@ def fit_lengths(counts: dict[int, int], budget: float) -> dict[int, int]:
     return take
 
 
-def mixed_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mixed_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep_source: bool = False) -> DataFrame:
     """How often each document goes into a mix in which the sources hold ``weights``.
 
     A size is the number of words of the text (null: 0).  A source whose target is q
@@ -139,5 +139,5 @@ def mixed_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int
     every = counted.unionByName(empty)
     per_source = plan.select(F.col("source").alias("s"), "source_size", "target")
     return every.join(F.broadcast(per_source), F.col("source").eqNullSafe(F.col("s"))).select(
-        F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken")
+        F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), *([F.col("source").alias(source_col)] if keep_source else [])
     )

@@ -174,15 +174,29 @@ def repeated_spans(docs: DataFrame, window: int = 400, id_col: str = "doc_id", t
     return stored(spans.mapInArrow(merge, f"id {kind}, starts array<int>, ends array<int>"), "pfpspans").withColumnRenamed("id", id_col)
 
 
+def numbered(docs: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """``docs`` and a column that tells its rows apart: the id, or where ids repeat or are
+    null a number given to each row and stored with it."""
+    per = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
+    if per.where(F.col("n").gt(1) | F.col(id_col).isNull()).isEmpty():
+        return docs, id_col
+    name = "row__"
+    while name in docs.columns:
+        name += "_"
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "pfpdocs"), name
+
+
 def with_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """All rows of ``docs`` with span_starts__ and span_ends__ of their runs (null: none)."""
     return docs.join(spans.select(F.col(id_col).alias("span_id__"), F.col("starts").alias("span_starts__"), F.col("ends").alias("span_ends__")), docs[id_col] == F.col("span_id__"), "left").drop("span_id__")
 
 
 def removal_digest(docs: DataFrame, window: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256): what is left of each text when the
-    repeated runs go.  A null text counts as empty."""
-    marked = with_spans(docs.select(id_col, text_col), repeated_spans(docs, window, id_col, text_col), id_col)
+    """(id, n_bytes, n_removed, n_spans, kept_sha256, kept_bytes) of each row: what is left of
+    its text when the repeated runs go.  A null text counts as empty.  Repeated rows are
+    documents of their own, so each repeats the other's text, whatever their ids."""
+    rows, key = numbered(docs.select(id_col, text_col), id_col)
+    marked = with_spans(rows, repeated_spans(rows, window, key, text_col), key).select(id_col, text_col, "span_starts__", "span_ends__")
 
     def digest(batches):
         for b in batches:
@@ -194,17 +208,20 @@ def removal_digest(docs: DataFrame, window: int = 400, id_col: str = "doc_id", t
                     sha.update(data[at:s])
                     at, gone = t, gone + t - s
                 sha.update(data[at:])
-                out.append((len(data), gone, len(lo or ()), sha.hexdigest()))
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"]) if out else pa.RecordBatch.from_arrays([b.column(0), *[pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.string())]], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                out.append((len(data), gone, len(lo or ()), sha.hexdigest(), len(data) - gone))
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ((),) * 5, types, strict=True)]], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"])
 
     kind = dict(docs.dtypes)[id_col]
-    return marked.mapInArrow(digest, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return marked.mapInArrow(digest, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes long")
 
 
 def without_repeats(docs: DataFrame, window: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the repeated runs cut out of the text column; a character that only
-    partly lies in a run stays whole.  Rows, other columns and their order stay."""
-    marked = with_spans(docs, repeated_spans(docs, window, id_col, text_col), id_col)
+    partly lies in a run stays whole.  Rows, other columns and their order stay.  Repeated
+    rows are documents of their own, so each repeats the other's text."""
+    rows, key = numbered(docs, id_col)
+    marked = with_spans(rows, repeated_spans(rows, window, key, text_col), key).select(*docs.columns, "span_starts__", "span_ends__")
     names, where = docs.columns, docs.columns.index(text_col)
 
     def cut(batches):

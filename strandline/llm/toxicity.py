@@ -240,15 +240,16 @@ def fitted_model(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, i
     return model
 
 
-def toxicity_scores(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def toxicity_scores(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("score", "spans")) -> DataFrame:
     """The columns ``keep`` (default: the id) of each row with its score and ``spans``, the
-    offending (start, end) character offsets.  Null and empty texts have no tokens and get
-    the score of a document without toxic words."""
+    offending (start, end) character offsets; ``names`` renames these two where ``keep`` has
+    such columns.  Null and empty texts have no tokens and get the score of a document
+    without toxic words.  Every row is scored by itself, repeated rows alike."""
     keep = keep or [id_col]
     rows = docs.select(*keep, F.col(text_col).alias("text__"))
-    schema = StructType([*docs.select(*keep).schema.fields, StructField("score", DoubleType()), StructField("spans", ArrayType(SPAN))])
+    schema = StructType([*docs.select(*keep).schema.fields, StructField(names[0], DoubleType()), StructField(names[1], ArrayType(SPAN))])
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [*keep, "score", "spans"]
+    columns = [*keep, *names]
 
     def score(batches):
         m = shared.value
@@ -271,6 +272,6 @@ def toxicity_scores(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id",
                     else:
                         spans.append([])
                 kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(scores, pa.float64()), pa.array(spans, kind)], names=names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(scores, pa.float64()), pa.array(spans, kind)], names=columns)
 
     return rows.mapInArrow(score, schema)
