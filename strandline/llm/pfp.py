@@ -178,7 +178,7 @@ def numbered(docs: DataFrame, id_col: str) -> tuple[DataFrame, str]:
     """``docs`` and a column that tells its rows apart: the id, or where ids repeat or are
     null a number given to each row and stored with it."""
     per = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
-    if per.where(F.col("n").gt(1) | F.col(id_col).isNull()).isEmpty():
+    if per.where((F.col("n") > 1) | F.col(id_col).isNull()).isEmpty():
         return docs, id_col
     name = "row__"
     while name in docs.columns:

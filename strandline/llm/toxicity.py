@@ -246,7 +246,10 @@ def toxicity_scores(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id",
     such columns.  Null and empty texts have no tokens and get the score of a document
     without toxic words.  Every row is scored by itself, repeated rows alike."""
     keep = keep or [id_col]
-    rows = docs.select(*keep, F.col(text_col).alias("text__"))
+    own = "text__"
+    while own in keep:
+        own += "_"
+    rows = docs.select(*keep, F.col(text_col).alias(own))
     schema = StructType([*docs.select(*keep).schema.fields, StructField(names[0], DoubleType()), StructField(names[1], ArrayType(SPAN))])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = [*keep, *names]
