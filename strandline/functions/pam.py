@@ -8,7 +8,7 @@ from dataclasses import dataclass
 # IUPAC nucleotide codes.
 IUPAC = {"A": "A", "C": "C", "G": "G", "T": "T", "U": "T", "R": "AG", "Y": "CT", "S": "CG", "W": "AT", "K": "GT", "M": "AC", "B": "CGT", "D": "AGT", "H": "ACT", "V": "ACG", "N": "ACGT"}
 # Named systems and their motifs, the guide's place marked by a dot.
-PRESETS = {"SpCas9": ".NGG", "SaCas9T": ".NGRRT", "SaCas9N": ".NGRRN", "NmeCas9": ".NNNNGATT", "CjCas9": ".NNNNRYAC", "StCas9": ".NNAGAAW", "Cas12a": "TTTV.", "AsCas12a": "TTTV.", "LbCas12a": "TTTV."}
+PRESETS = {"SpCas9": ".NGG", "SaCas9N": ".NGRRN", "SaCas9T": ".NGRRT", "NmeCas9": ".NNNNGATT", "CjCas9": ".NNNNRYAC", "StCas9": ".NNAGAAW", "Cas12a": "TTTV.", "AacCas12b": "TTN.", "BhCas12b": "DTTN."}
 
 
 @dataclass(frozen=True)
@@ -20,17 +20,14 @@ class Pam:
 
     @classmethod
     def parse(cls, text: str, length: int = 20) -> Pam:
-        """A preset, or a motif; without a dot the guide stands before a motif that
-        starts with N and after one that ends with N, a bare one gets a spacer N."""
+        """A preset, or a motif.  Without a dot the guide stands before a motif that starts
+        with N, and after any other that holds an N; one without N gets a spacer N and
+        follows the guide."""
         named = {k.lower(): v for k, v in PRESETS.items()}.get(text.lower())
         motif = named or text.upper()
         if "." not in motif:
-            if motif.startswith("N"):
-                motif = "." + motif
-            elif motif.endswith("N"):
-                motif = motif + "."
-            else:
-                motif = ".N" + motif
+            motif = motif if "N" in motif else "N" + motif
+            motif = "." + motif if motif.startswith("N") else motif + "."
         return cls(motif, length)
 
     def _class(self, motif: str) -> str:

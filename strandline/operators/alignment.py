@@ -1,14 +1,22 @@
-"""Gapped alignments: positions, effective feature ranges and inferred annotation."""
+"""Gapped alignments: positions, effective feature ranges, feature checks, inferred annotation.
+
+Alignments are rows (aln_id, seq_id, aln); rows of one aln_id have one length.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.operators.ranges import to_ranges
+from strandline.operators.ranges import merged, subtracted, to_ranges
+
+# Fixed value: what aligners put before the ids of rows that they turned round.
+TURNED = "_R_"
 
 
-def columns_of(alignment: DataFrame, keep: list[str]) -> DataFrame:
+def columns_of(alignment: DataFrame, keep: Sequence[str]) -> DataFrame:
     """(keep..., col, base, pos): each alignment column; pos counts bases, null in gaps."""
     rows = alignment.select(*keep, F.posexplode(F.filter(F.split("aln", ""), lambda c: c != "")).alias("col", "base"))
     before = Window.partitionBy(*keep).orderBy("col")
@@ -23,14 +31,98 @@ def gapped_position(aln: Column, pos: Column) -> Column:
     return F.get(places, pos)
 
 
-def base_ranges(alignment: DataFrame, keep: list[str]) -> DataFrame:
+def bases_before(aln: Column, col: Column) -> Column:
+    """How many bases a row has before a column."""
+    return F.length(F.replace(F.substr(aln, F.lit(1), col), F.lit("-"), F.lit("")))
+
+
+def base_ranges(alignment: DataFrame, keep: Sequence[str]) -> DataFrame:
     """Runs of alignment columns that hold a base."""
     cols = columns_of(alignment, keep).where("base != '-'").select(*keep, F.col("col").alias("pos"))
     return to_ranges(cols, keep)
 
 
+def column_ranges(alignment: DataFrame, ranges: DataFrame, without_gaps: bool = False) -> DataFrame:
+    """(aln_id, seq_id, start, end) in alignment columns of ``ranges`` (aln_id, seq_id, start,
+    end) that count a row's own bases; ``without_gaps`` leaves out the row's gap columns."""
+    keys = ["aln_id", "seq_id"]
+    rows = alignment.select(*keys, "aln").join(ranges.where("end > start"), keys)
+    whole = rows.select(*keys, gapped_position(F.col("aln"), F.col("start")).alias("start"), (gapped_position(F.col("aln"), F.col("end") - 1) + 1).alias("end"))
+    whole = merged(whole.where("start is not null and end is not null"), keys)
+    if not without_gaps:
+        return whole
+    bases = base_ranges(alignment.join(ranges.select(*keys).distinct(), keys, "left_semi"), keys)
+    # what remains of the ranges when all that lies between runs of bases goes
+    return subtracted(whole, subtracted(whole, bases, keys), keys)
+
+
+def effective_ranges(alignment: DataFrame, features: DataFrame, max_insertion: int = 15) -> DataFrame:
+    """(aln_id, seq_id, gene, start, end): for each row and each reference gene of its
+    alignment the columns that count as the gene's feature.
+
+    ``features`` (aln_id, seq_id, start, end) are feature ranges of reference rows, in their
+    own bases.  A gap of the reference within its feature counts for a row that has at most
+    ``max_insertion`` bases there (each gap by itself).  A row that is a reference itself is
+    compared with its own ranges only.
+    """
+    keys = ["aln_id", "gene"]
+    only = column_ranges(alignment, features, True).withColumnRenamed("seq_id", "gene")
+    gaps = subtracted(column_ranges(alignment, features).withColumnRenamed("seq_id", "gene"), only, keys)
+    references = features.select("aln_id", F.col("seq_id").alias("ref")).distinct()
+    rows = alignment.join(references, (alignment["aln_id"] == references["aln_id"]) & (alignment["seq_id"] == references["ref"]), "left").select(alignment["aln_id"], "seq_id", "aln", "ref")
+    own = F.col("ref").isNull() | (F.col("ref") == F.col("gene"))
+    sure = rows.join(only, "aln_id").where(own).select("aln_id", "seq_id", "gene", "start", "end")
+    inserted = F.length(F.replace(F.substr("aln", F.col("start") + 1, F.col("end") - F.col("start")), F.lit("-"), F.lit("")))
+    kept = rows.join(gaps, "aln_id").where(own & (inserted <= max_insertion)).select("aln_id", "seq_id", "gene", "start", "end")
+    return merged(sure.unionByName(kept), ["aln_id", "seq_id", "gene"])
+
+
+def aligned_hits(hits: DataFrame, alignment: DataFrame) -> DataFrame:
+    """Hits (hit_id, target_id, start, end, target_len) with the row of their target, which
+    may stand turned round, as alignment columns: (hit_id, aln_id, seq_id, sense, start, end).
+    Hits whose target is not aligned are left out."""
+    named = alignment.select("aln_id", "seq_id", "aln", F.regexp_replace("seq_id", f"^{TURNED}", "").alias("target_id"), F.col("seq_id").startswith(TURNED).alias("turned"))
+    rows = hits.select("hit_id", "target_id", "start", "end", "target_len").join(named, "target_id")
+    start = F.when(F.col("turned"), F.col("target_len") - F.col("end")).otherwise(F.col("start"))
+    end = F.when(F.col("turned"), F.col("target_len") - F.col("start")).otherwise(F.col("end"))
+    return rows.select("hit_id", "aln_id", "seq_id", F.when(F.col("turned"), "-").otherwise("+").alias("sense"), gapped_position(F.col("aln"), start).alias("start"), (gapped_position(F.col("aln"), end - 1) + 1).alias("end"))
+
+
+def feature_check(hits: DataFrame, alignment: DataFrame, features: DataFrame, max_insertion: int = 15, least: int = 1, fraction: float = 0.0) -> DataFrame:
+    """(hit_id, sense, n_within, feature): whether a hit lies within the effective ranges of
+    at least ``least`` reference genes and of ``fraction`` of all of its alignment.  Hits
+    whose target is not aligned have no row: their check stays unset."""
+    placed = aligned_hits(hits, alignment)
+    ranges = effective_ranges(alignment, features, max_insertion).select("aln_id", "seq_id", "gene", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
+    inside = placed.join(ranges, ["aln_id", "seq_id"], "left").groupBy("hit_id", "sense", "gene").agg(F.max((F.col("start") >= F.col("r_start")) & (F.col("end") <= F.col("r_end"))).alias("ok"))
+    per = inside.groupBy("hit_id", "sense").agg(F.count_if("ok").alias("n_within"), F.avg(F.coalesce("ok", F.lit(False)).cast("int")).alias("share"))
+    return per.select("hit_id", "sense", "n_within", ((F.col("n_within") >= least) & (F.col("share") >= fraction)).alias("feature"))
+
+
 def within_features(hits: DataFrame, ranges: DataFrame, least: int, fraction: float) -> DataFrame:
     """(hit_id, n_within, feature): how many reference genes' ranges contain the hit."""
     per = hits.join(ranges, "target_id").groupBy("hit_id", "gene").agg(F.max((F.col("start") >= F.col("r_start")) & (F.col("end") <= F.col("r_end"))).alias("ok"))
     out = per.groupBy("hit_id").agg(F.count_if("ok").alias("n_within"), F.avg(F.col("ok").cast("int")).alias("share"))
     return out.select("hit_id", "n_within", ((F.col("n_within") >= least) & (F.col("share") >= fraction)).alias("feature"))
+
+
+def inferred_annotation(alignment: DataFrame) -> DataFrame:
+    """(seqid, type, id, parent, start, end, phase) of genes aligned with their coding
+    sequences; rows (aln_id, seq_id, aln, kind), kind ``gene`` for one row of each alignment
+    and ``cds`` for the others.
+
+    Coordinates count the gene's bases.  Each run of a coding row's bases is a CDS feature,
+    numbered along the gene, with the bases before it modulo 3 as its phase; an mRNA spans
+    them.  A coding row without bases gives nothing.
+    """
+    gene = alignment.where("kind = 'gene'").select("aln_id", F.col("seq_id").alias("seqid"), F.col("aln").alias("g"))
+    coding = alignment.where("kind = 'cds'")
+    runs = base_ranges(coding, ["aln_id", "seq_id"]).join(coding.select("aln_id", "seq_id", "aln"), ["aln_id", "seq_id"]).join(gene, "aln_id")
+    start, end = bases_before(F.col("g"), F.col("start")), bases_before(F.col("g"), F.col("end"))
+    runs = runs.select("seqid", "seq_id", start.alias("start"), end.alias("end"), (bases_before(F.col("aln"), F.col("start")) % 3).alias("phase"), F.col("start").alias("col"))
+    number = F.row_number().over(Window.partitionBy("seqid", "seq_id").orderBy("col"))
+    cds = runs.select("seqid", F.lit("CDS").alias("type"), F.concat("seq_id", F.lit(".cds"), F.lpad(number.cast("string"), 6, "0")).alias("id"), F.col("seq_id").alias("parent"), "start", "end", "phase")
+    none = F.lit(None)
+    mrna = runs.groupBy("seqid", "seq_id").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("seqid", F.lit("mRNA").alias("type"), F.col("seq_id").alias("id"), F.col("seqid").alias("parent"), "start", "end", none.cast("int").alias("phase"))
+    genes = gene.select("seqid", F.lit("gene").alias("type"), F.col("seqid").alias("id"), none.cast("string").alias("parent"), F.lit(0).alias("start"), F.length(F.replace("g", F.lit("-"), F.lit(""))).alias("end"), none.cast("int").alias("phase"))
+    return genes.unionByName(mrna).unionByName(cds)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import heapq
 from collections import defaultdict
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from itertools import accumulate
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.operators.prefix import global_prefix
@@ -22,10 +22,14 @@ def coverage(hits: DataFrame) -> DataFrame:
     return hits.groupBy("grna").agg(F.array_sort(F.collect_set("target_id")).alias("targets")).select("grna", F.size("targets").alias("n_targets"), "targets")
 
 
+def position_5prime() -> Column:
+    """Distance of a hit to the 5' end of the sense strand."""
+    return F.when(F.col("sense") == "-", F.col("target_len") - F.col("end")).otherwise(F.col("start"))
+
+
 def relative_position(hits: DataFrame) -> DataFrame:
     """(grna, pos): mean distance of the guide's hits to the 5' end of the sense strand."""
-    at = F.when(F.col("sense") == "-", F.col("target_len") - F.col("end")).otherwise(F.col("start"))
-    return hits.groupBy("grna").agg(F.avg(at).alias("pos"))
+    return hits.groupBy("grna").agg(F.avg(position_5prime()).alias("pos"))
 
 
 def collapsed(hits: DataFrame) -> DataFrame:
@@ -40,117 +44,129 @@ def collapsed(hits: DataFrame) -> DataFrame:
     return cover.join(named, "targets").select("cg", "grna", "n_targets", "targets")
 
 
-def sure_picks(sets: dict[str, set], position: dict[str, float], bound: tuple | None) -> list[str]:
-    """Greedy picks among ``sets``: most uncovered targets, then nearest to 5', then by name.
-    They end at the first that comes after ``bound``: a guide not at hand may come before it."""
-    covered, chosen = set(), []
-    heap = [(-len(s), position[g], g) for g, s in sets.items()]
+def ends_of_groups(groups: DataFrame, positions: DataFrame) -> DataFrame:
+    """(cg, most_5prime, least_5prime): the guides nearest to and farthest from the 5' end;
+    ties go to the smaller name."""
+    rows = groups.join(positions, "grna").groupBy("cg")
+    return rows.agg(F.min_by("grna", F.struct("pos", "grna")).alias("most_5prime"), F.min_by("grna", F.struct(-F.col("pos"), "grna")).alias("least_5prime"))
+
+
+def paired(hits: DataFrame) -> DataFrame:
+    """(grna, target, s, n): sum and number of 5' positions of a guide's hits on a target."""
+    return hits.groupBy("grna", F.col("target_id").alias("target")).agg(F.sum(position_5prime()).alias("s"), F.count(F.lit(1)).alias("n"))
+
+
+def tie_keys(pairs: DataFrame, covered: DataFrame) -> DataFrame:
+    """(grna, gain, pos, redundancy): targets of a guide not in ``covered`` (target), mean 5'
+    position of its hits on those, and how many of its targets are covered."""
+    rows = pairs.join(covered.select("target").distinct().withColumn("old", F.lit(True)), "target", "left")
+    new = F.col("old").isNull()
+    per = rows.groupBy("grna").agg(F.count_if(new).alias("gain"), F.sum(F.when(new, F.col("s"))).alias("s"), F.sum(F.when(new, F.col("n"))).alias("n"), F.count_if(~new).alias("redundancy"))
+    return per.select("grna", "gain", (F.col("s") / F.col("n")).alias("pos"), "redundancy")
+
+
+def sure_picks(sets: dict[str, dict], covered: set, whole_pos: bool, bound: tuple | None) -> list[str]:
+    """Greedy picks among ``sets`` (grna: {target: (s, n)}): most targets not ``covered``, then
+    nearest to 5', then fewest covered ones, then by name.  They end at the first that comes
+    after ``bound``: a guide not at hand may come before it.  A guide's key changes only with
+    its number of uncovered targets, and that only falls, so a waiting key whose number is
+    still right is right altogether."""
+    covered = set(covered)
+
+    def key(g: str) -> tuple:
+        new = [t for t in sets[g] if t not in covered]
+        on = [sets[g][t] for t in (sets[g] if whole_pos else new)]
+        return (-len(new), sum(v[0] for v in on) / sum(v[1] for v in on) if new else 0.0, len(sets[g]) - len(new), g)
+
+    chosen, heap = [], [key(g) for g in sets]
     heapq.heapify(heap)
     while heap:
-        key = heapq.heappop(heap)
-        if bound is not None and key > bound:
+        old = heapq.heappop(heap)
+        if bound is not None and old > bound:
             break
-        now = len(sets[key[2]] - covered)
-        if now and now != -key[0]:
-            heapq.heappush(heap, (-now, *key[1:]))
-        elif now:
-            chosen.append(key[2])
-            covered |= sets[key[2]]
+        now = key(old[3])
+        if now != old:
+            heapq.heappush(heap, now)
+        elif now[0]:
+            chosen.append(old[3])
+            covered.update(sets[old[3]])
     return chosen
 
 
-def greedy_cover(pairs: DataFrame) -> list[str]:
-    """Guides in the order in which the greedy cover picks them, from distinct ``pairs``
-    (grna, pos, target) of at least one guide a target.
+def greedy_cover(pairs: DataFrame, whole_pos: bool = False) -> list[str]:
+    """Guides in the order in which the greedy cover picks them, from ``pairs`` (grna,
+    target, s, n) of at least one guide a target.  Ties go to the guide nearest to 5' on its
+    uncovered targets (``whole_pos``: on all), then to the least redundant, then by name.
 
     Each round counts the uncovered targets of all guides on Spark and brings only the first
     guides to the driver (at most ``CANDIDATES`` with ``PAIRS`` pairs).  Counts never grow,
     so picks that come before the last of these are those of the whole table.
     """
+    total = pairs.groupBy("grna").agg((F.sum("s") / F.sum("n")).alias("all_pos"), F.count(F.lit(1)).alias("all"))
     chosen, left = [], pairs
     while True:
-        gains = left.groupBy("grna").agg(F.count(F.lit(1)).alias("gain"), F.first("pos").alias("pos"))
-        top = gains.orderBy(F.desc("gain"), "pos", "grna").limit(CANDIDATES).collect()
+        gains = left.groupBy("grna").agg(F.count(F.lit(1)).alias("gain"), (F.sum("s") / F.sum("n")).alias("pos"))
+        gains = gains.join(total, "grna").withColumn("red", F.col("all") - F.col("gain"))
+        gains = gains.withColumn("pos", F.col("all_pos")) if whole_pos else gains
+        top = gains.orderBy(F.desc("gain"), "pos", "red", "grna").limit(CANDIDATES).collect()
         if not top:
             return chosen
-        sums = list(accumulate(r["gain"] for r in top))
+        sums = list(accumulate(r["all"] for r in top))
         first = top[: max(1, sum(n <= PAIRS for n in sums))]
         whole = len(first) == len(top) < CANDIDATES
-        names = left.sparkSession.createDataFrame([(r["grna"],) for r in first], "grna string")
         if len(first) == 1:
             picked = [first[0]["grna"]]
         else:
-            sets = defaultdict(set)
-            for r in left.join(F.broadcast(names), "grna").select("grna", "target").collect():
-                sets[r["grna"]].add(r["target"])
+            names = left.sparkSession.createDataFrame([(r["grna"],) for r in first], "grna string")
+            sets: dict = defaultdict(dict)
+            covered = {r["target"] for r in pairs.join(F.broadcast(names), "grna").select("target").distinct().join(left.select("target").distinct(), "target", "left_anti").collect()}
+            for r in pairs.join(F.broadcast(names), "grna").collect():
+                sets[r["grna"]][r["target"]] = (r["s"], r["n"])
             last = first[-1]
-            picked = sure_picks(sets, {r["grna"]: r["pos"] for r in first}, None if whole else (-last["gain"], last["pos"], last["grna"]))
+            picked = sure_picks(sets, covered, whole_pos, None if whole else (-last["gain"], last["pos"], last["red"], last["grna"]))
         chosen += picked
         if whole:
             return chosen
         names = left.sparkSession.createDataFrame([(g,) for g in picked], "grna string")
-        covered = left.join(F.broadcast(names), "grna", "left_semi").select("target").distinct()
-        left = stored(left.join(covered, "target", "left_anti"), "cover")
+        gone = left.join(F.broadcast(names), "grna", "left_semi").select("target").distinct()
+        left = stored(left.join(gone, "target", "left_anti"), "cover")
 
 
-def exclusive_sets(hits: DataFrame, n_sets: int = 1) -> DataFrame:
+def exclusive_sets(hits: DataFrame, n_sets: int = 1, targets: DataFrame | None = None, algorithm: str = "LAR", approve: Callable[[int, list[str]], Sequence[str]] | None = None) -> DataFrame:
     """(set_number, grna): up to ``n_sets`` covering sets that share no guide.
 
-    Guides with equal targets are interchangeable, so only the best few of each distinct
-    target set take part.  Only the sets themselves and a bounded part of a round's pairs
-    come to the driver.
+    Each set covers all ``targets`` (target_id; default: those that the guides hit), or there
+    are no more sets.  LAR breaks ties by positions on targets still uncovered, ``greedy`` by
+    positions on all.  ``approve`` is shown each set and returns the guides that it rejects:
+    they leave the candidates, the others return to them, and the set is made anew.  Only
+    the sets and a bounded part of a round's pairs come to the driver.
     """
-    cover = coverage(hits).join(relative_position(hits), "grna")
-    best = F.row_number().over(Window.partitionBy("targets").orderBy("pos", "grna"))
-    kept = cover.withColumn("k", best).where(F.col("k") <= n_sets)
-    pairs = stored(kept.select("grna", F.coalesce("pos", F.lit(float("inf"))).alias("pos"), F.explode("targets").alias("target")), "cover")
-    n_targets, out = pairs.select("target").distinct().count(), []
-    for i in range(1, n_sets + 1):
-        free = pairs
-        if out:
-            used = hits.sparkSession.createDataFrame([(g,) for _, g in out], "grna string")
-            free = pairs.join(used, "grna", "left_anti")
-            if free.select("target").distinct().count() < n_targets:
-                break
-        out += [(i, g) for g in greedy_cover(free)]
+    if algorithm not in ("LAR", "greedy"):
+        raise ValueError(f"no such set cover: {algorithm!r}")
+    pairs = stored(paired(hits), "cover")
+    asked = stored((pairs.select("target") if targets is None else targets.select(F.col("target_id").alias("target"))).distinct(), "cover")
+    pairs = pairs.join(asked, "target", "left_semi")
+    n_targets, out, rejected = asked.count(), [], []
+    while len({i for i, _ in out}) < n_sets:
+        free, used = pairs, [g for _, g in out] + rejected
+        if used:
+            free = stored(pairs.join(hits.sparkSession.createDataFrame([(g,) for g in used], "grna string"), "grna", "left_anti"), "cover")
+        if not n_targets or free.select("target").distinct().count() < n_targets:
+            break
+        number = len({i for i, _ in out}) + 1
+        picked = greedy_cover(free, whole_pos=algorithm == "greedy")
+        bad = set(approve(number, picked)) & set(picked) if approve else set()
+        if bad:
+            rejected += sorted(bad)
+        else:
+            out += [(number, g) for g in picked]
     return hits.sparkSession.createDataFrame(out, "set_number int, grna string")
 
 
-def enumerated_covers(sets: dict[str, tuple[float, frozenset]], universe: frozenset, most: int) -> list[tuple[float, tuple[str, ...]]]:
-    """Covers in order of approximate weight: the best cover of every branch (a set forced
-    in, those before it left out) waits in a priority queue."""
-
-    def approximate(forced: tuple[str, ...], banned: frozenset):
-        left, chosen = set(universe), list(forced)
-        for g in forced:
-            left -= sets[g][1]
-        while left:
-            options = [(w / len(s & left), g) for g, (w, s) in sets.items() if g not in banned and g not in chosen and s & left]
-            if not options:
-                return None
-            chosen.append(min(options)[1])
-            left -= sets[chosen[-1]][1]
-        return sum(sets[g][0] for g in chosen), tuple(chosen)
-
-    queue, out, seen = [], [], set()
-    if first := approximate((), frozenset()):
-        queue.append((*first, (), frozenset()))
-    while queue and len(out) < most:
-        weight, chosen, forced, banned = heapq.heappop(queue)
-        key = frozenset(chosen)
-        if key not in seen:
-            seen.add(key)
-            out.append((weight, tuple(sorted(chosen))))
-        for i in range(len(forced), len(chosen)):
-            keep, ban = chosen[:i], banned | {chosen[i]}
-            if new := approximate(keep, ban):
-                heapq.heappush(queue, (*new, keep, ban))
-    return out
-
-
-def one_from_each_group(groups: DataFrame, n_sets: int | None = None) -> DataFrame:
-    """(set_number, cg, grna): set i takes the i-th member of every group, nearest to 5' first."""
-    order = Window.partitionBy("cg").orderBy("pos", "grna")
+def one_from_each_group(groups: DataFrame, n_sets: int | None = None, from_3prime: bool = False) -> DataFrame:
+    """(set_number, cg, grna): set i takes the i-th member of every group, nearest to 5'
+    (or farthest from it) first."""
+    order = Window.partitionBy("cg").orderBy(F.desc("pos") if from_3prime else F.col("pos"), "grna")
     size = F.count(F.lit(1)).over(Window.partitionBy("cg"))
     rows = groups.select("cg", "grna", F.row_number().over(order).alias("set_number"), size.alias("n"))
     limit = rows.agg(F.min("n").alias("full"))
@@ -158,7 +174,12 @@ def one_from_each_group(groups: DataFrame, n_sets: int | None = None) -> DataFra
     return rows.select("set_number", "cg", "grna") if n_sets is None else rows.where(F.col("set_number") <= n_sets).select("set_number", "cg", "grna")
 
 
-def redundancy(solution: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per solution: weight, elements listed, distinct elements and their difference."""
+def redundancy(solution: DataFrame, keys: Sequence[str], weight: str | None = None) -> DataFrame:
+    """Per solution: elements listed, distinct elements and their difference; with a weight
+    column (one value a member, named by column member) the solution's weight too."""
     per = solution.groupBy(*keys).agg(F.count("element").alias("listed"), F.countDistinct("element").alias("distinct_elements"))
-    return per.withColumn("redundancy", F.col("listed") - F.col("distinct_elements"))
+    per = per.withColumn("redundancy", F.col("listed") - F.col("distinct_elements"))
+    if weight is None:
+        return per
+    sums = solution.select(*keys, "member", weight).distinct().groupBy(*keys).agg(F.sum(weight).alias("weight"))
+    return per.join(sums, list(keys))

@@ -12,6 +12,11 @@ def within(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Co
     return (a_start >= b_start) & (a_end <= b_end)
 
 
+def within_any(start: Column, end: Column, ranges: Column) -> Column:
+    """Whether one of an array of (start, end) structs contains the range."""
+    return F.exists(ranges, lambda r: (start >= r["start"]) & (end <= r["end"]))
+
+
 def converted(start: Column, end: Column, base_from: int, closed_from: bool, base_to: int, closed_to: bool) -> tuple[Column, Column]:
     """The same positions counted from another base, with the end in or out."""
     shift = base_to - base_from
@@ -61,4 +66,11 @@ def intersected(a: DataFrame, b: DataFrame, keys: Sequence[str], bin_size: int =
 
 
 def subtracted(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return to_ranges(to_positions(a, keys).join(to_positions(b, keys), [*keys, "pos"], "left_anti"), keys)
+    """What of the ranges of ``a`` no range of ``b`` covers.  The ends of both unions are
+    swept in order, so no positions are listed: a stretch begins where a begins or b ends
+    and counts while a is open and b is not."""
+    edge = lambda df, d, e: merged(df, keys).select(*keys, F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(d).alias("da"), F.lit(e).alias("db")), F.struct(F.col("end").alias("at"), F.lit(-d).alias("da"), F.lit(-e).alias("db")))).alias("x")).select(*keys, "x.*")
+    places = edge(a.where("end > start"), 1, 0).unionByName(edge(b.where("end > start"), 0, 1)).groupBy(*keys, "at").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
+    order = Window.partitionBy(*keys).orderBy("at")
+    swept = places.select(*keys, F.col("at").alias("start"), F.lead("at").over(order).alias("end"), F.sum("da").over(order).alias("a"), F.sum("db").over(order).alias("b"))
+    return merged(swept.where("a > 0 and b = 0").select(*keys, "start", "end"), keys)

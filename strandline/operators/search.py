@@ -8,7 +8,12 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.pam import Pam
 from strandline.operators.ranges import merged, range_join
+from strandline.operators.sequences import reverse_complement, windows
+
+#: Bases by which sequences to be masked are looked up, at most.
+SEED = 24
 
 
 def merged_hits(hits: DataFrame, keys: Sequence[str], within: int, min_len: int, min_id: float, id_before: float | None = None) -> DataFrame:
@@ -51,9 +56,11 @@ def btop_expanded(btop: Column, query_start: Column, query_end: Column, query_le
     return F.concat(F.repeat(F.lit(" "), query_start), body, F.repeat(F.lit(" "), query_len - query_end))
 
 
-def btop_positions(expanded: Column) -> Column:
-    """Array with an element a query position: the deletions before it and its own letter;
-    trailing deletions go to one more element."""
+def btop_positions(expanded: Column, from_end: bool = False) -> Column:
+    """Array with an element a query position: its own letter and the deletions before it
+    (trailing ones go to one more element), or, counted ``from_end``, those after it."""
+    if from_end:
+        return F.regexp_extract_all(expanded, F.lit(r"([.mi ]d*)"), 1)
     return F.regexp_extract_all(F.concat(expanded, F.lit("$")), F.lit(r"(d*[.mi $])"), 1)
 
 
@@ -95,9 +102,67 @@ def hamming_hits(guides: DataFrame, windows: DataFrame, length: int, most: int,
     return pairs.where(F.aggregate(F.slice(same, 1, agree), F.lit(0), lambda a, x: a + x) == F.col("choice")).select("grna", "w", F.aggregate(letters, F.lit(0), lambda a, x: a + x).alias("mismatches")).where(F.col("mismatches") <= most)
 
 
-def near_motif(seq: Column, start: Column, end: Column, motif: str, width: int, slack: Column) -> Column:
-    """Whether a motif stands within the bases after a hit, widened by ``slack``."""
-    return F.upper(F.substr(seq, end + 1 - F.least(slack, end - start), F.lit(width) + 2 * slack)).rlike(motif)
+def near_pam(seq: Column, start: Column, end: Column, strand: Column, q_start: Column, q_end: Column, length: int, gaps: Column, pam: Pam, max_gap: int) -> Column:
+    """Whether a hit (+ coordinates on ``seq``) has the motif on either side within the gap
+    allowance that is left and the guide's bases that did not align."""
+    slack = F.lit(max(1, max_gap) - 1) - gaps
+    left, right = pam.widths
+
+    def beside(before: bool) -> Column:
+        width = (F.lit(left) + slack + q_start) if before else (F.lit(right) + slack + length - q_end)
+        width = F.greatest(width, F.lit(0))
+        low = F.substr(seq, F.greatest(start - width, F.lit(0)) + 1, F.least(start, width))
+        high = F.substr(seq, end + 1, width)
+        plus, minus = (low, reverse_complement(high)) if before else (high, reverse_complement(low))
+        return F.upper(F.when(strand == "-", minus).otherwise(plus))
+
+    found = F.lit(False)
+    if pam.before:
+        found = found | beside(True).rlike(pam.before)
+    if pam.after:
+        found = found | beside(False).rlike(pam.after)
+    return found
+
+
+def masked_regions(masks: DataFrame, subjects: DataFrame, perfect: DataFrame | None = None) -> DataFrame:
+    """(source, molecule, start, end, masked): where a sequence to be masked (seq_id, seq)
+    stands whole and unchanged in ``subjects`` (source, molecule, seq), on either strand.
+
+    Sequences of different lengths meet by their first bases (as many as the shortest has,
+    ``SEED`` at most) and are compared whole.  ``perfect``: rows of a hit table (source,
+    molecule, start, end, masked, q_start, q_end, q_len, mismatches, gaps) count besides
+    where a hit covers its query without mismatch and gap.
+    """
+    m = masks.where(F.length("seq") > 0).select(F.col("seq_id").alias("masked"), F.upper("seq").alias("f"))
+    seed = m.agg(F.min(F.length("f")).alias("k")).first()["k"]
+    none = masks.sparkSession.createDataFrame([], "source string, molecule string, start int, end int, masked string")
+    found = none
+    if seed:
+        k = min(seed, SEED)
+        forms = m.select("masked", "f").unionByName(m.select("masked", reverse_complement(F.col("f")).alias("f"))).distinct().withColumn("w", F.substr("f", F.lit(1), F.lit(k)))
+        longest = m.agg(F.max(F.length("f")).alias("k")).first()["k"]
+        rows = windows(subjects.select("source", "molecule", F.upper("seq").alias("s")), ["source", "molecule"], k, 0, longest)
+        at = F.col("at") - F.col("lo") + 1
+        met = rows.withColumn("w", F.substr("part", at, F.lit(k))).join(forms, "w").where(F.substr("part", at, F.length("f")) == F.col("f"))
+        found = met.select("source", "molecule", F.col("at").alias("start"), (F.col("at") + F.length("f")).alias("end"), "masked").distinct()
+    if perfect is not None:
+        whole = perfect.where("q_start = 0 and q_end = q_len and mismatches = 0 and gaps = 0").select("source", "molecule", "start", "end", "masked")
+        found = found.unionByName(whole).distinct()
+    return found
+
+
+def problematic_hits(hits: DataFrame, masks: DataFrame, aligned: Column, motif: Column | None = None) -> DataFrame:
+    """Hits (molecule, start, end...) outside all masks of their molecule that align too
+    well (``aligned``) and, unless guides bind without it, lie near the motif."""
+    risky = hits.where(aligned if motif is None else aligned & motif)
+    return outside_masks(risky, masks)
+
+
+def background_checked(guides: DataFrame, problematic: DataFrame) -> DataFrame:
+    """``guides`` (grna) with the check ``background``: it fails with any problematic hit in
+    any file, whatever the case of the sequence."""
+    bad = problematic.select(F.upper("grna").alias("bad__")).distinct().withColumn("x__", F.lit(False))
+    return guides.join(bad, F.upper("grna") == F.col("bad__"), "left").withColumn("background", F.coalesce("x__", F.lit(True))).drop("bad__", "x__")
 
 
 def in_domains(subject: Column, wanted: Sequence[str]) -> Column:

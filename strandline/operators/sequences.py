@@ -4,17 +4,39 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.pam import Pam
 from strandline.operators.prefix import global_prefix
+from strandline.operators.ranges import intersected, merged
 
+#: Windows of a piece into which sequences are cut.
+PIECE = 4_096
 # Complements of IUPAC codes; amino acids of the standard code over ACGT x ACGT x ACGT.
 BASES, COMPLEMENTS = "ACGTURYSWKMBDHVNacgturyswkmbdhvn", "TGCAAYRSWMKVHDBNtgcaayrswmkvhdbn"
 STANDARD_CODE = "KNKNTTTTRSRSIIMIQHQHPPPPRRRRLLLLEDEDAAAAGGGGVVVV*Y*YSSSS*CWCLFLF"
 
 
+# What other NCBI genetic codes read differently from the standard one.
+OTHER_CODES = {
+    1: {}, 2: {"AGA": "*", "AGG": "*", "ATA": "M", "TGA": "W"}, 3: {"ATA": "M", "CTT": "T", "CTC": "T", "CTA": "T", "CTG": "T", "TGA": "W"},
+    4: {"TGA": "W"}, 5: {"AGA": "S", "AGG": "S", "ATA": "M", "TGA": "W"}, 6: {"TAA": "Q", "TAG": "Q"}, 9: {"AAA": "N", "AGA": "S", "AGG": "S", "TGA": "W"},
+    10: {"TGA": "C"}, 11: {}, 12: {"CTG": "S"}, 13: {"AGA": "G", "AGG": "G", "ATA": "M", "TGA": "W"}, 14: {"AAA": "N", "AGA": "S", "AGG": "S", "TAA": "Y", "TGA": "W"},
+    16: {"TAG": "L"}, 21: {"TGA": "W", "ATA": "M", "AGA": "S", "AGG": "S", "AAA": "N"}, 22: {"TCA": "*", "TAG": "L"}, 23: {"TTA": "*"}, 24: {"AGA": "S", "AGG": "K", "TGA": "W"}, 25: {"TGA": "G"},
+}
+
+
+def genetic_code(number: int = 1) -> str:
+    """Amino acids over ACGT x ACGT x ACGT of an NCBI genetic code."""
+    if number not in OTHER_CODES:
+        raise ValueError(f"no such genetic code: {number}")
+    code = list(STANDARD_CODE)
+    for codon, amino in OTHER_CODES[number].items():
+        code[sum("ACGT".index(b) * 4 ** (2 - i) for i, b in enumerate(codon))] = amino
+    return "".join(code)
+
+
 def reverse_complement(seq: Column) -> Column:
     return F.reverse(F.translate(seq, BASES, COMPLEMENTS))
 
@@ -37,6 +59,19 @@ def translated(seq: Column, code: str = STANDARD_CODE) -> Column:
     return F.when(F.length(seq) < 3, "").otherwise(F.array_join(F.transform(starts, amino), ""))
 
 
+def windows(df: DataFrame, keep: Sequence[str], length: int, left: int = 0, right: int = 0, seq: str = "s") -> DataFrame:
+    """(keep..., n, at, part, lo): a row for each window of ``length`` bases of a sequence of
+    n bases, with the piece that holds it and ``left`` and ``right`` bases around it; the
+    piece begins at lo.  Sequences are first cut into pieces of ``PIECE`` windows, so the
+    work grows with a molecule's length, and a long one is dealt out as many rows."""
+    n = F.length(seq)
+    pieces = df.where(n >= length).select(*keep, n.alias("n"), F.col(seq).alias("s__"), F.explode(F.sequence(F.lit(0), F.floor((n - length) / PIECE).cast("int"))).alias("c__"))
+    base = F.col("c__") * PIECE
+    lo = F.greatest(base - left, F.lit(0))
+    cut = pieces.select(*keep, "n", lo.alias("lo"), F.substr("s__", lo + 1, base - lo + PIECE + length - 1 + right).alias("part"), base.alias("base__"))
+    return cut.select(*keep, "n", "lo", "part", F.explode(F.sequence(F.col("base__"), F.least(F.col("base__") + PIECE, F.col("n") - length + 1) - 1)).alias("at"))
+
+
 def guides(targets: DataFrame, pam: Pam, keep: Sequence[str] = ("target_id",)) -> DataFrame:
     """(keep..., grna, start, end, strand): every window of the guide's length next to the
     motif, on both strands, overlapping ones too; start and end count on the + strand.
@@ -45,16 +80,15 @@ def guides(targets: DataFrame, pam: Pam, keep: Sequence[str] = ("target_id",)) -
     """
     length, (left, right) = pam.length, pam.widths
     strands = F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.upper("seq").alias("s")), F.struct(F.lit("-").alias("strand"), reverse_complement(F.upper("seq")).alias("s"))))
-    both = targets.where(F.length("seq") >= length).select(*keep, strands.alias("x")).select(*keep, "x.strand", "x.s")
-    both = both.withColumn("at", F.explode(F.sequence(F.lit(0), F.length("s") - length)))
+    both = windows(targets.where(F.length("seq") >= length).select(*keep, strands.alias("x")).select(*keep, "x.strand", "x.s"), [*keep, "strand"], length, left, right)
+    within = F.col("at") - F.col("lo")
     if pam.before:
-        lo = F.greatest(F.lit(0), F.col("at") - left)
-        both = both.where(F.substr("s", lo + 1, F.col("at") - lo).rlike(f"{pam.before}$"))
+        lo = F.greatest(F.lit(0), within - left)
+        both = both.where(F.substr("part", lo + 1, within - lo).rlike(f"{pam.before}$"))
     if pam.after:
-        both = both.where(F.substr("s", F.col("at") + length + 1, F.lit(right)).rlike(f"^{pam.after}"))
-    n, at = F.length("s"), F.col("at")
-    start = F.when(F.col("strand") == "+", at).otherwise(n - at - length)
-    return both.select(*keep, F.substr("s", at + 1, F.lit(length)).alias("grna"), start.alias("start"), (start + length).alias("end"), "strand")
+        both = both.where(F.substr("part", within + length + 1, F.lit(right)).rlike(f"^{pam.after}"))
+    start = F.when(F.col("strand") == "+", F.col("at")).otherwise(F.col("n") - F.col("at") - length)
+    return both.select(*keep, F.substr("part", within + 1, F.lit(length)).alias("grna"), start.alias("start"), (start + length).alias("end"), "strand")
 
 
 def named_guides(hits: DataFrame, order: Sequence[str], prefix: str = "gRNA") -> DataFrame:
@@ -67,11 +101,11 @@ def named_guides(hits: DataFrame, order: Sequence[str], prefix: str = "gRNA") ->
 def exact_occurrences(queries: DataFrame, subjects: DataFrame, length: int) -> DataFrame:
     """(query, molecule, start, end, strand): where queries of one length stand in the
     subjects, overlapping and on both strands; windows meet queries by equality."""
-    windows = subjects.where(F.length("seq") >= length).select("molecule", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - length)).alias("start"))
-    windows = windows.select("molecule", "start", F.upper(F.substr("seq", F.col("start") + 1, F.lit(length))).alias("w"))
+    found = windows(subjects.select("molecule", F.upper("seq").alias("s")), ["molecule"], length)
+    found = found.select("molecule", F.col("at").alias("start"), F.substr("part", F.col("at") - F.col("lo") + 1, F.lit(length)).alias("w"))
     q = queries.select(F.upper("query").alias("query")).distinct()
     forms = q.select("query", F.col("query").alias("w"), F.lit("+").alias("strand")).unionByName(q.select("query", reverse_complement(F.col("query")).alias("w"), F.lit("-").alias("strand")))
-    return windows.join(forms, "w").select("query", "molecule", "start", (F.col("start") + length).alias("end"), "strand")
+    return found.join(forms, "w").select("query", "molecule", "start", (F.col("start") + length).alias("end"), "strand")
 
 
 def joined_pieces(df: DataFrame, key: str) -> DataFrame:
@@ -79,3 +113,32 @@ def joined_pieces(df: DataFrame, key: str) -> DataFrame:
     pieces = F.array_sort(F.collect_list(F.struct("start", "piece")))
     out = df.groupBy(key).agg(F.first("strand").alias("strand"), F.array_join(F.transform(pieces, lambda p: p["piece"]), "").alias("seq"))
     return out.select(key, F.when(F.col("strand") == "-", reverse_complement(F.col("seq"))).otherwise(F.col("seq")).alias("seq"))
+
+
+def feature_sequences(parts: DataFrame, molecules: DataFrame, keys: Sequence[str], within: DataFrame | None = None, translate: bool = False, code: int = 1) -> DataFrame:
+    """(keys..., places, seq): the union of a feature's parts (keys..., target_id, strand,
+    start, end) cut out of its molecule (target_id, seq) in order, the other strand for -;
+    ``within`` (keys..., start, end, in molecule coordinates) restricts the parts, and
+    ``translate`` gives the peptide.  places: 1-based inclusive ranges."""
+    group = [*keys, "target_id", "strand"]
+    ranges = merged(parts.select(*group, "start", "end"), group)
+    if within is not None:
+        strands = ranges.select(*group).distinct()
+        ranges = intersected(ranges, within.join(strands, list(keys)).select(*group, "start", "end"), group)
+    pieces = ranges.join(molecules, "target_id").select(*keys, "strand", "start", "end", F.substr("seq", F.col("start") + 1, F.col("end") - F.col("start")).alias("piece"))
+    ordered = F.array_sort(F.collect_list(F.struct("start", "end", "piece")))
+    place = lambda p: F.concat((p["start"] + 1).cast("string"), F.lit("-"), p["end"].cast("string"))
+    out = pieces.groupBy(*keys, "strand").agg(ordered.alias("p")).select(*keys, "strand", F.array_join(F.transform("p", place), ",").alias("places"), F.array_join(F.transform("p", lambda p: p["piece"]), "").alias("seq"))
+    seq = F.when(F.col("strand") == "-", reverse_complement(F.col("seq"))).otherwise(F.col("seq"))
+    out = out.select(*keys, "places", seq.alias("seq"))
+    return out.withColumn("seq", translated(F.upper("seq"), genetic_code(code))) if translate else out
+
+
+def region_sequences(regions: DataFrame, molecules: DataFrame, source: str, ties: Sequence[str] = ()) -> DataFrame:
+    """(seq_id, seq): regions (molecule, start, end) cut out of their molecules, named
+    ``source|molecule|number|start-end``; numbers count within a molecule by start (``ties``
+    columns first)."""
+    order = Window.partitionBy("molecule").orderBy(*ties, "start", "end")
+    rows = regions.withColumn("i__", F.row_number().over(order)).join(molecules, "molecule")
+    name = F.concat_ws("|", F.lit(source), "molecule", F.col("i__").cast("string"), F.concat((F.col("start") + 1).cast("string"), F.lit("-"), F.col("end").cast("string")))
+    return rows.select(name.alias("seq_id"), F.substr("seq", F.col("start") + 1, F.col("end") - F.col("start")).alias("seq"))

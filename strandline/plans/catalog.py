@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.pam import Pam
@@ -17,26 +14,9 @@ from strandline.operators import ranges as rg
 from strandline.operators import search as sr
 from strandline.operators import sequences as sq
 from strandline.plans import substrate as sub
+from strandline.plans.registry import ORACLES, QUERIES, big, query
 from strandline.sources import text as src
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def big(*names: str):
-    return [F.col(n).cast("long").alias(n) for n in names]
-
-
 # sequences -----------------------------------------------------------------------------
 
 
@@ -313,7 +293,7 @@ def collapse_coverage(spark, d):
 
 
 @query(f"""WITH {D_COLLAPSE}, p AS (SELECT grna, avg(CASE WHEN sense = '-' THEN target_len - "end" ELSE "start" END) AS pos FROM h GROUP BY grna)
- SELECT 'cg_' || lpad(CAST(k AS VARCHAR), CAST(length(CAST((SELECT max(k) FROM s) AS VARCHAR)) AS INTEGER), '0') AS coverage_group, CAST(len(c.ts) AS BIGINT) AS coverage, 'gRNA_' || grna AS grna_id, grna AS grna_seq, round(pos, 2) AS relative_pos
+ SELECT 'cg_' || lpad(CAST(k AS VARCHAR), CAST(length(CAST((SELECT max(k) FROM s) AS VARCHAR)) AS INTEGER), '0') AS coverage_group, CAST(len(c.ts) AS BIGINT) AS coverage, 'gRNA_' || grna AS grna_id, grna AS grna_seq, floor(pos * 100 + 0.5) / 100 AS relative_pos
  FROM c JOIN s ON c.ts = s.ts JOIN p USING (grna)""")
 def eqv_export(spark, d):
     hits = sub.hits(spark, d)
@@ -322,22 +302,6 @@ def eqv_export(spark, d):
     return table.withColumn("coverage", F.col("coverage").cast("long")).toDF("coverage_group", "coverage", "grna_id", "grna_seq", "relative_pos")
 
 
-D_COVER = f"""RECURSIVE {sub.D_HITS}, c AS (SELECT grna, list_distinct(list(target_id)) AS ts, avg(CASE WHEN sense = '-' THEN target_len - "end" ELSE "start" END) AS pos FROM h GROUP BY grna),
- step AS (SELECT 0 AS n, CAST([] AS VARCHAR[]) AS covered, CAST(NULL AS VARCHAR) AS pick UNION ALL
- SELECT n + 1, list_distinct(list_concat(covered, ts)), grna FROM (SELECT n, covered, ts, grna, row_number() OVER (ORDER BY len(list_filter(ts, lambda x: NOT list_contains(covered, x))) DESC, pos, grna) AS k
- FROM step, c WHERE len(covered) < (SELECT count(DISTINCT target_id) FROM h)) WHERE k = 1)"""
-
-
-@query(f"WITH {D_COVER} SELECT 1 AS set_number, pick AS grna FROM step WHERE pick IS NOT NULL")
-def set_cover_lar(spark, d):
-    return cov.exclusive_sets(sub.hits(spark, d), 1)
-
-
-@query()
-def minimum_set(spark, d):
-    return cov.exclusive_sets(sub.hits(spark, d), 3)
-
-
 @query(f"""WITH {sub.D_HITS}, c AS (SELECT DISTINCT 'cg_' || target_id AS cg, grna FROM h), p AS (SELECT cg, grna, row_number() OVER (PARTITION BY cg ORDER BY CAST(grna AS BIGINT), grna) AS set_number, count(*) OVER (PARTITION BY cg) AS n FROM c)
  SELECT set_number, cg, grna FROM p WHERE set_number <= (SELECT min(n) FROM p)""")
 def generate_grna_sets(spark, d):
@@ -418,7 +382,7 @@ def adj_feature_range(spark, d):
 
 
 @query("""WITH x AS (SELECT s_suppkey, 'ID=s' || s_suppkey || ';Parent=n' || s_nationkey || ',r' || s_suppkey % 3 AS a FROM supplier), y AS (SELECT s_suppkey, unnest(string_split(a, ';')) AS kv FROM x)
- SELECT s_suppkey, split_part(kv, '=', 1) AS name, array_to_string(list_sort(string_split(split_part(kv, '=', 2), ',')), ',') AS vals FROM y""")
+ SELECT s_suppkey, split_part(kv, '=', 1) AS name, split_part(kv, '=', 2) AS vals FROM y""")
 def gff_attributes(spark, d):
     x = sub.table(spark, d, "supplier").select("s_suppkey", F.expr("concat('ID=s', s_suppkey, ';Parent=n', s_nationkey, ',r', s_suppkey % 3)").alias("attrs"))
     return ft.attributes(x, ["s_suppkey"]).select("s_suppkey", "name", F.array_join("values", ",").alias("vals"))
@@ -484,3 +448,9 @@ def adjusted_ranges(spark, d):
 def within_feature(spark, d):
     r = sub.table(spark, d, "supplier").select(F.expr("cast(s_suppkey as string)").alias("target_id"), F.col("s_nationkey").alias("gene"), F.expr("s_suppkey * 7 % 900").alias("r_start"), F.expr("s_suppkey * 7 % 900 + 700").alias("r_end"))
     return aln.within_features(sub.hits(spark, d).select("hit_id", "target_id", "start", "end"), r, 1, 0.0)
+
+
+# the other catalogs register theirs
+from strandline.plans import catalog_features, catalog_selection  # noqa: E402
+
+__all__ = ["ORACLES", "QUERIES", "catalog_features", "catalog_selection"]

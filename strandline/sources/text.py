@@ -132,7 +132,7 @@ def equivalents(groups: DataFrame, positions: DataFrame, guides: DataFrame) -> D
     """Guides of equal coverage, largest coverage first and nearest to 5' first within a
     group; ``groups`` (cg, grna, n_targets), ``positions`` (grna, pos), ``guides`` (grna_id, grna)."""
     rows = groups.select("cg", "grna", "n_targets").join(positions, "grna").join(guides, "grna").orderBy(F.desc("n_targets"), "cg", "pos", "grna_id")
-    return rows.select(F.col("cg").alias("coverage group"), F.col("n_targets").alias("coverage"), F.col("grna_id").alias("gRNA id"), F.col("grna").alias("gRNA sequence"), F.round("pos", 2).alias("relative pos"))
+    return rows.select(F.col("cg").alias("coverage group"), F.col("n_targets").alias("coverage"), F.col("grna_id").alias("gRNA id"), F.col("grna").alias("gRNA sequence"), (F.floor(F.col("pos") * 100 + 0.5) / 100).alias("relative pos"))
 
 
 def write_tsv(rows: DataFrame, path: str) -> None:
