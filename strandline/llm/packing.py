@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from strandline.operators.prefix import global_prefix
 from strandline.operators.scratch import stored
 
-#: Distinct words whose ids a worker remembers before it starts anew.
-REMEMBERED = 1_000_000
+#: Distinct words after which the words met before the last so many are forgotten.
+REMEMBERED = 600_000
 #: Marks that end words; no splitting pattern cuts a run of them.
 MARKS = ".,;:!?%&#$*"
 
@@ -43,15 +43,17 @@ class WordIds:
         self.words = regex.compile(split["pattern"]["Regex"])
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.unusual = re.compile("[^\\t\\n\\r -~\u00a0-\u012f\u0131-\u024f]")
-        #: words, and the parts of words, which read the same when they stand alone
+        #: words, and the parts of words, which read the same when they stand alone: those
+        #: met of late, and those met before them
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         ends = [i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]
         self.ends = np.zeros(max(self.tokenizer.get_vocab_size(), *ends) + 1, bool)
         self.ends[ends] = True
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         known, found, missing = self.known, [], set()
         get = known.get
         for t in texts:
@@ -66,9 +68,11 @@ class WordIds:
                 found.append((words, None))
             else:
                 found.append((words, ids))
+        again = missing & self.older.keys()
+        known.update({w: self.older[w] for w in again})
         # letters alone are one part, letters and then marks are two
         cut = {}
-        for w in missing:
+        for w in missing - again:
             core = w.rstrip(MARKS)
             cut[w] = self.words.findall(w) if not core.isalpha() else () if len(core) == len(w) else (core, w[len(core) :])
         self.learn(list({p for w, ps in cut.items() for p in ps or (w,)}.difference(known)))

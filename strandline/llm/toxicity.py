@@ -32,7 +32,8 @@ STEMS = (3, 4, 5)
 MARK = 6
 #: Tokens of a stretch that the fit walks at once, and the most stretches of a kind.
 STRETCH, STRETCHES = 32, 3_000
-REMEMBERED = 500_000
+#: Words whose levels a task remembers before it starts anew, and texts that it scores together.
+REMEMBERED, TOGETHER = 100_000, 256
 SPAN = StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])
 
 
@@ -259,8 +260,8 @@ def toxicity_scores(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id",
         a, c = m.curve
         memo: dict[str, int] = {}
         for b in batches:
-            for lo in range(0, b.num_rows, 2000):
-                part = b.slice(lo, 2000)
+            for lo in range(0, b.num_rows, TOGETHER):
+                part = b.slice(lo, TOGETHER)
                 texts = [t or "" for t in part.column(part.num_columns - 1).to_pylist()]
                 if len(memo) > REMEMBERED:
                     memo.clear()
