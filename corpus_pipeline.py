@@ -41,12 +41,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies stays.  Rows of one id
     are one document and leave one row; rows without an id or without words stay."""
-    gone = near_duplicates(docs, width=5, percent=80).where("not kept").select(F.col("doc_id").alias("gone"))
-    kept = docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
-    repeated = stored(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").select(F.col("doc_id").alias("again")), "repeated")
+    other = free_name("other__", docs.columns)
+    same = F.col("doc_id") == F.col(other)
+    gone = near_duplicates(docs, width=5, percent=80).where("not kept").select(F.col("doc_id").alias(other))
+    kept = docs.join(gone, same, "left_anti")
+    repeated = stored(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").select(F.col("doc_id").alias(other)), "repeated")
     if repeated.isEmpty():
         return kept
-    same = F.col("doc_id") == F.col("again")
     return kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id"]))
 
 
@@ -61,18 +62,18 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; a repeat is a row of its own.  Documents
     that the mix does not take, those without words among them, have no row.  Rows of one
     id are told apart by source and size; rows alike in all three may change places."""
-    times = free_name("times__", docs.columns)
+    times, ids, nth, many = (free_name(n, docs.columns) for n in ("times__", "id__", "nth__", "many__"))
     taken = mixed_sources(docs, keep_source=True)
     repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null")
     if repeated.isEmpty():
-        rows, number, same = docs, F.lit(1), F.col("doc_id") == F.col("taken_id")
+        rows, number, same = docs, F.lit(1), F.col("doc_id") == F.col(ids)
     else:
         place = free_name("place__", docs.columns)
         within = lambda size: F.row_number().over(Window.partitionBy("doc_id").orderBy("source", size))
         rows = docs.withColumn(place, within(F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))))
-        number, same = within("size"), F.col("doc_id").eqNullSafe(F.col("taken_id")) & (F.col(place) == F.col("taken_n"))
-    taken = taken.withColumn("taken_n", number).where("taken > 0").select(F.col("doc_id").alias("taken_id"), "taken_n", (F.col("taken") / F.col("size")).cast("int").alias("taken_times"))
-    return rows.join(taken, same).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("taken_times"))).alias(times)).drop(times)
+        number, same = within("size"), F.col("doc_id").eqNullSafe(F.col(ids)) & (F.col(place) == F.col(nth))
+    taken = taken.withColumn("n", number).where("taken > 0").select(F.col("doc_id").alias(ids), F.col("n").alias(nth), (F.col("taken") / F.col("size")).cast("int").alias(many))
+    return rows.join(taken, same).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(many))).alias(times)).drop(times)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
