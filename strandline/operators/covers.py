@@ -145,7 +145,7 @@ def limited_minweight(groups: DataFrame, n_sets: int, penalty: float = 0.0, leng
             p = shared.value
             for f in frames:
                 found = [c for s in f["seed"] for c in p.enumerated(most, ok, int(s), penalty)]
-                yield pd.DataFrame({"members": [list(map(int, c)) for c in found]})
+                yield pd.DataFrame({"members": pd.Series([list(map(int, c)) for c in found], dtype=object)})
 
         rows = spark.createDataFrame([(int(s),) for s in seeds], "seed int").repartition(min(len(seeds), 64))
         new = {tuple(r["members"]) for r in rows.mapInPandas(search, "members array<int>").distinct().collect()}

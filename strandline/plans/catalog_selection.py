@@ -117,6 +117,12 @@ def mask_gene_sets(spark, d):
     return rec.mask_gene_sets(mask, unmask, asked, clusters, priority="mask")
 
 
+@query(f"""WITH {sub.D_HITS} SELECT 'g' || grna AS "gRNA id", grna AS "gRNA sequence", target_id AS "target id", target_len AS "target length", sense AS "target sense", '+' AS "gRNA strand", "start" + 1 AS "start", "end", CAST(NULL AS VARCHAR) AS "set", CASE WHEN background THEN 'pass' WHEN NOT background THEN 'fail' ELSE 'NA' END AS background FROM h""")
+def map_export(spark, d):
+    hits = sub.hits(spark, d).select(F.concat(F.lit("g"), "grna").alias("grna_id"), "grna", "target_id", *big("target_len"), "sense", F.lit("+").alias("strand"), *big("start", "end"), F.lit(None).cast("string").alias("set"), F.create_map(F.lit("background"), "background").alias("checks"))
+    return src.map_rows(hits, ["background"])
+
+
 # checks -------------------------------------------------------------------------------------
 
 D_GUIDE_CHECKS = f"""{sub.D_HITS}, gd AS (SELECT CAST(p_partkey AS VARCHAR) AS grna, CASE p_size % 3 WHEN 0 THEN true WHEN 1 THEN false END AS background, p_size % 7 < 5 AS "GC", CAST(NULL AS BOOLEAN) AS exclude FROM part),

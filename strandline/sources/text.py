@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.operators.targets import with_target_lengths
+
 HSP = "query_id string, subject_id string, ident_pct double, length int, mismatch int, gapopen int, qstart int, qend int, sstart int, send int, evalue double, bitscore double, gaps int, qlen int, btop string, nident int"
 
 
@@ -71,10 +73,17 @@ def gff_line(seqid: Column, source: Column, kind: Column, start: Column, end: Co
     return F.concat_ws("\t", seqid, source, kind, (start + 1).cast("string"), end.cast("string"), dot(score), strand, dot(phase), attrs)
 
 
-def write_gff(features: DataFrame, path: str) -> None:
-    """Feature lines of nine columns; positions from 1, ends included, nulls as dots."""
+def write_gff(features: DataFrame, path: str, sequences: DataFrame | None = None) -> None:
+    """Feature lines of nine columns; positions from 1, ends included, nulls as dots; with
+    ``sequences`` (seq_id, seq) a FASTA section after them, in files that sort last."""
     c = [F.col(n) for n in ("seqid", "ann_source", "type", "start", "end", "score", "strand", "phase", "attrs")]
-    features.select(gff_line(*c)).write.mode("overwrite").text(path)
+    lines = features.select(gff_line(*c).alias("value"), F.lit(0).alias("part"), F.lit("").alias("id"))
+    if sequences is None:
+        lines.select("value").write.mode("overwrite").text(path)
+        return
+    mark = features.sparkSession.createDataFrame([("##FASTA", 1, "")], "value string, part int, id string")
+    records = sequences.select(F.concat(F.lit(">"), "seq_id", F.lit("\n"), "seq").alias("value"), F.lit(2).alias("part"), F.col("seq_id").alias("id"))
+    lines.unionByName(mark).unionByName(records).orderBy("part", "id").select("value").write.mode("overwrite").text(path)
 
 
 def write_bed(features: DataFrame, path: str) -> None:
@@ -96,23 +105,55 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("inferSchema", True).option("sep", "," if path.endswith(".csv") else "\t").csv(path)
 
 
-def read_map(spark: SparkSession, path: str) -> DataFrame:
-    """Guide map with any user checks after the set column, as a map of nullable booleans."""
+def read_map(spark: SparkSession, path: str, targets: DataFrame | None = None) -> DataFrame:
+    """Guide maps of all layouts, with any user checks after the set column, as a map of
+    nullable booleans.
+
+    The newest layouts name the target's length and the set; older ones lack the length or
+    call the set ``group``; the oldest holds one half-open range ``[start, end)`` from 0.
+    ``targets`` (target_id, seq) gives lengths that a map lacks, and overrides those it has;
+    the rest is 0.
+    """
     rows = spark.read.option("header", True).option("sep", "\t").csv(path)
     cols = rows.columns
     last = next(i for i, c in enumerate(cols) if c.lower() in ("set", "group"))
     value = lambda c: F.when(F.lower(F.col(f"`{c}`")) == "pass", True).when(F.lower(F.col(f"`{c}`")) == "fail", False)
     checks = F.create_map(*[x for c in cols[last + 1 :] for x in (F.lit(c), value(c))]) if cols[last + 1 :] else F.create_map().cast("map<string,boolean>")
     text = lambda c: F.col(f"`{c}`")
-    size = text("target length").cast("int") if "target length" in cols else F.lit(None).cast("int")
-    return rows.select(text("gRNA id").alias("grna_id"), F.upper(text("gRNA sequence")).alias("grna"), text("target id").alias("target_id"), size.alias("target_len"), text("target sense").alias("sense"), text("gRNA strand").alias("strand"), (text("start").cast("int") - 1).alias("start"), text("end").cast("int").alias("end"), text(cols[last]).alias("set"), checks.alias("checks"))
+    size = F.coalesce(text("target length").cast("int"), F.lit(0)) if "target length" in cols else F.lit(0)
+    whole = next((c for c in cols if "exclusive" in c.lower()), None)
+    start = F.regexp_extract(text(whole), r"\[(\d+), *(\d+)\)", 1).cast("int") if whole else text("start").cast("int") - 1
+    end = F.regexp_extract(text(whole), r"\[(\d+), *(\d+)\)", 2).cast("int") if whole else text("end").cast("int")
+    out = rows.select(text("gRNA id").alias("grna_id"), F.upper(text("gRNA sequence")).alias("grna"), text("target id").alias("target_id"), size.alias("target_len"), text("target sense").alias("sense"), text("gRNA strand").alias("strand"), start.alias("start"), end.alias("end"), text(cols[last]).alias("set"), checks.alias("checks"))
+    return out if targets is None else with_target_lengths(out, targets).select(*out.columns)
 
 
-def write_map(hits: DataFrame, path: str, checks: list[str]) -> None:
-    """Sorted by set, guide, target and start; positions from 1, ends included."""
+def map_rows(hits: DataFrame, checks: list[str], version: int = 5) -> DataFrame:
+    """The columns of a guide map, in one of its layouts: 5 (the newest) and 4 have a set, 5
+    and 3 the target's length, 3 and 2 a group, 1 a half-open range from 0."""
     c = [F.when(F.col("checks")[n], "pass").when(~F.col("checks")[n], "fail").otherwise("NA").alias(n) for n in checks]
-    out = hits.orderBy("set", "grna_id", "target_id", "start").select(F.col("grna_id").alias("gRNA id"), F.col("grna").alias("gRNA sequence"), F.col("target_id").alias("target id"), F.col("target_len").alias("target length"), F.col("sense").alias("target sense"), F.col("strand").alias("gRNA strand"), (F.col("start") + 1).alias("start"), "end", "set", *c)
-    out.write.mode("overwrite").option("header", True).option("sep", "\t").csv(path)
+    if version not in (1, 2, 3, 4, 5):
+        raise ValueError(f"no such layout: {version}")
+    length = [F.col("target_len").alias("target length")] if version in (3, 5) else []
+    place = [F.concat(F.lit("["), "start", F.lit(", "), "end", F.lit(")")).alias("range (start inclusive, end exclusive)")] if version == 1 else [(F.col("start") + 1).alias("start"), F.col("end")]
+    group = F.col("set").alias("set" if version in (4, 5) else "group")
+    return hits.select(F.col("grna_id").alias("gRNA id"), F.col("grna").alias("gRNA sequence"), F.col("target_id").alias("target id"), *length, F.col("sense").alias("target sense"), F.col("strand").alias("gRNA strand"), *place, group, *c)
+
+
+def write_map(hits: DataFrame, path: str, checks: list[str], version: int = 5) -> None:
+    """Sorted by set, guide, target and start; positions from 1, ends included."""
+    map_rows(hits.orderBy("set", "grna_id", "target_id", "start"), checks, version).write.mode("overwrite").option("header", True).option("sep", "\t").csv(path)
+
+
+def write_outputs(kind: str, folder: str, guides: DataFrame, hits: DataFrame, groups: DataFrame, positions: DataFrame, checks: list[str], names: DataFrame | None = None) -> list[str]:
+    """The map, FASTA and equivalents of one kind of result (all, pass or final), and their paths."""
+    if kind not in ("all", "pass", "final"):
+        raise ValueError(f"no such kind of result: {kind!r}")
+    paths = [f"{folder}/gRNA_{kind}.{ext}" for ext in ("map", "fasta", "eqv")]
+    write_map(hits, paths[0], checks)
+    write_guides(guides, paths[1], names)
+    write_tsv(equivalents(groups, positions, guides), paths[2])
+    return paths
 
 
 def named_guides(guides: DataFrame, names: DataFrame | None = None) -> DataFrame:
@@ -124,7 +165,11 @@ def named_guides(guides: DataFrame, names: DataFrame | None = None) -> DataFrame
     return guides.join(new, "grna", "left").select(F.coalesce("name", "grna_id").alias("grna_id"), "grna")
 
 
-def write_guides(guides: DataFrame, path: str, names: DataFrame | None = None) -> None:
+def write_guides(guides: DataFrame, path: str, names: DataFrame | None = None, only: DataFrame | None = None) -> None:
+    """FASTA of guides (grna_id, grna), renamed by ``names``; ``only`` (grna_id or grna) selects some."""
+    if only is not None:
+        by = "grna_id" if "grna_id" in only.columns else "grna"
+        guides = guides.join(only.select(by).distinct(), by, "left_semi")
     write_fasta(named_guides(guides, names).distinct().orderBy("grna_id"), path, "grna_id", "grna")
 
 

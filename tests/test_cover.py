@@ -18,25 +18,30 @@ def random_hits(n_guides: int, n_targets: int, seed: int):
     return rows + rows[:20]
 
 
-def plain_sets(rows, n_sets):
-    sets, at, out = {}, {}, []
+def plain_sets(rows, n_sets, whole_pos=False):
+    """Most uncovered targets, then nearest to 5' on those (or on all), then fewest covered
+    ones among its targets, then by name."""
+    at, out = {}, []
     for g, t, start, end, sense, size in rows:
-        sets.setdefault(g, set()).add(t)
-        at.setdefault(g, []).append(size - end if sense == "-" else start)
-    pos = {g: sum(x) / len(x) for g, x in at.items()}
-    universe = set().union(*sets.values())
+        at.setdefault(g, {}).setdefault(t, []).append(size - end if sense == "-" else start)
+    universe = {t for ts in at.values() for t in ts}
+
+    def key(g, left):
+        on = [p for t, ps in at[g].items() for p in ps if whole_pos or t in left]
+        return -len(at[g].keys() & left), sum(on) / len(on) if at[g].keys() & left else 0, len(at[g].keys() - left), g
+
     for i in range(1, n_sets + 1):
         left, chosen = set(universe), []
-        while left and sets:
-            g = min(sets, key=lambda g: (-len(sets[g] & left), pos[g], g))
-            if not sets[g] & left:
+        while left and at:
+            g = min(at, key=lambda g: key(g, left))
+            if not at[g].keys() & left:
                 break
             chosen.append(g)
-            left -= sets[g]
+            left -= at[g].keys()
         if left:
             break
         out += [(i, g) for g in chosen]
-        sets = {g: s for g, s in sets.items() if g not in chosen}
+        at = {g: s for g, s in at.items() if g not in chosen}
     return sorted(out)
 
 
@@ -47,6 +52,27 @@ def test_cover_in_rounds_equals_the_greedy_cover(spark, monkeypatch, candidates,
     rows = random_hits(60, 25, candidates)
     found = cov.exclusive_sets(spark.createDataFrame(rows, HIT), 2).collect()
     assert sorted(map(tuple, found)) == plain_sets(rows, 2)
+    found = cov.exclusive_sets(spark.createDataFrame(rows, HIT), 2, algorithm="greedy").collect()
+    assert sorted(map(tuple, found)) == plain_sets(rows, 2, whole_pos=True)
+
+
+def test_targets_that_no_guide_hits_leave_no_set(spark):
+    hits = spark.createDataFrame(random_hits(20, 5, 1), HIT)
+    more = hits.select("target_id").unionByName(spark.createDataFrame([("lone",)], "target_id string"))
+    assert cov.exclusive_sets(hits, 1, targets=more).collect() == []
+
+
+def test_rejected_guides_leave_and_the_others_return(spark):
+    rows = random_hits(60, 10, 5)
+    hits, shown = spark.createDataFrame(rows, HIT), []
+
+    def approve(number, guides):
+        shown.append((number, tuple(guides)))
+        return guides[:1] if len(shown) == 1 else []
+
+    found = sorted(map(tuple, cov.exclusive_sets(hits, 1, approve=approve).collect()))
+    bad = shown[0][1][0]
+    assert found == plain_sets([r for r in rows if r[0] != bad], 1)
 
 
 def test_no_cover_of_no_hits(spark):
