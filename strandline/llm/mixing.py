@@ -138,6 +138,6 @@ def mixed_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int
     empty = rows.where(F.col("size") == 0).select("id", "source", "size", F.lit(0).cast("long").alias("times"))
     every = counted.unionByName(empty)
     per_source = plan.select(F.col("source").alias("s"), "source_size", "target")
-    return every.join(F.broadcast(per_source), F.col("source").eqNullSafe(F.col("s"))).select(
+    return every.join(per_source, F.col("source").eqNullSafe(F.col("s"))).select(
         F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), *([F.col("source").alias(source_col)] if keep_source else [])
     )

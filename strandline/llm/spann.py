@@ -5,6 +5,7 @@ neighbour graph that every task searches in memory.  A vector goes to the list o
 nearest centroid and, on a boundary, to others nearly as near (unless a list already
 chosen is nearer to that centroid).  A query reads the lists whose centroids are within a
 ratio of the nearest one's distance.  Long lists are read in blocks of bounded size.
+The index is fitted on ``FIT_PER_LIST`` vectors a list at most; every vector is indexed.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ from pyspark.sql import functions as F
 
 from strandline.operators.scratch import stored
 
-#: Vectors that the index is fitted on, at most.
-FIT_ROWS = 20_000
+#: Vectors for a list, the most lists, and vectors of a list that the index is fitted on.  Up
+#: to ``MOST_LISTS * LIST_ROWS`` vectors lists keep their size; beyond, they grow with the table.
+LIST_ROWS, MOST_LISTS, FIT_PER_LIST = 64, 4_096, 24
 #: Vectors of a list or queries of a list that one task compares at a time.
 LIST_BLOCK, QUERY_BLOCK = 2_048, 512
 
@@ -100,8 +102,14 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows multiplied by powers of two, which changes no digit, so that squares don't overflow."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=-1, keepdims=True))[1])
+
+
 def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Cosine of q with every row of x, in double precision, each row by itself."""
+    q, x = _scaled(q), _scaled(x)
     return (x * q).sum(axis=1) / (np.sqrt((q * q).sum()) * np.sqrt((x * x).sum(axis=1)))
 
 
@@ -109,21 +117,28 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, every: int = 50, id_col:
     """(query_id, rank, vec_id, score): for each vector whose id is divisible by ``every``
     the ``k`` nearest others found, by cosine, ties to the smaller id.
 
-    All vectors of one dimension must be given.  Null, zero and non-finite vectors take no
-    part.  Repeated ids count as one vector.  A query whose lists hold fewer than ``k``
-    others returns those.
+    Null, zero and non-finite vectors take no part.  Vectors are searched among those of
+    their own length.  Repeated ids count as one vector.  A query whose lists hold fewer than
+    ``k`` others reads all lists, so it gets fewer only where there are no more.
     """
     rows = stored(usable(vectors, id_col, vec_col).dropDuplicates(["id"]), "annrows")
-    n = rows.count()
     schema = f"query_id long, rank int, {id_col} long, score double"
-    if n == 0:
-        return vectors.sparkSession.createDataFrame([], schema)
-    share = min(1.0, FIT_ROWS / n)
+    out = vectors.sparkSession.createDataFrame([], schema)
+    for r in rows.groupBy(F.size("v").alias("dim")).count().orderBy("dim").collect():
+        part = rows.where(F.size("v") == r["dim"]) if r["count"] else rows
+        out = out.unionByName(_searched(part, r["count"], r["dim"], k, every, id_col, replicas, probes, boundary, ratio))
+    return out
+
+
+def _searched(rows: DataFrame, n: int, dim: int, k: int, every: int, id_col: str, replicas: int, probes: int, boundary: float, ratio: float) -> DataFrame:
+    """``nearest_neighbours`` of n usable vectors (id, v) of one length."""
+    lists = max(1, min(MOST_LISTS, n // LIST_ROWS))
+    share = min(1.0, max(FIT_PER_LIST * lists, 2_000) / n)
     u = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20)
     sample = rows.where(u < share).select("v") if share < 1 else rows.select("v")
-    fitted = _unit(np.array([r["v"] for r in sample.collect()]).reshape(-1, len(rows.first()["v"])))
-    index = fit_index(fitted, int(max(1, min(512, len(fitted) // 64))))
-    shared = vectors.sparkSession.sparkContext.broadcast(index)  # at most 512 centroids
+    fitted = np.array([r["v"] for r in sample.collect()]).reshape(-1, dim)
+    index = fit_index(_unit(fitted if len(fitted) else np.array([rows.first()["v"]])), lists)
+    shared = rows.sparkSession.sparkContext.broadcast(index)  # at most MOST_LISTS centroids
 
     def post(batches):
         """Each vector's lists: the nearest, and boundary ones that no chosen list shadows."""
@@ -158,16 +173,13 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, every: int = 50, id_col:
 
     kind = "list int, id long, v array<double>"
     posted = stored(rows.mapInArrow(post, kind), "annpost")
-    asked = stored(rows.where(F.col("id") % every == 0).mapInArrow(probe, kind), "annask")
+    queries = rows.where(F.col("id") % every == 0)
+    asked = stored(queries.mapInArrow(probe, kind), "annask")
 
     # blocks: a list of any length is dealt to as many tasks as it needs
     def blocks(df: DataFrame, size: int, name: str) -> DataFrame:
         return df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
 
-    plan = blocks(posted, LIST_BLOCK, "pieces").join(blocks(asked, QUERY_BLOCK, "turns"), "list")  # a row for each list
-    left = posted.join(F.broadcast(plan), "list").select("list", F.pmod(F.xxhash64("id"), "pieces").cast("int").alias("piece"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "id", "v")
-    right = asked.join(F.broadcast(plan), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.pmod(F.xxhash64("id", F.lit(1)), "turns").cast("int").alias("turn"), "id", "v")
-
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(a) and len(b):
@@ -185,9 +197,19 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, every: int = 50, id_col:
                 out.extend((int(q), int(ids[some[j]]), float(score[j])) for j in best)
         return pd.DataFrame(out, columns=["query_id", "id", "score"])
 
-    keys = ["list", "piece", "turn"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "query_id long, id long, score double")
-    found = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    def read(asking: DataFrame) -> DataFrame:
+        keys = ["list", "piece", "turn"]
+        plan = blocks(posted, LIST_BLOCK, "pieces").join(blocks(asking, QUERY_BLOCK, "turns"), "list")  # a row for each list
+        left = posted.join(F.broadcast(plan), "list").select("list", F.pmod(F.xxhash64("id"), "pieces").cast("int").alias("piece"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "id", "v")
+        right = asking.join(F.broadcast(plan), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.pmod(F.xxhash64("id", F.lit(1)), "turns").cast("int").alias("turn"), "id", "v")
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "query_id long, id long, score double")
+
+    found = stored(read(asked).groupBy("query_id", "id").agg(F.max("score").alias("score")), "annfound")
+    enough = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(k, n - 1)).select(F.col("query_id").alias("id"))
+    short = stored(queries.join(enough, "id", "left_anti"), "annshort")
+    if n > 1 and not short.isEmpty():
+        everywhere = short.select(F.explode(F.sequence(F.lit(0), F.lit(len(index.centroids) - 1))).alias("list"), "id", "v")
+        found = found.unionByName(read(everywhere)).groupBy("query_id", "id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")

@@ -109,3 +109,22 @@ def test_neighbour_edges(spark):
     assert got == [(0, 1, 1), (0, 2, 2), (0, 3, 50), (50, 1, 0), (50, 2, 1), (50, 3, 2)]
     alone = spark.createDataFrame([(0, [1.0], 1, "x", 2)], kind)
     assert nearest_neighbours(alone).collect() == []
+
+
+def test_few_far_and_mixed_vectors(spark):
+    """Lists of under five vectors, huge magnitudes, two lengths, clashing names."""
+    rng = np.random.default_rng(5)
+    far = [(i, [float(x) for x in rng.normal(size=3) * 10.0 ** rng.integers(-150, 200)], "x") for i in range(150)]
+    short = [(1000 + i, [1.0, float(i)], "x") for i in range(4)]
+    rows = spark.createDataFrame([*far, *short, (2000, [0.0, 0.0], "x"), (2001, None, "x"), (2002, [float("nan"), 1.0], "x")], "vec_id long, embedding array<double>, list string")
+    got: dict = {}
+    for r in nearest_neighbours(rows, every=2).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    for group in (far, short):
+        unit = {i: np.array(v) / np.abs(v).max() for i, v, _ in group}
+        unit = {i: v / np.linalg.norm(v) for i, v in unit.items()}
+        for q in (i for i in unit if i % 2 == 0):
+            scores = [s for _, s in got[q]]
+            assert len(scores) == min(5, len(group) - 1) and scores == sorted(scores, reverse=True)
+            assert all(abs(s - float(unit[q] @ unit[i])) < 1e-9 for i, s in got[q])
+    assert {*got} == {i for i, *_ in far + short if i % 2 == 0}
