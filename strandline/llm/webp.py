@@ -1,9 +1,12 @@
 """Lossless WebP images: an encoder for bytes and a decoder for any lossless stream.
 
 The decoder reads prefix codes, back-references and the colour cache, and inverts the
-predictor, cross-colour, subtract-green and palette transforms.  Streams of literals of
-one channel, as the encoder writes them, are decoded by table look-ups over all bit
-positions at once instead of symbol by symbol.
+predictor, cross-colour, subtract-green and palette transforms.  Streams of one channel, as
+the encoder writes them, are decoded by table look-ups over all bit positions at once, from
+one back-reference to the next, instead of symbol by symbol.  The encoder writes
+back-references, predicts from the row above where that is shorter, and gives samples of at
+most 16 values a palette.  It has no use for the colour cache, cross-colour and the other
+predictors, as its pixels have one channel.
 """
 
 from __future__ import annotations
@@ -52,13 +55,19 @@ class BitWriter:
         return np.unpackbits(raw, bitorder="little")[: self.size]
 
 
+#: Every number of ``LONGEST_CODE`` bits turned round.
+TURNED = sum(((np.arange(1 << LONGEST_CODE) >> i) & 1) << (LONGEST_CODE - 1 - i) for i in range(LONGEST_CODE)).tolist()
+
+
 def canonical_codes(lengths) -> dict[int, tuple[int, int]]:
     """symbol: (bits in stream order, length) of the canonical prefix code."""
-    used = sorted((int(n), s) for s, n in enumerate(lengths) if n)
+    lengths = np.asarray(lengths)
+    used = np.flatnonzero(lengths)
+    used = used[np.argsort(lengths[used], kind="stable")]
     out, code, before = {}, 0, 0
-    for n, s in used:
+    for s, n in zip(used.tolist(), lengths[used].tolist(), strict=True):
         code <<= n - before
-        out[s] = (int(format(code, f"0{n}b")[::-1], 2), n)
+        out[s] = (TURNED[code] >> (LONGEST_CODE - n), n)
         code, before = code + 1, n
     return out
 
@@ -127,31 +136,57 @@ def _copied(r: BitReader, prefix: int) -> int:
     return ((2 + (prefix & 1)) << extra) + r.read(extra) + 1
 
 
-def read_literals(r: BitReader, code: PrefixCode, n: int) -> np.ndarray:
-    """The next n symbols of one code: the successor of every bit position is looked up at
-    once, 16 successors are composed, and only every 16th symbol is walked to."""
-    most = n * code.depth + 64
+def _distance(r: BitReader, prefix: int, width: int) -> int:
+    distance = _copied(r, prefix)
+    if distance > 120:
+        return distance - 120
+    x, y = NEAR[distance - 1]
+    return max(1, x + y * width)
+
+
+def read_green(r: BitReader, code: PrefixCode, distances: PrefixCode, n: int, width: int) -> np.ndarray:
+    """The next n values of a channel whose other channels take no bits.  The successor of
+    every bit position is looked up at once, 16 successors are composed, and only every 16th
+    symbol is walked to; a back-reference has no successor, so walks end there."""
     first = r.at >> 3
-    raw = np.frombuffer(r.data[first : first + (most >> 3) + 8] + bytes(8), np.uint8)
+    raw = np.frombuffer(r.data[first : first + n * 8 + 16] + bytes(8), np.uint8)
     words = raw[:-4].astype(np.uint32)
     for k in range(1, 4):
         words |= raw[k : len(raw) - 4 + k].astype(np.uint32) << np.uint32(8 * k)
     bits = ((words[:, None] >> np.arange(8, dtype=np.uint32)) & np.uint32((1 << code.depth) - 1)).ravel()
-    size = len(bits)
-    nxt = np.minimum(np.arange(size) + code.lengths[bits], size - 1)
+    size, symbols = len(bits), code.symbols[bits]
+    nxt = np.minimum(np.arange(size) + np.where(symbols < 256, code.lengths[bits], 0), size - 1)
     steps = [nxt]
     for _ in range(4):
         steps.append(steps[-1][steps[-1]])
-    far, at, walk = steps[4], r.at & 7, []
-    for _ in range(-(-n // 16)):
-        walk.append(at)
-        at = int(far[at])
-    places = np.array(walk)
-    for k in (3, 2, 1, 0):
-        places = np.stack([places, steps[k][places]], axis=1).ravel()
-    places = places[:n]
-    r.at = (first << 3) + int(nxt[places[-1]]) if n else r.at
-    return code.symbols[bits[places]]
+    far, at, done = steps[4], r.at & 7, 0
+    out = np.empty(n, np.uint32)
+    while done < n:
+        walk, left = [], n - done
+        for _ in range(-(-left // 16)):
+            walk.append(at)
+            at, before = int(far[at]), at
+            if at == before:
+                break
+        places = np.array(walk)
+        for k in (3, 2, 1, 0):
+            places = np.stack([places, steps[k][places]], axis=1).ravel()
+        places = places[:left]
+        found = symbols[places]
+        stops = np.flatnonzero(found >= 256)
+        k = int(stops[0]) if len(stops) else len(places)
+        out[done : done + k] = found[:k]
+        done += k
+        if not len(stops):
+            r.at = (first << 3) + int(nxt[places[-1]])
+            break
+        r.at = (first << 3) + int(places[k]) + int(code.lengths[bits[places[k]]])
+        length = min(_copied(r, int(found[k]) - 256), n - done)
+        distance = _distance(r, distances.read(r), width)
+        out[done : done + length] = np.resize(out[done - distance : done], length)
+        done += length
+        at = r.at - (first << 3)
+    return out
 
 
 def read_image(r: BitReader, width: int, height: int, main: bool) -> np.ndarray:
@@ -167,10 +202,10 @@ def read_image(r: BitReader, width: int, height: int, main: bool) -> np.ndarray:
     codes = [[read_code(r, n + (len(cache) if cache_bits and i == 0 else 0)) for i, n in enumerate(ALPHABETS)] for _ in range(groups)]
     total = width * height
     if groups == 1 and not cache_bits:
-        green, red, blue, alpha, _ = codes[0]
-        if red.depth == blue.depth == alpha.depth == 0 and (green.depth == 0 or not (green.symbols >= 256).any()):
+        green, red, blue, alpha, far = codes[0]
+        if red.depth == blue.depth == alpha.depth == 0 and (green.depth or green.single < 256):
             base = (alpha.single << 24) | (red.single << 16) | blue.single
-            g = np.full(total, green.single) if green.depth == 0 else read_literals(r, green, total)
+            g = read_green(r, green, far, total, width) if green.depth else np.full(total, green.single)
             return (g.astype(np.uint32) << np.uint32(8)) | np.uint32(base)
     out = [0] * total
     i = 0
@@ -185,12 +220,7 @@ def read_image(r: BitReader, width: int, height: int, main: bool) -> np.ndarray:
             new = [(alpha << 24) | (red << 16) | (s << 8) | blue]
         elif s < 280:
             length = _copied(r, s - 256)
-            distance = _copied(r, group[4].read(r))
-            if distance <= 120:
-                x, y = NEAR[distance - 1]
-                distance = max(1, x + y * width)
-            else:
-                distance -= 120
+            distance = _distance(r, group[4].read(r), width)
             new = []
             for k in range(min(length, total - i)):
                 new.append(out[i - distance + k] if k < distance else new[k - distance])
@@ -322,10 +352,11 @@ def decode(data: bytes) -> np.ndarray:
 
 
 def code_lengths(counts: np.ndarray, longest: int = 12) -> np.ndarray:
-    """Huffman code lengths of at most ``longest`` bits; one used symbol has length 1."""
+    """Huffman code lengths of at most ``longest`` bits; one used symbol has length 1,
+    and without any there is no code."""
     out = np.zeros(len(counts), np.int64)
     used = np.flatnonzero(counts)
-    if len(used) == 1:
+    if len(used) <= 1:
         out[used] = 1
         return out
     weights = counts[used].tolist()
@@ -348,15 +379,17 @@ def code_lengths(counts: np.ndarray, longest: int = 12) -> np.ndarray:
         weights = [w // 2 + 1 for w in weights]
 
 
+def write_single(w: BitWriter, symbol: int) -> None:
+    """A simple code of one symbol, which then takes no bits."""
+    w.write(0b101, 3)
+    w.write(symbol, 8)
+
+
 def write_code(w: BitWriter, lengths: np.ndarray) -> None:
     """A prefix code: simple for one symbol, else its lengths under a flat code of their own."""
     used = np.flatnonzero(lengths)
     if len(used) <= 1:
-        s = int(used[0]) if len(used) else 0
-        w.write(1, 1)
-        w.write(0, 1)
-        w.write(1, 1)
-        w.write(s, 8)
+        write_single(w, int(used[0]) if len(used) else 0)
         return
     runs, i, values = [], 0, lengths.tolist()
     last = int(used[-1]) + 1
@@ -392,52 +425,156 @@ def write_code(w: BitWriter, lengths: np.ndarray) -> None:
         w.write(more, n)
 
 
+def _prefixed(value: int) -> tuple[int, int, int]:
+    """Prefix, further bits and their number of a length or a distance code."""
+    v = value - 1
+    if v < 4:
+        return v, 0, 0
+    extra = v.bit_length() - 2
+    return 2 * (extra + 1) + ((v >> extra) & 1), v & ((1 << extra) - 1), extra
+
+
+#: Samples that a back-reference covers at least and at most, and how far back it reaches.
+SHORTEST, LONGEST, FARTHEST = 16, 4_096, 1_000_000
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def back_references(values: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, length, distance) of copies, in order and apart.  Every eighth place is a
+    source, looked up by its 8 samples; places whose next 8 agree too are extended both ways."""
+    n, out = len(values), []
+    if n < 3 * SHORTEST:
+        return out
+    at = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(values, 8)).view("<u8")[:, 0]
+    sources = at[: n - 15 : 8]
+    slot = ((at * SPREAD) >> np.uint64(50)).astype(np.int64)
+    met = np.zeros(1 << 14, bool)
+    met[slot[: n - 15 : 8]] = True
+    place = np.flatnonzero(met[slot[: n - 15]])
+    keys, first = np.unique(sources, return_index=True)
+    which = np.minimum(np.searchsorted(keys, at[place]), len(keys) - 1)
+    source = first[which] * 8
+    ok = (keys[which] == at[place]) & (source < place) & (place - source <= FARTHEST)
+    place, source = place[ok], source[ok]
+    ok = at[source + 8] == at[place + 8]
+    place, source = place[ok], source[ok]
+    free = 1
+    for start, back in zip(place.tolist(), source.tolist(), strict=True):
+        if start < free:
+            continue
+        distance = start - back
+        m = min(LONGEST, n - start)
+        differ = np.flatnonzero(values[start : start + m] != values[back : back + m])
+        end = start + (int(differ[0]) if len(differ) else m)
+        while start > free and start - 1 - distance >= 0 and values[start - 1] == values[start - 1 - distance] and end - start < LONGEST:
+            start -= 1
+        out.append((start, end - start, distance))
+        free = end
+    return out
+
+
+def _entropy(counts: np.ndarray) -> float:
+    used = counts[counts > 0]
+    return float((used * np.log2(used.sum() / used)).sum())
+
+
+def _write_green(w: BitWriter, values: np.ndarray, width: int, alpha: int, copies: list[tuple[int, int, int]]) -> np.ndarray:
+    """The codes of an image of one channel, and the bits of all up to its end."""
+    near = {max(1, x + y * width): i for i, (x, y) in reversed(list(enumerate(NEAR, 1)))} if copies else {}
+    tokens, at, literal = [], 0, np.ones(len(values), bool)
+    for start, length, distance in copies:
+        literal[start : start + length] = False
+        tokens.append((start, _prefixed(length), _prefixed(near.get(distance, distance + 120))))
+    counts = np.bincount(values[literal], minlength=280)
+    far = np.zeros(40, np.int64)
+    for _, length, distance in tokens:
+        counts[256 + length[0]] += 1
+        far[distance[0]] += 1
+    lengths, far_lengths = code_lengths(counts), code_lengths(far)
+    w.write(0, 1)  # no colour cache
+    w.write(0, 1)  # one group of codes
+    write_code(w, lengths)
+    for s in (0, 0, alpha):
+        write_single(w, s)
+    write_code(w, far_lengths)
+    code, size = np.zeros(280, np.int64), np.zeros(280, np.int64)
+    table = canonical_codes(lengths)
+    for s, (bits, n) in table.items() if len(table) > 1 else ():
+        code[s], size[s] = bits, n
+    table = canonical_codes(far_lengths)
+    far_code = table if len(table) > 1 else {s: (0, 0) for s in table}
+    items, sizes = [], []
+    for start, length, distance in tokens:
+        run = values[at:start]
+        items += [code[run], [code[256 + length[0]], length[1], far_code[distance[0]][0], distance[1]]]
+        sizes += [size[run], [size[256 + length[0]], length[2], far_code[distance[0]][1], distance[2]]]
+        at = start + int(_copied_length(length))
+    items, sizes = np.concatenate([*items, code[values[at:]]]), np.concatenate([*sizes, size[values[at:]]])
+    ends = np.cumsum(sizes)
+    of = np.repeat(np.arange(len(items)), sizes)
+    body = (items[of] >> (np.arange(len(of)) - (ends - sizes)[of])) & 1
+    return np.concatenate([w.bits(), body.astype(np.uint8)])
+
+
+def _copied_length(coded: tuple[int, int, int]) -> int:
+    prefix, more, extra = coded
+    return prefix + 1 if prefix < 4 else ((2 + (prefix & 1)) << extra) + more + 1
+
+
+def _write_table(w: BitWriter, colours: np.ndarray) -> None:
+    """The palette: an image of one row, each entry less the one before."""
+    alpha = np.zeros(len(colours), np.int64)
+    alpha[0] = 255
+    green = np.diff(colours.astype(np.int64), prepend=0) & 255
+    w.write(0, 1)  # no colour cache
+    codes = []
+    for values, alphabet in ((green, 280), (alpha * 0, 256), (alpha * 0, 256), (alpha, 256)):
+        lengths = code_lengths(np.bincount(values, minlength=alphabet))
+        write_code(w, lengths)
+        table = canonical_codes(lengths)
+        codes.append(table if len(table) > 1 else {s: (0, 0) for s in table})
+    write_single(w, 0)
+    for g, a in zip(green.tolist(), alpha.tolist(), strict=True):
+        w.write(*codes[0][g])
+        w.write(*codes[3][a])
+
+
 def encode(samples: np.ndarray) -> bytes:
-    """A lossless WebP file with the 8-bit ``samples`` (height x width) in the green
-    channel: predicted from the sample above where that is shorter, then prefix-coded."""
+    """A lossless WebP file with the 8-bit ``samples`` (height x width) in the green channel."""
     height, width = samples.shape
-    flat = samples.ravel()
-    delta = samples.copy()
-    delta[1:] -= samples[:-1]
-    delta[0, 1:] -= samples[0, :-1]
-    choices = []
-    for v in (flat, delta.ravel()):
-        counts = np.bincount(v, minlength=256)
-        lengths = code_lengths(counts)
-        choices.append((int((counts * lengths).sum()), v, lengths))
-    predicted = choices[1][0] + 200 < choices[0][0]
-    _, values, lengths = choices[1] if predicted else choices[0]
+    values = samples.ravel()
     w = BitWriter()
     w.write(MAGIC, 8)
     w.write(width - 1, 14)
     w.write(height - 1, 14)
     w.write(0, 1)
     w.write(0, 3)
-    if predicted:
+    counts = np.bincount(values, minlength=256)
+    colours, alpha = np.flatnonzero(counts), 255
+    if len(colours) <= 16:
         w.write(1, 1)
-        w.write(PREDICTOR, 2)
-        w.write(7, 3)  # blocks of 512
-        w.write(0, 1)  # no colour cache
-        for s in (2, 0, 0, 0, 0):  # mode 2, the sample above, everywhere
-            write_code(w, np.eye(1, 256, s, dtype=np.int64)[0])
+        w.write(PALETTE, 2)
+        w.write(len(colours) - 1, 8)
+        _write_table(w, colours)
+        bundle = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1
+        index = np.searchsorted(colours, samples)
+        index = np.pad(index, ((0, 0), (0, -width % (1 << bundle)))).reshape(height, -1, 1 << bundle)
+        values = (index << ((8 >> bundle) * np.arange(1 << bundle))).sum(axis=2).astype(np.uint8).ravel()
+        width, alpha = (width + (1 << bundle) - 1) >> bundle, 0
+    else:
+        delta = samples.copy()
+        delta[1:] -= samples[:-1]
+        delta[0, 1:] -= samples[0, :-1]
+        if _entropy(np.bincount(delta.ravel(), minlength=256)) + 200 < _entropy(counts):
+            values, alpha = delta.ravel(), 0
+            w.write(1, 1)
+            w.write(PREDICTOR, 2)
+            w.write(7, 3)  # blocks of 512
+            w.write(0, 1)  # no colour cache
+            for s in (2, 0, 0, 0, 0):  # mode 2, the sample above, everywhere
+                write_single(w, s)
     w.write(0, 1)  # no more transforms
-    w.write(0, 1)  # no colour cache
-    w.write(0, 1)  # one group of codes
-    write_code(w, lengths)
-    for s in (0, 0, 0 if predicted else 255, 0):
-        write_code(w, np.eye(1, 256, s, dtype=np.int64)[0])
-    head = w.bits()
-    table = canonical_codes(lengths)
-    if len(table) > 1:
-        code, size = np.zeros(256, np.int64), np.zeros(256, np.int64)
-        for s, (bits, n) in table.items():
-            code[s], size[s] = bits, n
-        n = size[values]
-        ends = np.cumsum(n)
-        of = np.repeat(np.arange(len(values)), n)
-        body = (code[values][of] >> (np.arange(int(ends[-1])) - (ends - n)[of])) & 1
-        head = np.concatenate([head, body.astype(np.uint8)])
-    raw = np.packbits(head, bitorder="little").tobytes()
+    raw = np.packbits(_write_green(w, values, width, alpha, back_references(values)), bitorder="little").tobytes()
     size = len(raw)
     raw += b"\0" * (size & 1)
     return b"RIFF" + struct.pack("<I", 12 + len(raw)) + b"WEBPVP8L" + struct.pack("<I", size) + raw
