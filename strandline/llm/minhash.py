@@ -20,7 +20,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.components import components
@@ -33,6 +33,8 @@ BITS = 2_048
 DEVIATIONS = 4.5
 #: Distinct words whose hashes a worker remembers before it starts anew.
 REMEMBERED = 200_000
+#: Pivots with which a document is linked before members of buckets are compared.
+PIVOTS = 4
 #: Rows of a bucket that are compared with as many others at a time.
 BLOCK = 2_048
 
@@ -239,10 +241,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     """(id, n_shingles, component_id, kept) for every row of ``docs``.
 
     Equal sets are collapsed first, so exact copies cost one representative.  Each member
-    of a bucket is first compared with one member chosen by hash; the best partner of each
-    document is confirmed and linked.  Then, in rounds, each member of a bucket that still
+    of a bucket is first compared with one member chosen by hash; the nearest few of these
+    that a document has are confirmed and linked.  Then, in rounds, each member of a bucket that still
     holds several components is compared with all members of other components, and its
-    nearest possible partners are confirmed: two in the first round, sixteen times as many in
+    nearest possible partners are confirmed: 32 in the first round, sixteen times as many in
     each later one, until no bucket has a possible pair left.  So every pair that meets in a
     table is either linked, ruled out, or inside one component; pairs are never listed
     beyond the few nearest of each member.
@@ -266,9 +268,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     texts = stored(texts.dropDuplicates(["id"]), "mhtexts")
 
     # each member with its bucket's pivot
-    first = buckets.where("id != p").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
-    first = first.join(brief.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka")), "a")
-    first = first.join(brief.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb")), "b")
+    first = buckets.where("id != p").select("id", "p").distinct()
+    first = first.join(brief.select("id", F.col("n").alias("na"), F.col("sketch").alias("ka")), "id")
+    first = first.join(brief.select(F.col("id").alias("p"), F.col("n").alias("nb"), F.col("sketch").alias("kb")), "p")
 
     def near(batches):
         for b in batches:
@@ -276,16 +278,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
             limit = differences(percent, b.column("na").to_numpy(), b.column("nb").to_numpy())
             ok = np.flatnonzero(gap <= limit)
             weight = gap[ok] / np.maximum(limit[ok], 1)
-            yield pa.RecordBatch.from_arrays([b.column("a").take(pa.array(ok)), b.column("b").take(pa.array(ok)), pa.array(weight, pa.float64())], names=["a", "b", "weight"])
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(ok)), b.column("p").take(pa.array(ok)), pa.array(weight, pa.float64())], names=["id", "p", "weight"])
 
-    first = stored(first.select("a", "b", "na", "nb", "ka", "kb").mapInArrow(near, "a long, b long, weight double"), "mhfirst")
-    ends = first.select("a", "b", "weight", F.col("a").alias("id")).unionByName(first.select("a", "b", "weight", F.col("b").alias("id")))
-    best = ends.groupBy("id").agg(F.min(F.struct("weight", F.xxhash64("a", "b").alias("h"), "a", "b")).alias("e")).select("e.a", "e.b").distinct()
+    first = stored(first.select("id", "p", "na", "nb", "ka", "kb").mapInArrow(near, "id long, p long, weight double"), "mhfirst")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("weight", F.xxhash64("p"), "p"))  # as many as tables
+    best = first.withColumn("k", place).where(F.col("k") <= PIVOTS).select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
     tested = confirmed(best, texts, width, percent)
     found = stored(components(tested.where("ok").select("a", "b")), "mhcomp")
 
     # members with those of other components of their buckets, until none is possible
-    open_, most = buckets.select("bucket", "id"), 2
+    open_, most = buckets.select("bucket", "id"), 32
     while True:
         placed = stored(open_.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("comp")), "mhplaced")
         pairs = stored(partners(blocked(placed, brief), percent, most), "mhpairs")
