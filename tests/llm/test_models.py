@@ -8,7 +8,7 @@ import pytest
 from strandline.llm import queries
 from strandline.llm.langid import language_model, predicted_languages
 from strandline.llm.spann import nearest_neighbours
-from strandline.llm.toxicity import fitted_model, forward_backward, toxicity_scores
+from strandline.llm.toxicity import fitted_curve, fitted_model, forward_backward, likelihood_gradient, toxicity_scores
 
 SF = "/root/testdata/sf0.01"
 
@@ -128,3 +128,64 @@ def test_few_far_and_mixed_vectors(spark):
             assert len(scores) == min(5, len(group) - 1) and scores == sorted(scores, reverse=True)
             assert all(abs(s - float(unit[q] @ unit[i])) < 1e-9 for i, s in got[q])
     assert {*got} == {i for i, *_ in far + short if i % 2 == 0}
+
+
+def plain_ngrams(text):
+    """Buckets of all 1- to 3-grams, one by one; the last ones run into zeros."""
+    codes, out = [*map(ord, text.lower()), 0, 0], []
+    for order in (1, 2, 3):
+        for at in range(len(codes) - 2):
+            h = order
+            for k, key in zip(range(order), (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D), strict=False):
+                h = ((h ^ codes[at + k]) * key) & 0xFFFFFFFF
+                h ^= h >> 15
+            out.append(h & 0xFFFF)
+    return out
+
+
+def test_languages_equal_a_plain_naive_bayes(spark):
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("the cat sat", "en"), ("die katze saß", "de"), ("el gato se sentó", "es"), ("a dog ran on", "en"), ("der hund lief", "de"), ("und null", None), ("12 ..", "en"), (None, "de"), ("thé und gato", "es"), ("sat ran", "en")])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts: dict = {}
+    for i, t, lang in rows:
+        if lang and not held(i, 5, 0):
+            c = counts.setdefault(lang, dict.fromkeys(range(1 << 16), 0.5))
+            for b in plain_ngrams(t or ""):
+                c[b] += 1
+    total = {lang: sum(c.values()) for lang, c in counts.items()}
+    for r in predicted_languages(df, language_model(df)).collect():
+        text = rows[r.doc_id][1]
+        if not any(map(str.isalpha, text or "")):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        like = {lang: sum(np.log(c[b] / total[lang]) for b in plain_ngrams(text)) for lang, c in counts.items()}
+        best = max(like, key=like.get)
+        assert r.lang_pred == best
+        assert r.score == pytest.approx(1 / sum(np.exp(v - like[best]) for v in like.values()), rel=1e-4)
+
+
+def test_gradient_and_curve_of_the_field():
+    rng = np.random.default_rng(2)
+    grid, tags = rng.integers(0, 3, (4, 5)), rng.integers(0, 2, (4, 5))
+    emission, transition = rng.normal(size=(3, 2)), rng.normal(size=(2, 2))
+
+    def likelihood(e, t):
+        out = 0.0
+        for g, y in zip(grid.T, tags.T, strict=True):
+            score = lambda path: sum(e[x, s] for x, s in zip(g, path, strict=True)) + sum(t[a, b] for a, b in zip(path, path[1:], strict=False))  # noqa: B023, E731
+            out += score(y.tolist()) - np.log(sum(np.exp(score([(k >> i) & 1 for i in range(4)])) for k in range(16)))
+        return out
+
+    found = likelihood_gradient(grid, tags, emission, transition)
+    for which, table in enumerate((emission, transition)):
+        for at in np.ndindex(*table.shape):
+            step = np.zeros_like(table)
+            step[at] = 1e-5
+            up, down = ((emission + s, transition) if which == 0 else (emission, transition + s) for s in (step, -step))
+            assert found[which][at] == pytest.approx((likelihood(*up) - likelihood(*down)) / 2e-5, abs=1e-6)
+    x = rng.normal(size=400) * 2
+    y = (rng.random(400) < 1 / (1 + np.exp(-(1.7 * x - 0.6)))).astype(int)
+    a, c = fitted_curve(x, y)
+    loss = lambda a, c: -np.log1p(np.exp(np.where(y == 1, -1, 1) * (a * x + c))).sum() - 0.005 * (a * a + c * c)
+    assert all(loss(a, c) >= loss(a + u, c + v) for u in (-0.01, 0, 0.01) for v in (-0.01, 0, 0.01))
+    assert abs(a - 1.7) < 0.6 and abs(c + 0.6) < 0.5
