@@ -48,13 +48,22 @@ def test_components_of_a_path_a_star_and_loops(spark):
 @pytest.mark.parametrize("window", [50, 400])
 def test_removed_bytes_equal_those_of_all_windows(request, table, window):
     df = request.getfixturevalue(table)
-    texts = {r[0]: r[1] for r in df.select("doc_id", "text").collect() if len(r[1] or "") < 100_000}
-    df = df.where(f"doc_id in ({','.join(map(str, texts))})")
+    texts = {r[0]: r[1] for r in df.select("doc_id", "text").collect()}
+    assert table == "docs" or max(len(t or "") for t in texts.values()) > 300_000
     cover = removed(texts, window)
     rows = removal_digest(df, window).collect()
     assert len(rows) == len(texts)
     for r in rows:
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == removal_row(texts[r.doc_id], cover[r.doc_id])
+        assert r.kept_bytes == r.n_bytes - r.n_removed
+
+
+def test_repeated_rows_repeat_each_other(spark):
+    kind = "doc_id long, text string"
+    a, b = "".join(chr(97 + i * i % 23) for i in range(300)), "".join(chr(97 + i * 7 % 26) for i in range(300))
+    rows = [(1, a), (1, a), (None, b), (None, b), (2, a[:120] + b[100:]), (1, "short")]
+    got = sorted((r.n_bytes, r.n_removed) for r in removal_digest(spark.createDataFrame(rows, kind), 100).collect())
+    assert got == [(5, 0), (300, 300), (300, 300), (300, 300), (300, 300), (320, 320)]
 
 
 @pytest.mark.parametrize("seed", range(3))
