@@ -192,8 +192,9 @@ def with_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id") -> Dat
 
 
 def removal_digest(docs: DataFrame, window: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256, kept_bytes) of each row: what is left of
-    its text when the repeated runs go.  A null text counts as empty.  Repeated rows are
+    """(id, n_bytes, n_removed, n_spans, kept_sha256, kept_bytes, n_chars, text) of each row:
+    what is left of its text when the repeated runs go, n_chars and text without characters
+    of which a run took a part.  A null text counts as empty.  Repeated rows are
     documents of their own, so each repeats the other's text, whatever their ids."""
     rows, key = numbered(docs.select(id_col, text_col), id_col)
     marked = with_spans(rows, repeated_spans(rows, window, key, text_col), key).select(id_col, text_col, "span_starts__", "span_ends__")
@@ -203,17 +204,18 @@ def removal_digest(docs: DataFrame, window: int = 400, id_col: str = "doc_id", t
             out = []
             for text, lo, hi in zip(b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 data = text.as_buffer().to_pybytes() if text.is_valid else b""
-                sha, at, gone = hashlib.sha256(), 0, 0
+                at, kept = 0, []
                 for s, t in zip(lo or (), hi or (), strict=True):
-                    sha.update(data[at:s])
-                    at, gone = t, gone + t - s
-                sha.update(data[at:])
-                out.append((len(data), gone, len(lo or ()), sha.hexdigest(), len(data) - gone))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ((),) * 5, types, strict=True)]], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"])
+                    kept.append(data[at:s])
+                    at = t
+                left = b"".join([*kept, data[at:]]) if kept else data
+                rest = left.decode(errors="ignore") if kept else text.as_py() or ""
+                out.append((len(data), len(data) - len(left), len(lo or ()), hashlib.sha256(left).hexdigest(), len(left), len(rest), rest))
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ((),) * 7, types, strict=True)]], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes", "n_chars", "text"])
 
     kind = dict(docs.dtypes)[id_col]
-    return marked.mapInArrow(digest, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes long")
+    return marked.mapInArrow(digest, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes long, n_chars long, text string")
 
 
 def without_repeats(docs: DataFrame, window: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
