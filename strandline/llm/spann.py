@@ -24,6 +24,8 @@ from strandline.operators.scratch import stored
 #: Vectors for a list, the most lists, and vectors of a list that the index is fitted on.  Up
 #: to ``MOST_LISTS * LIST_ROWS`` vectors lists keep their size; beyond, they grow with the table.
 LIST_ROWS, MOST_LISTS, FIT_PER_LIST = 64, 4_096, 24
+#: A query reads at most one list in ``PROBED``, or ``LEAST_PROBES`` where these are more.
+LEAST_PROBES, PROBED = 48, 8
 #: Vectors of a list or queries of a list that one task compares at a time.
 LIST_BLOCK, QUERY_BLOCK = 2_048, 512
 
@@ -113,7 +115,7 @@ def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (x * q).sum(axis=1) / (np.sqrt((q * q).sum()) * np.sqrt((x * x).sum(axis=1)))
 
 
-def nearest_neighbours(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vec_col: str = "embedding", replicas: int = 6, probes: int = 48, boundary: float = 1.25, ratio: float = 3.0) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vec_col: str = "embedding", replicas: int = 6, probes: int | None = None, boundary: float = 1.25, ratio: float = 3.0) -> DataFrame:
     """(query_id, rank, vec_id, score): for each vector whose id is divisible by ``every``
     the ``k`` nearest others found, by cosine, ties to the smaller id.
 
@@ -130,7 +132,7 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, every: int = 50, id_col:
     return out
 
 
-def _searched(rows: DataFrame, n: int, dim: int, k: int, every: int, id_col: str, replicas: int, probes: int, boundary: float, ratio: float) -> DataFrame:
+def _searched(rows: DataFrame, n: int, dim: int, k: int, every: int, id_col: str, replicas: int, probes: int | None, boundary: float, ratio: float) -> DataFrame:
     """``nearest_neighbours`` of n usable vectors (id, v) of one length."""
     lists = max(1, min(MOST_LISTS, n // LIST_ROWS))
     share = min(1.0, max(FIT_PER_LIST * lists, 2_000) / n)
@@ -139,6 +141,7 @@ def _searched(rows: DataFrame, n: int, dim: int, k: int, every: int, id_col: str
     fitted = np.array([r["v"] for r in sample.collect()]).reshape(-1, dim)
     index = fit_index(_unit(fitted if len(fitted) else np.array([rows.first()["v"]])), lists)
     shared = rows.sparkSession.sparkContext.broadcast(index)  # at most MOST_LISTS centroids
+    most = probes or max(LEAST_PROBES, lists // PROBED)
 
     def post(batches):
         """Each vector's lists: the nearest, and boundary ones that no chosen list shadows."""
@@ -163,7 +166,7 @@ def _searched(rows: DataFrame, n: int, dim: int, k: int, every: int, id_col: str
         for b in batches:
             at, to = [], []
             for row, v in enumerate(_unit(_matrix(b.column(1))) if b.num_rows else ()):
-                found = ix.nearest(v, probes)
+                found = ix.nearest(v, most)
                 lists = [i for d, i in found if d <= ratio * found[0][0] + 1e-9]
                 lists += [i for _, i in found[len(lists) : 8]]  # at least eight
                 at.extend([row] * len(lists))
