@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.pam import Pam
 from strandline.operators.ranges import merged, range_join
-from strandline.operators.sequences import reverse_complement, windows
+from strandline.operators.sequences import letters, reverse_complement, windows
 
 #: Bases by which sequences to be masked are looked up, at most.
 SEED = 24
@@ -142,8 +142,8 @@ def masked_regions(masks: DataFrame, subjects: DataFrame, perfect: DataFrame | N
         forms = m.select("masked", "f").unionByName(m.select("masked", reverse_complement(F.col("f")).alias("f"))).distinct().withColumn("w", F.substr("f", F.lit(1), F.lit(k)))
         longest = m.agg(F.max(F.length("f")).alias("k")).first()["k"]
         rows = windows(subjects.select("source", "molecule", F.upper("seq").alias("s")), ["source", "molecule"], k, 0, longest)
-        at = F.col("at") - F.col("lo") + 1
-        met = rows.withColumn("w", F.substr("part", at, F.lit(k))).join(forms, "w").where(F.substr("part", at, F.length("f")) == F.col("f"))
+        at = F.col("at") - F.col("lo")
+        met = rows.withColumn("w", letters(F.col("part"), at, F.lit(k))).join(forms, "w").where(letters(F.col("part"), at, F.length("f")) == F.col("f"))
         found = met.select("source", "molecule", F.col("at").alias("start"), (F.col("at") + F.length("f")).alias("end"), "masked").distinct()
     if perfect is not None:
         whole = perfect.where("q_start = 0 and q_end = q_len and mismatches = 0 and gaps = 0").select("source", "molecule", "start", "end", "masked")

@@ -12,7 +12,7 @@ from strandline.operators.prefix import global_prefix
 from strandline.operators.ranges import intersected, merged
 
 #: Windows of a piece into which sequences are cut.
-PIECE = 4_096
+PIECE = 512
 # Complements of IUPAC codes; amino acids of the standard code over ACGT x ACGT x ACGT.
 BASES, COMPLEMENTS = "ACGTURYSWKMBDHVNacgturyswkmbdhvn", "TGCAAYRSWMKVHDBNtgcaayrswmkvhdbn"
 STANDARD_CODE = "KNKNTTTTRSRSIIMIQHQHPPPPRRRRLLLLEDEDAAAAGGGGVVVV*Y*YSSSS*CWCLFLF"
@@ -59,17 +59,36 @@ def translated(seq: Column, code: str = STANDARD_CODE) -> Column:
     return F.when(F.length(seq) < 3, "").otherwise(F.array_join(F.transform(starts, amino), ""))
 
 
-def windows(df: DataFrame, keep: Sequence[str], length: int, left: int = 0, right: int = 0, seq: str = "s") -> DataFrame:
-    """(keep..., n, at, part, lo): a row for each window of ``length`` bases of a sequence of
-    n bases, with the piece that holds it and ``left`` and ``right`` bases around it; the
-    piece begins at lo.  Sequences are first cut into pieces of ``PIECE`` windows, so the
-    work grows with a molecule's length, and a long one is dealt out as many rows."""
+def byte_letters(seq: Column) -> Column:
+    """The sequence as binary of one byte a letter, so that a slice costs its own length and
+    not its distance from the start; letters beyond ASCII become ``?``."""
+    plain = F.when(F.octet_length(seq) == F.length(seq), seq).otherwise(F.regexp_replace(seq, r"[^\x00-\x7f]", "?"))
+    return plain.cast("binary")
+
+
+def letters(part: Column, at: Column, length: Column) -> Column:
+    """``length`` letters of the bytes ``part`` from ``at`` (from 0)."""
+    return F.substring(part, at + 1, length).cast("string")
+
+
+def pieces(df: DataFrame, keep: Sequence[str], length: int, left: int = 0, right: int = 0, seq: str = "s") -> DataFrame:
+    """(keep..., n, base, lo, part): sequences of n bases cut into overlapping pieces of
+    ``PIECE`` windows of ``length`` bases, the first at base, with ``left`` and ``right``
+    bases around them; the piece begins at lo.  Pieces are bytes sliced from bytes, so the
+    work grows with a sequence's length; ``letters`` cuts text out of them."""
     n = F.length(seq)
-    pieces = df.where(n >= length).select(*keep, n.alias("n"), F.col(seq).alias("s__"), F.explode(F.sequence(F.lit(0), F.floor((n - length) / PIECE).cast("int"))).alias("c__"))
+    rows = df.where(n >= length).select(*keep, n.alias("n"), byte_letters(F.col(seq)).alias("s__"))
+    rows = rows.select(*keep, "n", "s__", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - length) / PIECE).cast("int"))).alias("c__"))
     base = F.col("c__") * PIECE
     lo = F.greatest(base - left, F.lit(0))
-    cut = pieces.select(*keep, "n", lo.alias("lo"), F.substr("s__", lo + 1, base - lo + PIECE + length - 1 + right).alias("part"), base.alias("base__"))
-    return cut.select(*keep, "n", "lo", "part", F.explode(F.sequence(F.col("base__"), F.least(F.col("base__") + PIECE, F.col("n") - length + 1) - 1)).alias("at"))
+    return rows.select(*keep, "n", base.alias("base"), lo.alias("lo"), F.substring("s__", lo + 1, base - lo + PIECE + length - 1 + right).alias("part"))
+
+
+def windows(df: DataFrame, keep: Sequence[str], length: int, left: int = 0, right: int = 0, seq: str = "s") -> DataFrame:
+    """(keep..., n, at, part, lo): a row for each window of ``length`` bases of a sequence of
+    n bases, with the piece (see ``pieces``) that holds it."""
+    cut = pieces(df, keep, length, left, right, seq)
+    return cut.select(*keep, "n", "lo", "part", F.explode(F.sequence(F.col("base"), F.least(F.col("base") + PIECE, F.col("n") - length + 1) - 1)).alias("at"))
 
 
 def guides(targets: DataFrame, pam: Pam, keep: Sequence[str] = ("target_id",)) -> DataFrame:
@@ -84,11 +103,11 @@ def guides(targets: DataFrame, pam: Pam, keep: Sequence[str] = ("target_id",)) -
     within = F.col("at") - F.col("lo")
     if pam.before:
         lo = F.greatest(F.lit(0), within - left)
-        both = both.where(F.substr("part", lo + 1, within - lo).rlike(f"{pam.before}$"))
+        both = both.where(letters(F.col("part"), lo, within - lo).rlike(f"{pam.before}$"))
     if pam.after:
-        both = both.where(F.substr("part", within + length + 1, F.lit(right)).rlike(f"^{pam.after}"))
+        both = both.where(letters(F.col("part"), within + length, F.lit(right)).rlike(f"^{pam.after}"))
     start = F.when(F.col("strand") == "+", F.col("at")).otherwise(F.col("n") - F.col("at") - length)
-    return both.select(*keep, F.substr("part", within + 1, F.lit(length)).alias("grna"), start.alias("start"), (start + length).alias("end"), "strand")
+    return both.select(*keep, letters(F.col("part"), within, F.lit(length)).alias("grna"), start.alias("start"), (start + length).alias("end"), "strand")
 
 
 def named_guides(hits: DataFrame, order: Sequence[str], prefix: str = "gRNA") -> DataFrame:
@@ -102,7 +121,7 @@ def exact_occurrences(queries: DataFrame, subjects: DataFrame, length: int) -> D
     """(query, molecule, start, end, strand): where queries of one length stand in the
     subjects, overlapping and on both strands; windows meet queries by equality."""
     found = windows(subjects.select("molecule", F.upper("seq").alias("s")), ["molecule"], length)
-    found = found.select("molecule", F.col("at").alias("start"), F.substr("part", F.col("at") - F.col("lo") + 1, F.lit(length)).alias("w"))
+    found = found.select("molecule", F.col("at").alias("start"), letters(F.col("part"), F.col("at") - F.col("lo"), F.lit(length)).alias("w"))
     q = queries.select(F.upper("query").alias("query")).distinct()
     forms = q.select("query", F.col("query").alias("w"), F.lit("+").alias("strand")).unionByName(q.select("query", reverse_complement(F.col("query")).alias("w"), F.lit("-").alias("strand")))
     return found.join(forms, "w").select("query", "molecule", "start", (F.col("start") + length).alias("end"), "strand")

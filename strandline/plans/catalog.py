@@ -73,22 +73,30 @@ def background_check(spark, d):
     return found.join(bad, "grna", "left").select("grna", F.coalesce("x", F.lit(True)).alias("background"))
 
 
-@query(f"""WITH {sub.D_TARGETS}, {sub.D_MOLECULES}, q AS (SELECT DISTINCT substring(seq, 1, 20) AS grna FROM t WHERE target_id LIKE '%'), x AS (SELECT seq, unnest(range(0, length(seq) - 19)) AS p FROM m), y AS (SELECT DISTINCT substring(seq, p + 1, 20) AS w FROM x)
- SELECT grna, w, hamming(grna, w) AS mismatches FROM q, y WHERE hamming(grna, w) <= 4""")
+# Of five parts of a guide one at least is the same where four bases differ at most.
+NEAR_GUIDES = f"""WITH {sub.D_TARGETS}, {sub.D_MOLECULES}, {sub.D_GUIDES}, q AS (SELECT DISTINCT grna FROM g), x AS (SELECT seq, unnest(range(0, length(seq) - 19)) AS p FROM m),
+ y AS (SELECT substring(seq, p + 1, 20) AS w FROM x UNION SELECT reverse(translate(substring(seq, p + 1, 20),'ACGT','TGCA')) FROM x),
+ qs AS (SELECT grna, k, substring(grna, k * 4 + 1, 4) AS seed FROM q, range(5) r(k)), ys AS (SELECT w, k, substring(w, k * 4 + 1, 4) AS seed FROM y, range(5) r(k))
+ SELECT DISTINCT grna, w, hamming(grna, w) AS mismatches FROM qs JOIN ys USING (k, seed) WHERE hamming(grna, w) <= 4"""
+
+
+def _near_guides(spark, d):
+    q = sq.guides(sub.targets(spark, d), Pam.parse("NGG"))
+    both = sub.molecules(spark, d).select("molecule", F.explode(F.array("seq", sq.reverse_complement(F.col("seq")))).alias("s"))
+    w = sq.windows(both, ["molecule"], 20).select(sq.letters(F.col("part"), F.col("at") - F.col("lo"), F.lit(20)).alias("w"))
+    return sr.hamming_hits(q, w, 20, 4, agree=3).select("grna", "w", *big("mismatches"))
+
+
+@query(NEAR_GUIDES)
 def offtarget_hits(spark, d):
-    q = sub.targets(spark, d).select(F.substring("seq", 1, 20).alias("grna"))
-    m = sub.molecules(spark, d).select(F.explode(F.transform(F.sequence(F.lit(1), F.length("seq") - 19), lambda i: F.substr("seq", i, F.lit(20)))).alias("w"))
-    return sr.hamming_hits(q, m, 20, 4).select("grna", "w", *big("mismatches"))
+    """All guides of the targets against the windows of both strands of the background."""
+    return _near_guides(spark, d)
 
 
-@query()
+@query(NEAR_GUIDES)
 def offtarget_guide_hits(spark, d):
-    """The whole search of which offtarget_hits and its SQL take the first 20 bases of each
-    target and one strand: all guides against the windows of both strands."""
-    q = sq.guides(sub.targets(spark, d), Pam.parse("NGG"))
-    m = sub.molecules(spark, d).select(F.explode(F.array("seq", sq.reverse_complement(F.col("seq")))).alias("seq")).where(F.length("seq") >= 20)
-    m = m.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("seq") - 19), lambda i: F.substr("seq", i, F.lit(20)))).alias("w"))
-    return sr.hamming_hits(q, m, 20, 4, agree=3).select("grna", "w", *big("mismatches"))
+    """The rows of ``offtarget_hits``, under the name that they had before."""
+    return _near_guides(spark, d)
 
 
 @query(f"WITH {sub.D_CODING}, {sub.D_GENES}, {sub.D_TARGETS} SELECT gene, string_agg(substring(seq, CAST(\"start\" % 100 + 1 AS INTEGER), CAST(\"end\" - \"start\" AS INTEGER)), '' ORDER BY \"start\", substring(seq, CAST(\"start\" % 100 + 1 AS INTEGER), CAST(\"end\" - \"start\" AS INTEGER))) AS seq FROM cd JOIN t ON t.target_id = CAST(cd.gene % 200 + 1 AS VARCHAR) GROUP BY gene")
