@@ -76,5 +76,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_minhash, op4_suffix_dedup, op5_packing, op6_media, op7_neighbours, op8_language_id, op9_mixing, op10_toxicity)}
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.order_minhash import edited_fingerprints
+
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_minhash, op4_suffix_dedup, op5_packing, op6_media, op7_neighbours, op8_language_id, op9_mixing, op10_toxicity, op12_fingerprints)}
 ORACLES: dict[str, str] = {}
