@@ -57,3 +57,72 @@ def global_prefix(df: DataFrame, order: Sequence[str | Column], measures: Sequen
         (F.col("row_before") + F.col("row_start__")).alias("row_before"),
         *[(F.col(f"{m}_before") + F.col(f"{m}_start__")).alias(f"{m}_before") for m in measures],
     )
+
+
+def prefix_within(df: DataFrame, key: str, order: Sequence[str | Column], measures: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """``keep`` columns with ``row_before`` and, for each long column m of ``measures``,
+    ``m_before``: how many rows of the same ``key`` (a long, not null), and how much of m of
+    them, come before a row in ``order``.  Sums wrap at 64 bits.
+
+    A key may hold any share of the rows: they are range-partitioned by key and order, and
+    each partition (one summary row each) hands its last key's totals on to the next ones.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = df.repartitionByRange(parts, key, *order).sortWithinPartitions(key, *order).select(*keep)
+    before = ["row_before", *[f"{m}_before" for m in measures]]
+    longs = [StructField(n, LongType()) for n in before]
+    kept = [StructField(f.name, f.dataType) for f in ordered.schema.fields]  # null in summaries
+    schema = StructType([*kept, StructField("part__", IntegerType()), StructField("first__", LongType()), *longs])
+
+    def local(batches):
+        part, first, last, state = TaskContext.get().partitionId(), None, None, np.zeros(len(before), np.int64)
+        types = {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            types = {f.name: f.type for f in b.schema}
+            keys = b.column(list(keep).index(key)).to_numpy()
+            edge = np.concatenate([[True], keys[1:] != keys[:-1]])
+            start = np.flatnonzero(edge)
+            run = np.cumsum(edge) - 1
+            columns = []
+            new = np.zeros(len(before), np.int64)
+            for i, m in enumerate([None, *measures]):
+                v = np.ones(b.num_rows, np.int64) if m is None else b.column(list(keep).index(m)).to_numpy()
+                total = np.cumsum(v)
+                base = (total - v)[start]
+                sums = total - v - base[run]
+                if keys[0] == last:
+                    sums[: start[1] if len(start) > 1 else None] += state[i]
+                columns.append(sums)
+                new[i] = sums[-1] + v[-1]
+            first = int(keys[0]) if first is None else first
+            last, state = keys[-1], new
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, part, np.int32)), pa.nulls(b.num_rows, pa.int64()), *map(pa.array, columns)], names=schema.names)
+        if first is not None:
+            total = {key: int(last), "part__": part, "first__": first} | dict(zip(before, state.tolist(), strict=True))
+            empty = [pa.array([total.get(n)], types.get(n, pa.int32() if n == "part__" else pa.int64())) for n in schema.names]
+            yield pa.RecordBatch.from_arrays(empty, names=schema.names)
+
+    rows = stored(ordered.mapInArrow(local, schema), "within")
+    carried, last, state = {}, None, [0] * len(before)
+    for r in sorted(rows.where("first__ is not null").select(key, "part__", "first__", *before).collect(), key=lambda r: r["part__"]):  # one row a partition
+        if last is not None and r["first__"] == last:
+            carried[r["part__"]] = (last, [(x + (1 << 63)) % (1 << 64) - (1 << 63) for x in state])
+        on = last == r[key] == r["first__"]
+        state = [(state[i] if on else 0) + r[n] for i, n in enumerate(before)]
+        last = r[key]
+
+    def shifted(batches):
+        for b in batches:
+            keys, part = b.column(list(keep).index(key)).to_numpy(), b.column(len(keep)).to_numpy()
+            sums = [b.column(len(keep) + 2 + i).to_numpy().copy() for i in range(len(before))]
+            for p in np.unique(part).tolist():
+                if p in carried:
+                    mine = (part == p) & (keys == carried[p][0])
+                    for s, add in zip(sums, carried[p][1], strict=True):
+                        s[mine] += np.int64(add)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *map(pa.array, sums)], names=[*keep, *before])
+
+    return rows.where("first__ is null").mapInArrow(shifted, StructType([*kept, *longs]))
