@@ -10,6 +10,7 @@ from strandline.operators import alignment as aln
 from strandline.operators import checks as chk
 from strandline.operators import coverage as cov
 from strandline.operators import features as ft
+from strandline.operators import homology as hom
 from strandline.operators import ranges as rg
 from strandline.operators import search as sr
 from strandline.operators import sequences as sq
@@ -173,6 +174,13 @@ def range_to_genomic(spark, d):
     return j.select("gene", s.cast("long").alias("s"), e.cast("long").alias("e"))
 
 
+@query()
+def homologue_hsp(spark, d):
+    """Similar stretches of all targets in all background molecules."""
+    q = sub.targets(spark, d).withColumnRenamed("target_id", "query_id")
+    return hom.homologous_hsps(q, sub.molecules(spark, d).withColumnRenamed("molecule", "subject_id"))
+
+
 # hits and their merging --------------------------------------------------------------------
 
 
