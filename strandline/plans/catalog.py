@@ -10,6 +10,7 @@ from strandline.operators import alignment as aln
 from strandline.operators import checks as chk
 from strandline.operators import coverage as cov
 from strandline.operators import features as ft
+from strandline.operators import gapped as gap
 from strandline.operators import homology as hom
 from strandline.operators import ranges as rg
 from strandline.operators import search as sr
@@ -100,6 +101,32 @@ def offtarget_guide_hits(spark, d):
     return _near_guides(spark, d)
 
 
+def _gapped(spark, d):
+    found = gap.edit_hits(sq.guides(sub.targets(spark, d), Pam.parse("NGG")), sub.molecules(spark, d), 2)
+    n = F.length("grna")
+    return found.withColumn("expanded", sr.btop_expanded(F.col("btop"), F.lit(0), n, n))
+
+
+@query()
+def offtarget_gapped(spark, d):
+    """All guides within two edits of the background, on both strands, with their alignments."""
+    return _gapped(spark, d)
+
+
+@query()
+def background_gapped(spark, d):
+    """Guides that no gapped hit speaks against: a hit does where the twelve bases before the
+    motif have neither mismatch nor gap, or all have one of each at most, and the motif stands
+    beside it."""
+    pam = Pam.parse("NGG")
+    hits = _gapped(spark, d).join(sub.molecules(spark, d), "molecule")
+    ops = sr.btop_positions(F.col("expanded"))
+    close = off_target("0m9-,0g9-", ops, 20) | ((F.col("mismatches") <= 1) & (F.col("gaps") <= 1))
+    motif = sr.near_pam(F.col("seq"), F.col("start"), F.col("end"), F.col("strand"), F.lit(0), F.length("grna"), 20, F.lit(0), pam, 1)
+    bad = hits.where(close & motif)
+    return sr.background_checked(sq.guides(sub.targets(spark, d), pam).select("grna").distinct(), bad).select("grna", "background")
+
+
 @query(f"WITH {sub.D_CODING}, {sub.D_GENES}, {sub.D_TARGETS} SELECT gene, string_agg(substring(seq, CAST(\"start\" % 100 + 1 AS INTEGER), CAST(\"end\" - \"start\" AS INTEGER)), '' ORDER BY \"start\", substring(seq, CAST(\"start\" % 100 + 1 AS INTEGER), CAST(\"end\" - \"start\" AS INTEGER))) AS seq FROM cd JOIN t ON t.target_id = CAST(cd.gene % 200 + 1 AS VARCHAR) GROUP BY gene")
 def stitch_cds(spark, d):
     t = sub.targets(spark, d)
