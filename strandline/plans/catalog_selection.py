@@ -10,10 +10,12 @@ from strandline.operators import alignment as aln
 from strandline.operators import checks as chk
 from strandline.operators import coverage as cov
 from strandline.operators import covers as cvs
+from strandline.operators import msa
 from strandline.operators import records as rec
 from strandline.operators import search as sr
 from strandline.operators import sequences as sq
 from strandline.operators import targets as tg
+from strandline.operators.scratch import stored
 from strandline.plans import substrate as sub
 from strandline.plans.registry import big, query
 from strandline.sources import text as src
@@ -314,6 +316,32 @@ def feature_check(spark, d):
     return aln.feature_check(hits, alignment, features, 1, 1, 0.6)
 
 
+@query()
+def align_reference(spark, d):
+    """Two versions of each gene aligned, with a row for the coding sequence of each."""
+    genes, coding, _ = sub.gene_sets(spark, d)
+    return msa.aligned_references(genes, coding)
+
+
+@query()
+def align_targets(spark, d):
+    """Three targets a gene added to its alignment, turned round where that fits better."""
+    genes, coding, targets = sub.gene_sets(spark, d)
+    return msa.added_targets(msa.aligned_references(genes, coding), targets)
+
+
+@query()
+def feature_check_aligned(spark, d):
+    """From raw sequences to the feature check: targets are aligned with their genes, and the
+    guides found on them are held against the genes' coding ranges."""
+    genes, coding, targets = sub.gene_sets(spark, d)
+    whole = stored(msa.added_targets(msa.aligned_references(genes, coding), targets), "aligned")
+    named = targets.withColumnRenamed("seq_id", "target_id")
+    hits = sq.guides(named, Pam.parse("NGG")).join(named.select("target_id", F.length("seq").alias("target_len")), "target_id")
+    hits = hits.select(F.concat_ws("|", "target_id", "strand", "start").alias("hit_id"), "target_id", "start", "end", "target_len")
+    return aln.feature_check(hits, whole, coding.select("aln_id", "seq_id", "start", "end"), 8, 1, 0.5)
+
+
 @query(f"""WITH a0 AS (SELECT p_partkey, {ROW.format(c='a', k='p_partkey')} AS g, {ROW.format(c='b', k='p_partkey')} AS c FROM part), ch AS (SELECT p_partkey, g, c, unnest(range(1, 49)) AS i FROM a0),
  cc AS (SELECT p_partkey, g, c, i - 1 AS col, i - row_number() OVER (PARTITION BY p_partkey ORDER BY i) AS k FROM ch WHERE substring(c, i, 1) <> '-'), rn AS (SELECT p_partkey, g, c, min(col) AS s, max(col) + 1 AS e FROM cc GROUP BY p_partkey, g, c, k),
  bl AS (SELECT p_partkey, length(replace(substring(g, 1, s), '-', '')) AS "start", length(replace(substring(g, 1, e), '-', '')) AS "end", length(replace(substring(c, 1, s), '-', '')) % 3 AS phase, row_number() OVER (PARTITION BY p_partkey ORDER BY s) AS n FROM rn)

@@ -45,6 +45,18 @@ def coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("gene"), F.expr(start).alias("start"), F.expr(f"{start} + cast(l_suppkey % 60 + 1 as int)").alias("end"))
 
 
+def gene_sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """For each supplier two versions of a gene, the second with a deletion and other bases,
+    the coding ranges of both, and three targets: with an insertion, shortened, and turned."""
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("aln_id"), F.expr(DNA.format(k="s_suppkey")).alias("s"))
+    named = lambda *pairs: rows.select("aln_id", F.explode(F.array(*[F.struct(F.concat(F.lit(n), F.col("aln_id").cast("string")).alias("seq_id"), F.expr(e).alias("seq")) for n, e in pairs])).alias("x")).select("aln_id", "x.*")
+    genes = named(("a", "s"), ("b", "concat(substring(s, 1, 60), replace(substring(s, 69), 'GAT', 'GTT'))"))
+    ranges = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(a).alias("start"), F.lit(b).alias("end")) for n, a, b in (("a", 10, 50), ("a", 70, 110), ("b", 10, 50), ("b", 62, 102))]))
+    coding = rows.select("aln_id", ranges.alias("x")).select("aln_id", F.concat("x.n", F.col("aln_id").cast("string")).alias("seq_id"), F.concat(F.lit("cds_"), "x.n", F.col("aln_id").cast("string")).alias("cds_id"), "x.start", "x.end")
+    targets = named(("t", "concat(substring(s, 1, 40), 'CATCATC', substring(s, 41))"), ("u", "substring(s, 20, 90)"), ("v", "reverse(translate(concat(substring(s, 1, 90), replace(substring(s, 91), 'TT', 'T')), 'ACGT', 'TGCA'))"))
+    return genes, coding, targets
+
+
 # The same tables for DuckDB, as common table expressions.
 D_TARGETS = f"t AS (SELECT CAST(p_partkey AS VARCHAR) AS target_id, {DNA.format(k='p_partkey')} AS seq FROM part)"
 D_MOLECULES = f"""m AS (SELECT CAST(s_suppkey AS VARCHAR) AS molecule, concat({DNA.format(k="concat('s',s_suppkey)")}, substring({DNA.format(k='s_suppkey')}, 1, 90)) AS seq FROM supplier)"""
