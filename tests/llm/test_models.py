@@ -3,11 +3,12 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from strandline.llm import queries
 from strandline.llm.langid import language_model, predicted_languages
-from strandline.llm.spann import nearest_neighbours
+from strandline.llm.spann import PROBES, REPLICAS, nearest_neighbours, postings, usable
 from strandline.llm.toxicity import fitted_curve, fitted_model, forward_backward, likelihood_gradient, toxicity_scores
 
 SF = "/root/testdata/sf0.01"
@@ -99,6 +100,33 @@ def test_neighbours_found(spark, sf):
         assert all(i not in scores or s == pytest.approx(scores[i], abs=1e-12) for i, s in found)
 
 
+def test_few_lists_are_read_of_many_vectors(spark):
+    """50,000 vectors without any structure: recall, and the share of the table compared."""
+    n, dim, every = 50_000, 64, 500
+    x = np.random.default_rng(3).normal(size=(n, dim)).astype(np.float32)
+    rows = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": pa.array(list(x))})).repartition(8)
+    got: dict = {}
+    for r in nearest_neighbours(rows, every=every).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = []
+    for q in range(0, n, every):
+        near = unit @ unit[q]
+        near[q] = -9
+        hits.append(len(set(np.argpartition(-near, 5)[:5].tolist()) & got[q]) / 5)
+    assert np.mean(hits) >= 0.88  # 0.9 on average, less what 100 queries may vary
+    posted, asked = postings(usable(rows, "vec_id", "embedding"), n, dim, every, REPLICAS, PROBES, 4.0, 6.0)
+    compared = asked.groupBy("list").count().join(posted.groupBy("list").agg({"id": "count"}), "list").selectExpr("sum(count * `count(id)`) as n").first().n
+    assert compared / (n * (n // every)) < 0.1
+    assert posted.count() <= REPLICAS * n
+
+
+def test_repeated_ids_keep_their_least_vector(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [1.0, 0.1]), (2, [1.0, 0.5])]
+    got = [(r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)).collect()]
+    assert sorted(got) == [(0, 1, 2, 0.894427), (0, 2, 1, 0.0)]
+
+
 def test_neighbour_edges(spark):
     kind = "vec_id long, embedding array<float>, list int, v string, id int"
     assert nearest_neighbours(spark.createDataFrame([], kind)).collect() == []
