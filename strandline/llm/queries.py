@@ -67,7 +67,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity_scores(docs, fitted_model(docs, table(spark, sf_dir, "labels")))
     held_out = (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("held_out")
-    return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "spans")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

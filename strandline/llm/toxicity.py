@@ -2,7 +2,7 @@
 
 Tokens of labelled documents get labels by distant supervision: in a toxic document the
 words that mark toxic documents, in a clean one none.  A mark is a whole word or a stem
-(its first 3 to 5 letters) that many toxic documents hold, in many different contexts so
+(its first 4 or 5 letters) that many toxic documents hold, in many different contexts so
 that copies of one text don't count.  The field has two states (clean, toxic); a token's
 feature is the highest level of association of its word and stems, so the weights are
 one row a level and a 2 x 2 transition matrix, fitted to the token labels.  Forward-backward
@@ -27,7 +27,7 @@ LEVELS = 12
 #: The fit sees about this many labelled documents of each class, chosen by hash of the id.
 FIT_ROWS = 4_000
 SPAN_AT = 0.5
-STEMS = (3, 4, 5)
+STEMS = (4, 5)
 #: Levels are steps of half a unit of log-odds; words and stems below this one are neutral.
 MARK = 6
 #: Tokens of a stretch that the fit walks at once, and the most stretches of a kind.
@@ -58,6 +58,11 @@ class ToxicModel:
         return np.array([memo[w] for w in words], np.int8)
 
 
+def words_of(text: str) -> list[str]:
+    """The words as they stand in the text, each lower-cased by itself: places are the text's."""
+    return [w.lower() for w in WORD.findall(text)]
+
+
 def features(word: str) -> list[str]:
     """The word and its stems, as keys."""
     return [f"={word}", *(word[:k] for k in STEMS if len(word) > k)]
@@ -167,8 +172,8 @@ def fitted_model(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, i
     """Fit on about ``fit_rows`` labelled rows of each class whose crc32(id as text) mod 3
     is not 1: a bounded sample by hash, the same at every run.  Spark counts words and
     contexts and cuts the stretches; the driver gets the marks, ``STRETCHES`` stretches of
-    each kind and a number for each document of the sample.  Without labels every
-    document gets the same score."""
+    each kind and a number for each document of the sample.  An id that has both labels
+    counts as toxic.  Without labels every document gets the same score."""
     known = labels.where("toxic in (0, 1)").select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")).where(F.crc32(F.col("id").cast("string")) % 3 != 1)
     n = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     model = ToxicModel({}, np.zeros((LEVELS, 2)), np.zeros((2, 2)), (1.0, 0.0))
@@ -176,7 +181,7 @@ def fitted_model(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, i
         return model
     share = F.create_map(*[x for k, v in n.items() for x in (F.lit(k), F.lit(min(1.0, fit_rows / v)))])
     u = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20)
-    chosen = known.where(u < share[F.col("toxic")]).dropDuplicates(["id"])
+    chosen = known.where(u < share[F.col("toxic")]).groupBy("id").agg(F.max("toxic").alias("toxic"))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.join(F.broadcast(chosen), "id")  # about fit_rows ids of each class
     sample = stored(rows, "toxfit").select("id", "toxic", "text")
@@ -189,7 +194,7 @@ def fitted_model(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, i
         for b in batches:
             seen: dict[str, list[int]] = {}
             for label, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                for key in {k for w in set(WORD.findall(t.lower())) for k in features(w)}:
+                for key in {k for w in set(words_of(t)) for k in features(w)}:
                     seen.setdefault(key, [0, 0])[label] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *[pa.array([v[i] for v in seen.values()], pa.int64()) for i in (0, 1)]], names=["key", "c0", "c1"])
 
@@ -201,7 +206,7 @@ def fitted_model(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, i
         for b in batches:
             met = set()
             for t in b.column(2).to_pylist():
-                ws = WORD.findall(t.lower())
+                ws = words_of(t)
                 for i, w in enumerate(ws):
                     met.update((k, ws[i - 1] if i else "", ws[i + 1] if i + 1 < len(ws) else "") for k in features(w) if k in marks)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*met, strict=True) if met else ([], [], []))], names=["key", "before", "after"])
@@ -214,7 +219,7 @@ def fitted_model(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, i
         for b in batches:
             at, grids, tags = [], [], []
             for row, (label, t) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
-                g = model.levels_of(WORD.findall(t.lower()), memo)
+                g = model.levels_of(words_of(t), memo)
                 for i in range(0, len(g), STRETCH):
                     part = np.pad(g[i : i + STRETCH], (0, STRETCH - len(g[i : i + STRETCH])))
                     at.append((row, i))
@@ -233,7 +238,7 @@ def fitted_model(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, i
     def sums(batches):
         memo: dict[str, int] = {}
         for b in batches:
-            p = model.marginals([model.levels_of(WORD.findall(t.lower()), memo) for t in b.column(2).to_pylist()])
+            p = model.marginals([model.levels_of(words_of(t), memo) for t in b.column(2).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([_summary(q) for q in p], pa.float64())], names=["toxic", "x"])
 
     found = sorted(sample.mapInArrow(sums, "toxic int, x double").collect(), key=lambda r: (r["x"], r["toxic"]))
@@ -265,13 +270,13 @@ def toxicity_scores(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id",
                 texts = [t or "" for t in part.column(part.num_columns - 1).to_pylist()]
                 if len(memo) > REMEMBERED:
                     memo.clear()
-                p = m.marginals([m.levels_of(WORD.findall(t.lower()), memo) for t in texts])
+                p = m.marginals([m.levels_of(words_of(t), memo) for t in texts])
                 scores, spans = [], []
                 for t, q in zip(texts, p, strict=True):
                     scores.append(1 / (1 + np.exp(-np.clip(a * _summary(q) + c, -30, 30))))
                     hit = np.flatnonzero(q >= SPAN_AT)
                     if len(hit):
-                        found = [x.span() for x in WORD.finditer(t.lower())]
+                        found = [x.span() for x in WORD.finditer(t)]
                         spans.append([{"start": found[i][0], "end": found[i][1]} for i in hit])
                     else:
                         spans.append([])
