@@ -20,6 +20,9 @@ WINDOW = 4
 #: The subset sum has at most this many cells; of a longer budget a cell holds several words.
 CELLS = 1 << 20
 
+#: Sources whose totals are broadcast; more are joined by shuffling.
+MOST_BROADCAST = 100_000
+
 
 def source_targets(sizes: dict, weights: Sequence[int], most: int = 3) -> dict:
     """Share the total of ``sizes`` by weight among the sources (code-point order,
@@ -138,6 +141,7 @@ def mixed_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int
     empty = rows.where(F.col("size") == 0).select("id", "source", "size", F.lit(0).cast("long").alias("times"))
     every = counted.unionByName(empty)
     per_source = plan.select(F.col("source").alias("s"), "source_size", "target")
+    per_source = F.broadcast(per_source) if len(sizes) <= MOST_BROADCAST else per_source
     return every.join(per_source, F.col("source").eqNullSafe(F.col("s"))).select(
         F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), *([F.col("source").alias(source_col)] if keep_source else [])
     )
