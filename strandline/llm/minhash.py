@@ -249,7 +249,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     table is either linked, ruled out, or inside one component; pairs are never listed
     beyond the few nearest of each member.
 
-    Ids must be integers.  Null and empty texts have no shingles, are linked with nothing
+    Ids must be integers; rows without one are in no component and are kept.  Null and empty texts have no shingles, are linked with nothing
     and are kept.  Repeated rows with the same id share the id's component; if their texts
     differ, the id counts with one of them.  Other columns play no part.
     """
@@ -303,5 +303,5 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
     classes = reps.select("set_hash", "n", F.col("id").alias("rep")).join(found.withColumnRenamed("id", "rep"), "rep", "left").select("set_hash", "n", F.coalesce("component", "rep").alias("comp"))
     out = signed.select("id", "n", "set_hash").join(classes, ["set_hash", "n"], "left")
-    component = F.coalesce("comp", "id")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    component = F.when(F.col("id").isNotNull(), F.coalesce("comp", "id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
