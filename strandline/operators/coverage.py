@@ -102,7 +102,7 @@ def greedy_cover(pairs: DataFrame, whole_pos: bool = False) -> list[str]:
     guides to the driver (at most ``CANDIDATES`` with ``PAIRS`` pairs).  Counts never grow,
     so picks that come before the last of these are those of the whole table.
     """
-    total = pairs.groupBy("grna").agg((F.sum("s") / F.sum("n")).alias("all_pos"), F.count(F.lit(1)).alias("all"))
+    total = stored(pairs.groupBy("grna").agg((F.sum("s") / F.sum("n")).alias("all_pos"), F.count(F.lit(1)).alias("all")), "total")
     chosen, left = [], pairs
     while True:
         gains = left.groupBy("grna").agg(F.count(F.lit(1)).alias("gain"), (F.sum("s") / F.sum("n")).alias("pos"))
@@ -119,9 +119,12 @@ def greedy_cover(pairs: DataFrame, whole_pos: bool = False) -> list[str]:
         else:
             names = left.sparkSession.createDataFrame([(r["grna"],) for r in first], "grna string")
             sets: dict = defaultdict(dict)
-            covered = {r["target"] for r in pairs.join(F.broadcast(names), "grna").select("target").distinct().join(left.select("target").distinct(), "target", "left_anti").collect()}
-            for r in pairs.join(F.broadcast(names), "grna").collect():
+            open_ = left.select("target").distinct().withColumn("open", F.lit(True))
+            covered = set()
+            for r in pairs.join(F.broadcast(names), "grna").join(open_, "target", "left").collect():
                 sets[r["grna"]][r["target"]] = (r["s"], r["n"])
+                if not r["open"]:
+                    covered.add(r["target"])
             last = first[-1]
             picked = sure_picks(sets, covered, whole_pos, None if whole else (-last["gain"], last["pos"], last["red"], last["grna"]))
         chosen += picked

@@ -13,6 +13,11 @@ from strandline.operators.scratch import stored
 
 #: Bases of a piece that a task hands on.
 PIECE_BASES = 1 << 16
+COLUMNS = {"file": pa.string(), "block": pa.int64(), "record": pa.int32(), "molecule": pa.string(), "at": pa.int64(), "piece": pa.string()}
+
+
+def batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), COLUMNS.values(), strict=True)], names=list(COLUMNS))
 
 
 def read_fasta_chunks(spark: SparkSession, path: str, size: int = CHUNK) -> DataFrame:
@@ -53,11 +58,11 @@ def read_fasta_chunks(spark: SparkSession, path: str, size: int = CHUNK) -> Data
                     if bases >= PIECE_BASES:
                         hand_on(False)
             if rows:
-                yield pa.RecordBatch.from_pylist([dict(zip(("file", "block", "record", "molecule", "at", "piece"), r, strict=True)) for r in rows])
+                yield batch(rows)
                 rows = []
         if split:
             hand_on(True)
-            yield pa.RecordBatch.from_pylist([dict(zip(("file", "block", "record", "molecule", "at", "piece"), r, strict=True)) for r in rows])
+            yield batch(rows)
 
     found = stored(lines.mapInArrow(pieces, kind), "fasta")
     ends = found.groupBy("file", "block", "record").agg(F.max(F.col("at") + F.length("piece")).alias("bases"), F.first("molecule").alias("molecule"))
