@@ -12,8 +12,9 @@ from strandline.functions.pam import Pam
 from strandline.operators.ranges import merged, range_join
 from strandline.operators.sequences import letters, reverse_complement, windows
 
-#: Bases by which sequences to be masked are looked up, at most.
-SEED = 24
+#: Bases by which sequences to be masked are looked up: the most that a sequence has, or all
+#: of one that is shorter.
+SEEDS = (8, 12, 16, 24)
 
 
 def merged_hits(hits: DataFrame, keys: Sequence[str], within: int, min_len: int, min_id: float, id_before: float | None = None) -> DataFrame:
@@ -128,23 +129,25 @@ def masked_regions(masks: DataFrame, subjects: DataFrame, perfect: DataFrame | N
     """(source, molecule, start, end, masked): where a sequence to be masked (seq_id, seq)
     stands whole and unchanged in ``subjects`` (source, molecule, seq), on either strand.
 
-    Sequences of different lengths meet by their first bases (as many as the shortest has,
-    ``SEED`` at most) and are compared whole.  ``perfect``: rows of a hit table (source,
-    molecule, start, end, masked, q_start, q_end, q_len, mismatches, gaps) count besides
-    where a hit covers its query without mismatch and gap.
+    Sequences meet windows by their first bases, each by as many as its length allows (see
+    ``SEEDS``), and are compared whole: a short one costs its own meetings only.
+    ``perfect``: rows of a hit table (source, molecule, start, end, masked, q_start, q_end,
+    q_len, mismatches, gaps) count besides where a hit covers its query without mismatch and gap.
     """
     m = masks.where(F.length("seq") > 0).select(F.col("seq_id").alias("masked"), F.upper("seq").alias("f"))
-    seed = m.agg(F.min(F.length("f")).alias("k")).first()["k"]
-    none = masks.sparkSession.createDataFrame([], "source string, molecule string, start int, end int, masked string")
-    found = none
-    if seed:
-        k = min(seed, SEED)
-        forms = m.select("masked", "f").unionByName(m.select("masked", reverse_complement(F.col("f")).alias("f"))).distinct().withColumn("w", F.substr("f", F.lit(1), F.lit(k)))
-        longest = m.agg(F.max(F.length("f")).alias("k")).first()["k"]
-        rows = windows(subjects.select("source", "molecule", F.upper("seq").alias("s")), ["source", "molecule"], k, 0, longest)
+    forms = m.unionByName(m.select("masked", reverse_complement(F.col("f")).alias("f"))).distinct()
+    size = F.length("f")
+    seed = F.when(size < SEEDS[0], size).otherwise(F.greatest(*[F.when(size >= k, k).otherwise(0) for k in (0, *SEEDS)]))
+    forms = forms.withColumn("k", seed)
+    found = masks.sparkSession.createDataFrame([], "source string, molecule string, start int, end int, masked string")
+    for r in forms.groupBy("k").agg(F.max(size).alias("longest")).orderBy("k").collect():  # a row for each length of seeds
+        k = r["k"]
+        some = forms.where(F.col("k") == k).withColumn("w", F.substr("f", F.lit(1), F.lit(k)))
+        rows = windows(subjects.select("source", "molecule", F.upper("seq").alias("s")), ["source", "molecule"], k, 0, r["longest"])
         at = F.col("at") - F.col("lo")
-        met = rows.withColumn("w", letters(F.col("part"), at, F.lit(k))).join(forms, "w").where(letters(F.col("part"), at, F.length("f")) == F.col("f"))
-        found = met.select("source", "molecule", F.col("at").alias("start"), (F.col("at") + F.length("f")).alias("end"), "masked").distinct()
+        met = rows.withColumn("w", letters(F.col("part"), at, F.lit(k))).join(some, "w").where(letters(F.col("part"), at, size) == F.col("f"))
+        found = found.unionByName(met.select("source", "molecule", F.col("at").alias("start"), (F.col("at") + size).alias("end"), "masked"))
+    found = found.distinct()
     if perfect is not None:
         whole = perfect.where("q_start = 0 and q_end = q_len and mismatches = 0 and gaps = 0").select("source", "molecule", "start", "end", "masked")
         found = found.unionByName(whole).distinct()

@@ -41,3 +41,14 @@ def test_work_grows_with_the_length(spark):
 
     seconds(1)
     assert seconds(8) < 4 * seconds(2) * 2  # a square would cost 16 times as much
+
+
+def test_masks_of_many_lengths(spark):
+    from strandline.operators.search import masked_regions
+
+    s = molecule(3000, 4)
+    turn = lambda x: x.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    masks = {f"k{n}": s[100 * i : 100 * i + n] for i, n in enumerate((1, 5, 7, 8, 11, 12, 15, 23, 24, 25, 90))} | {"back": turn(s[2000:2060]), "none": "", "absent": "ACGT" * 20}
+    rows = masked_regions(spark.createDataFrame(list(masks.items()), "seq_id string, seq string"), spark.createDataFrame([("f", "m", s)], "source string, molecule string, seq string")).collect()
+    expected = {(name, m.start(), m.start() + len(q)) for name, q in masks.items() if q for form in (q, turn(q)) for m in re.finditer(f"(?={form})", s)}
+    assert len(rows) == len(expected) and {(r.masked, r.start, r.end) for r in rows} == expected
