@@ -59,8 +59,10 @@ class ToxicModel:
 
 
 def words_of(text: str) -> list[str]:
-    """The words as they stand in the text, each lower-cased by itself: places are the text's."""
-    return [w.lower() for w in WORD.findall(text)]
+    """The words as they stand in the text, lower-cased.  Where that makes a text longer, it is
+    done word by word, so the places of words are always those of the text."""
+    low = text.lower()
+    return WORD.findall(low) if len(low) == len(text) else [w.lower() for w in WORD.findall(text)]
 
 
 def features(word: str) -> list[str]:

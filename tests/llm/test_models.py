@@ -60,6 +60,21 @@ def test_toxicity_edges(spark, edge, empty):
     assert len(rows) == edge.count() and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_spans_are_places_in_the_text_itself(spark):
+    """Letters that grow when lower-cased, and an id that has both labels."""
+    filler = [f"calm{i % 7} words{i % 11}" for i in range(400)]
+    rows = [(i, f"{filler[i]} İİİ zzbadword{i % 3} {filler[-i - 1]}" if i % 2 else f"{filler[i]} İİİ and {filler[-i - 1]}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    both = [(i, i % 2) for i in range(400)] + [(i, 0) for i in range(1, 400, 8)]
+    labels = spark.createDataFrame(both, "doc_id long, toxic int").repartition(4)
+    model = fitted_model(docs, labels)
+    again = fitted_model(docs, labels.repartition(3))
+    assert model.level == again.level and model.curve == again.curve
+    for r in toxicity_scores(docs, model, keep=["doc_id", "text"]).collect():
+        found = [r.text[s.start : s.end] for s in r.spans]
+        assert found == ([w for w in r.text.split() if w.startswith("zzbad")] if r.doc_id % 2 else [])
+
+
 def test_marginals_equal_sums_over_all_paths():
     rng = np.random.default_rng(0)
     emit, move = rng.random((4, 2)) + 0.1, rng.random((2, 2)) + 0.1
