@@ -9,6 +9,7 @@ from strandline.functions.patterns import off_target
 from strandline.operators import alignment as aln
 from strandline.operators import checks as chk
 from strandline.operators import coverage as cov
+from strandline.operators import domains as dom
 from strandline.operators import features as ft
 from strandline.operators import gapped as gap
 from strandline.operators import homology as hom
@@ -201,6 +202,16 @@ def range_to_genomic(spark, d):
     return j.select("gene", s.cast("long").alias("s"), e.cast("long").alias("e"))
 
 
+@query()
+def domain_ranges(spark, d):
+    """Places of one domain a supplier, a stretch of a target's peptide, in the frames of all targets."""
+    t = sub.targets(spark, d)
+    own = sub.table(spark, d, "supplier").select(F.expr("cast(s_suppkey as string)").alias("domain")).join(t, F.col("domain") == F.col("target_id"))
+    matrices = own.select("domain", F.posexplode(F.split(sq.translated(F.substring("seq", 4, 60)), "")).alias("pos", "residue")).withColumn("score", F.lit(8.0))
+    peptides = dom.six_frames(t)
+    return dom.domain_ranges(dom.domain_hits(matrices, peptides), peptides)
+
+
 @query()
 def homologue_hsp(spark, d):
     """Similar stretches of all targets in all background molecules."""

@@ -283,7 +283,7 @@ def _aligned(spark, d):
 
 
 D_ALN = f"""al AS (SELECT p_partkey AS aln_id, 'geneA' || p_partkey AS seq_id, {ROW.format(c='a', k='p_partkey')} AS aln FROM part UNION ALL SELECT p_partkey, 'geneB' || p_partkey, {ROW.format(c='b', k='p_partkey')} FROM part UNION ALL SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '_R_' ELSE '' END || 't' || p_partkey, {ROW.format(c='c', k='p_partkey')} FROM part),
- co AS (SELECT aln_id, seq_id, aln, unnest(range(1, 49)) AS i FROM al), cb AS (SELECT aln_id, seq_id, i - 1 AS col, row_number() OVER (PARTITION BY aln_id, seq_id ORDER BY i) - 1 AS pos FROM co WHERE substring(aln, i, 1) <> '-'),
+ co AS (SELECT aln_id, seq_id, aln, unnest(range(1, 49)) AS i FROM al), cb AS MATERIALIZED (SELECT aln_id, seq_id, i - 1 AS col, row_number() OVER (PARTITION BY aln_id, seq_id ORDER BY i) - 1 AS pos FROM co WHERE substring(aln, i, 1) <> '-'),
  fe AS (SELECT p_partkey AS aln_id, 'geneA' || p_partkey AS gene, 3 AS s, 15 AS e FROM part UNION ALL SELECT p_partkey, 'geneA' || p_partkey, 20, 30 FROM part UNION ALL SELECT p_partkey, 'geneB' || p_partkey, 5, 28 FROM part),
  fc AS (SELECT fe.aln_id AS aln_id, gene, a.col AS s, b.col + 1 AS e FROM fe JOIN cb a ON a.aln_id = fe.aln_id AND a.seq_id = gene AND a.pos = s JOIN cb b ON b.aln_id = fe.aln_id AND b.seq_id = gene AND b.pos = e - 1),
  fp AS (SELECT DISTINCT aln_id, gene, unnest(range(s, e)) AS col FROM fc), fo AS (SELECT fp.aln_id AS aln_id, gene, fp.col AS col FROM fp JOIN cb ON cb.aln_id = fp.aln_id AND cb.seq_id = gene AND cb.col = fp.col),
