@@ -26,7 +26,7 @@ LONGEST = 4
 #: Bits of a bitmap: a power of two by the bytes of the texts, within these (32 MB at most).
 LEAST_BITS, MOST_BITS = 20, 28
 #: Bytes of text that are cut into words at a time.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 _CLASS = np.zeros(256, np.uint8)
