@@ -42,6 +42,7 @@ class Design:
     offtarget_gap: int = 0
     offtarget_pamless: bool = True
     offtarget_pattern: str | None = None
+    offtarget_edits: int = 4  # of hits that a pattern is held against
     gc_min: float = 0.3
     gc_max: float = 0.7
     max_insertion: int = 15
@@ -51,13 +52,14 @@ class Design:
     sets: int = 1
     prioritise_nonredundant: bool = False
     set_cover: str = "LAR"
+    cover_reachable: bool = False  # leave out targets that no passing guide hits
     accept_unset: bool = False
     renames: dict[str, dict[str, str]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         for name in ("length", "sets"):
             positive(name, getattr(self, name))
-        for name in ("merge_within", "min_length", "min_cds_length", "offtarget_mismatch", "offtarget_gap", "max_insertion", "min_within_n", "min_identity"):
+        for name in ("merge_within", "min_length", "min_cds_length", "offtarget_mismatch", "offtarget_gap", "offtarget_edits", "max_insertion", "min_within_n", "min_identity"):
             not_negative(name, getattr(self, name))
         for name in ("gc_min", "gc_max", "min_within_fraction"):
             share(name, getattr(self, name))

@@ -5,23 +5,44 @@ Alignments are rows (aln_id, seq_id, aln); rows of one aln_id have one length.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.operators.ranges import merged, subtracted, to_ranges
+from strandline.operators.ranges import merged, range_join
 
 # Fixed value: what aligners put before the ids of rows that they turned round.
 TURNED = "_R_"
 
 
-def columns_of(alignment: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """(keep..., col, base, pos): each alignment column; pos counts bases, null in gaps."""
-    rows = alignment.select(*keep, F.posexplode(F.filter(F.split("aln", ""), lambda c: c != "")).alias("col", "base"))
-    before = Window.partitionBy(*keep).orderBy("col")
-    count = F.sum((F.col("base") != "-").cast("int")).over(before) - 1
-    return rows.select(*keep, "col", "base", F.when(F.col("base") != "-", count).alias("pos"))
+#: Bases, or columns, by which positions meet the runs of their row.
+BIN = 4_096
+
+
+def runs_of(alignment: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """(keep..., col, before, size, gap): the runs of bases, and those of gaps, of each row: the
+    column where they begin, the row's bases before them, and their length."""
+    pieces = alignment.select(*keep, F.posexplode(F.regexp_extract_all("aln", F.lit("(-+|[^-]+)"), 1)).alias("k", "piece"))
+    pieces = pieces.select(*keep, "k", F.length("piece").alias("size"), F.col("piece").startswith("-").alias("gap"))
+    earlier = Window.partitionBy(*keep).orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0)).cast("int")
+    return pieces.select(*keep, so_far(F.col("size")).alias("col"), so_far(F.when(~F.col("gap"), F.col("size")).otherwise(0)).alias("before"), "size", "gap")
+
+
+def placed(rows: DataFrame, runs: DataFrame, keys: Sequence[str], positions: Mapping[str, Column]) -> DataFrame:
+    """``rows`` with the alignment columns of ``positions`` (name: which of their row's bases,
+    from 0); null where the row has no such base.  Positions meet ``runs`` by bins."""
+    bins = F.sequence(F.floor(F.col("before") / BIN), F.floor((F.col("before") + F.col("size") - 1) / BIN))
+    bases = runs.where(~F.col("gap")).select(*[F.col(k).alias(f"{k}__") for k in keys], F.col("col").alias("col__"), F.col("before").alias("from__"), (F.col("before") + F.col("size")).alias("to__"), F.explode(bins).alias("bin__"))
+    for name, position in positions.items():
+        at = F.col("at__")
+        same = (F.floor(at / BIN) == F.col("bin__")) & (at >= F.col("from__")) & (at < F.col("to__"))
+        for k in keys:
+            same = same & (F.col(k) == F.col(f"{k}__"))
+        met = rows.withColumn("at__", position).join(bases, same, "left").withColumn(name, F.col("col__") + at - F.col("from__"))
+        rows = met.drop("at__", *bases.columns)
+    return rows
 
 
 def gapped_position(aln: Column, pos: Column) -> Column:
@@ -38,22 +59,33 @@ def bases_before(aln: Column, col: Column) -> Column:
 
 def base_ranges(alignment: DataFrame, keep: Sequence[str]) -> DataFrame:
     """Runs of alignment columns that hold a base."""
-    cols = columns_of(alignment, keep).where("base != '-'").select(*keep, F.col("col").alias("pos"))
-    return to_ranges(cols, keep)
+    return runs_of(alignment, keep).where(~F.col("gap")).select(*keep, F.col("col").alias("start"), (F.col("col") + F.col("size")).alias("end"))
+
+
+def _runs_with(alignment: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Runs of the rows that have ranges."""
+    return runs_of(alignment.join(ranges.select("aln_id", "seq_id").distinct(), ["aln_id", "seq_id"], "left_semi"), ["aln_id", "seq_id"])
+
+
+def _columns(runs: DataFrame, ranges: DataFrame) -> DataFrame:
+    keys = ["aln_id", "seq_id"]
+    ends = placed(ranges.where("end > start").select(*keys, "start", "end"), runs, keys, {"first": F.col("start"), "last": F.col("end") - 1})
+    return merged(ends.where("first is not null and last is not null").select(*keys, F.col("first").alias("start"), (F.col("last") + 1).alias("end")), keys)
+
+
+def _parted(whole: DataFrame, runs: DataFrame) -> DataFrame:
+    """(aln_id, seq_id, start, end, gap): column ranges cut where bases and gaps meet."""
+    keys = ["aln_id", "seq_id"]
+    both = range_join(whole, runs.select(*keys, F.col("col").alias("r_start"), (F.col("col") + F.col("size")).alias("r_end"), "gap"), keys, BIN)
+    return both.select(*keys, F.greatest("start", "r_start").alias("start"), F.least("end", "r_end").alias("end"), "gap")
 
 
 def column_ranges(alignment: DataFrame, ranges: DataFrame, without_gaps: bool = False) -> DataFrame:
     """(aln_id, seq_id, start, end) in alignment columns of ``ranges`` (aln_id, seq_id, start,
     end) that count a row's own bases; ``without_gaps`` leaves out the row's gap columns."""
-    keys = ["aln_id", "seq_id"]
-    rows = alignment.select(*keys, "aln").join(ranges.where("end > start"), keys)
-    whole = rows.select(*keys, gapped_position(F.col("aln"), F.col("start")).alias("start"), (gapped_position(F.col("aln"), F.col("end") - 1) + 1).alias("end"))
-    whole = merged(whole.where("start is not null and end is not null"), keys)
-    if not without_gaps:
-        return whole
-    bases = base_ranges(alignment.join(ranges.select(*keys).distinct(), keys, "left_semi"), keys)
-    # what remains of the ranges when all that lies between runs of bases goes
-    return subtracted(whole, subtracted(whole, bases, keys), keys)
+    runs = _runs_with(alignment, ranges)
+    whole = _columns(runs, ranges)
+    return _parted(whole, runs).where(~F.col("gap")).drop("gap") if without_gaps else whole
 
 
 def effective_ranges(alignment: DataFrame, features: DataFrame, max_insertion: int = 15) -> DataFrame:
@@ -65,27 +97,28 @@ def effective_ranges(alignment: DataFrame, features: DataFrame, max_insertion: i
     ``max_insertion`` bases there (each gap by itself).  A row that is a reference itself is
     compared with its own ranges only.
     """
-    keys = ["aln_id", "gene"]
-    only = column_ranges(alignment, features, True).withColumnRenamed("seq_id", "gene")
-    gaps = subtracted(column_ranges(alignment, features).withColumnRenamed("seq_id", "gene"), only, keys)
+    runs = _runs_with(alignment, features)
+    parts = _parted(_columns(runs, features), runs).withColumnRenamed("seq_id", "gene")
     references = features.select("aln_id", F.col("seq_id").alias("ref")).distinct()
     rows = alignment.join(references, (alignment["aln_id"] == references["aln_id"]) & (alignment["seq_id"] == references["ref"]), "left").select(alignment["aln_id"], "seq_id", "aln", "ref")
     own = F.col("ref").isNull() | (F.col("ref") == F.col("gene"))
-    sure = rows.join(only, "aln_id").where(own).select("aln_id", "seq_id", "gene", "start", "end")
     inserted = F.length(F.replace(F.substr("aln", F.col("start") + 1, F.col("end") - F.col("start")), F.lit("-"), F.lit("")))
-    kept = rows.join(gaps, "aln_id").where(own & (inserted <= max_insertion)).select("aln_id", "seq_id", "gene", "start", "end")
-    return merged(sure.unionByName(kept), ["aln_id", "seq_id", "gene"])
+    kept = rows.join(parts, "aln_id").where(own & (~F.col("gap") | (inserted <= max_insertion)))
+    return merged(kept.select("aln_id", "seq_id", "gene", "start", "end"), ["aln_id", "seq_id", "gene"])
 
 
 def aligned_hits(hits: DataFrame, alignment: DataFrame) -> DataFrame:
     """Hits (hit_id, target_id, start, end, target_len) with the row of their target, which
     may stand turned round, as alignment columns: (hit_id, aln_id, seq_id, sense, start, end).
     Hits whose target is not aligned are left out."""
-    named = alignment.select("aln_id", "seq_id", "aln", F.regexp_replace("seq_id", f"^{TURNED}", "").alias("target_id"), F.col("seq_id").startswith(TURNED).alias("turned"))
+    named = alignment.select("aln_id", "seq_id", F.regexp_replace("seq_id", f"^{TURNED}", "").alias("target_id"), F.col("seq_id").startswith(TURNED).alias("turned"))
     rows = hits.select("hit_id", "target_id", "start", "end", "target_len").join(named, "target_id")
     start = F.when(F.col("turned"), F.col("target_len") - F.col("end")).otherwise(F.col("start"))
     end = F.when(F.col("turned"), F.col("target_len") - F.col("start")).otherwise(F.col("end"))
-    return rows.select("hit_id", "aln_id", "seq_id", F.when(F.col("turned"), "-").otherwise("+").alias("sense"), gapped_position(F.col("aln"), start).alias("start"), (gapped_position(F.col("aln"), end - 1) + 1).alias("end"))
+    rows = rows.select("hit_id", "aln_id", "seq_id", F.when(F.col("turned"), "-").otherwise("+").alias("sense"), start.alias("from"), end.alias("to"))
+    keys = ["aln_id", "seq_id"]
+    found = placed(rows, runs_of(alignment, keys), keys, {"start": F.col("from"), "last": F.col("to") - 1})
+    return found.select("hit_id", *keys, "sense", "start", (F.col("last") + 1).alias("end"))
 
 
 def feature_check(hits: DataFrame, alignment: DataFrame, features: DataFrame, max_insertion: int = 15, least: int = 1, fraction: float = 0.0) -> DataFrame:

@@ -56,6 +56,15 @@ def paired(hits: DataFrame) -> DataFrame:
     return hits.groupBy("grna", F.col("target_id").alias("target")).agg(F.sum(position_5prime()).alias("s"), F.count(F.lit(1)).alias("n"))
 
 
+def ranked_pairs(hits: DataFrame, ranks: DataFrame) -> DataFrame:
+    """``paired`` with the guide's place by (rank, name) instead of positions, so that the mean
+    over any of its targets is that place."""
+    rank = ranks.groupBy("grna").agg(F.min("rank").alias("rank"))
+    guides = hits.select("grna").distinct().join(rank, "grna", "left")
+    order = global_prefix(guides, [F.asc_nulls_last("rank"), F.col("grna")], []).select("grna", F.col("row_before").alias("s"))
+    return hits.select("grna", F.col("target_id").alias("target")).distinct().join(order, "grna").select("grna", "target", "s", F.lit(1).alias("n"))
+
+
 def tie_keys(pairs: DataFrame, covered: DataFrame) -> DataFrame:
     """(grna, gain, pos, redundancy): targets of a guide not in ``covered`` (target), mean 5'
     position of its hits on those, and how many of its targets are covered."""
@@ -135,18 +144,20 @@ def greedy_cover(pairs: DataFrame, whole_pos: bool = False) -> list[str]:
         left = stored(left.join(gone, "target", "left_anti"), "cover")
 
 
-def exclusive_sets(hits: DataFrame, n_sets: int = 1, targets: DataFrame | None = None, algorithm: str = "LAR", approve: Callable[[int, list[str]], Sequence[str]] | None = None) -> DataFrame:
+def exclusive_sets(hits: DataFrame, n_sets: int = 1, targets: DataFrame | None = None, algorithm: str = "LAR", approve: Callable[[int, list[str]], Sequence[str]] | None = None, ranks: DataFrame | None = None) -> DataFrame:
     """(set_number, grna): up to ``n_sets`` covering sets that share no guide.
 
     Each set covers all ``targets`` (target_id; default: those that the guides hit), or there
     are no more sets.  LAR breaks ties by positions on targets still uncovered, ``greedy`` by
-    positions on all.  ``approve`` is shown each set and returns the guides that it rejects:
+    positions on all.  ``ranks`` (grna, rank) breaks them instead: of guides with equal gains
+    the one of least rank (the least of several), then the first by name; guides without a
+    rank come last.  ``approve`` is shown each set and returns the guides that it rejects:
     they leave the candidates, the others return to them, and the set is made anew.  Only
     the sets and a bounded part of a round's pairs come to the driver.
     """
     if algorithm not in ("LAR", "greedy"):
         raise ValueError(f"no such set cover: {algorithm!r}")
-    pairs = stored(paired(hits), "cover")
+    pairs = stored(paired(hits) if ranks is None else ranked_pairs(hits, ranks), "cover")
     asked = stored((pairs.select("target") if targets is None else targets.select(F.col("target_id").alias("target"))).distinct(), "cover")
     pairs = pairs.join(asked, "target", "left_semi")
     n_targets, out, rejected = asked.count(), [], []

@@ -8,13 +8,15 @@ pairs of groups and targets they raise ValueError, and the LAR cover remains.
 from __future__ import annotations
 
 import heapq
+from collections import defaultdict
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from strandline.operators.coverage import collapsed, relative_position
+from strandline.operators.coverage import CANDIDATES, PAIRS, collapsed, relative_position
 from strandline.operators.scratch import stored
 
 MOST_PAIRS = 200_000
@@ -28,27 +30,59 @@ def wc_ratio(weight: Column, own: Column, left: Column, penalty: float = 0.0) ->
     return F.coalesce(ratio + F.size(F.array_except(left, own)) * ratio * penalty, F.lit(float("inf")))
 
 
+def _light_picks(left: DataFrame, top: list[Row]) -> tuple[list[str], bool]:
+    """Picks among the first groups by (w / gain, -w, cg) that no other group can precede, and
+    whether all groups were at hand.  A ratio only rises as targets get covered, so a waiting
+    key whose gain is still right is right, and groups beyond the last key stay beyond it."""
+    sums = list(accumulate(r["gain"] for r in top))
+    first = top[: max(1, sum(n <= PAIRS for n in sums))]
+    whole = len(first) == len(top) < CANDIDATES
+    if len(first) == 1:
+        return [first[0]["cg"]], whole
+    names = left.sparkSession.createDataFrame([(r["cg"],) for r in first], "cg string")
+    sets, weight, covered, picks = defaultdict(set), {r["cg"]: r["w"] for r in first}, set(), []
+    for r in left.join(F.broadcast(names), "cg").select("cg", "target").collect():
+        sets[r["cg"]].add(r["target"])
+    key = lambda c, gain: (weight[c] / gain, -weight[c], c)
+    last = key(first[-1]["cg"], first[-1]["gain"])
+    heap = [key(c, len(targets)) for c, targets in sets.items()]
+    heapq.heapify(heap)
+    while heap and (whole or heap[0] <= last):
+        old = heapq.heappop(heap)
+        gain = len(sets[old[2]] - covered)
+        if gain and key(old[2], gain) != old:
+            heapq.heappush(heap, key(old[2], gain))
+        elif gain:
+            picks.append(old[2])
+            covered |= sets[old[2]]
+    return picks, whole
+
+
 def approximate_cover(groups: DataFrame, penalty: float = 0.0, seed: str | None = None) -> DataFrame:
     """(step, cg): the set of least weight for each uncovered target, then the largest, then
     the first by name, again and again until all targets that the groups hold are covered.
-    A seed is taken first.  One aggregate on Spark a step; only the picks come to the driver."""
-    pairs = stored(groups.select("cg", F.size("targets").alias("w"), F.explode("targets").alias("target")), "panel")
-    left, out = pairs, []
-    while True:
+    A seed is taken first.  A round aggregates on Spark and brings at most ``CANDIDATES``
+    groups with ``PAIRS`` pairs to the driver, where all sure picks are made; with a penalty a
+    round makes one pick, for ratios may then fall."""
+    pairs = stored(groups.select("cg", F.size("targets").alias("w"), F.explode("targets").alias("target")).distinct(), "panel")
+    left, out, whole = pairs, [], False
+    while not whole:
         if seed is not None and not out:
-            pick = seed
+            picks = [seed]
         else:
-            u = left.select("target").distinct().count()
-            if not u:
-                break
             per = left.groupBy("cg").agg(F.first("w").alias("w"), F.count(F.lit(1)).alias("gain"))
             ratio = F.col("w") / F.col("gain")
-            key = F.struct((ratio + (u - F.col("gain")) * ratio * penalty).alias("r"), (-F.col("w")).alias("w"), "cg")
-            pick = per.agg(F.min(key).alias("k")).first()["k"]["cg"]
-        out.append((len(out) + 1, pick))
-        gone = left.where(F.col("cg") == pick).select("target")
-        left = stored(left.join(F.broadcast(gone), "target", "left_anti"), "panel")  # targets of one group
-    return groups.sparkSession.createDataFrame(out, "step int, cg string")
+            if penalty:
+                ratio = ratio + (left.select("target").distinct().count() - F.col("gain")) * ratio * penalty
+            top = per.withColumn("r", ratio).orderBy("r", F.desc("w"), "cg").limit(1 if penalty else CANDIDATES).collect()
+            if not top:
+                break
+            picks, whole = ([top[0]["cg"]], False) if penalty else _light_picks(left, top)
+        out += picks
+        names = groups.sparkSession.createDataFrame([(c,) for c in picks], "cg string")
+        gone = left.join(F.broadcast(names), "cg", "left_semi").select("target").distinct()
+        left = left if whole else stored(left.join(gone, "target", "left_anti"), "panel")
+    return groups.sparkSession.createDataFrame(list(enumerate(out, 1)), "step int, cg string")
 
 
 class Panel:

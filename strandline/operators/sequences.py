@@ -153,11 +153,12 @@ def feature_sequences(parts: DataFrame, molecules: DataFrame, keys: Sequence[str
     return out.withColumn("seq", translated(F.upper("seq"), genetic_code(code))) if translate else out
 
 
-def region_sequences(regions: DataFrame, molecules: DataFrame, source: str, ties: Sequence[str] = ()) -> DataFrame:
+def region_sequences(regions: DataFrame, molecules: DataFrame, source: str | None, ties: Sequence[str] = ()) -> DataFrame:
     """(seq_id, seq): regions (molecule, start, end) cut out of their molecules, named
     ``source|molecule|number|start-end``; numbers count within a molecule by start (``ties``
-    columns first)."""
-    order = Window.partitionBy("molecule").orderBy(*ties, "start", "end")
-    rows = regions.withColumn("i__", F.row_number().over(order)).join(molecules, "molecule")
-    name = F.concat_ws("|", F.lit(source), "molecule", F.col("i__").cast("string"), F.concat((F.col("start") + 1).cast("string"), F.lit("-"), F.col("end").cast("string")))
+    columns first).  Without a ``source`` both tables have a column of that name."""
+    keys = ["molecule"] if source is not None else ["source", "molecule"]
+    order = Window.partitionBy(*keys).orderBy(*ties, "start", "end")
+    rows = regions.withColumn("i__", F.row_number().over(order)).join(molecules, keys)
+    name = F.concat_ws("|", F.col("source") if source is None else F.lit(source), "molecule", F.col("i__").cast("string"), F.concat((F.col("start") + 1).cast("string"), F.lit("-"), F.col("end").cast("string")))
     return rows.select(name.alias("seq_id"), F.substr("seq", F.col("start") + 1, F.col("end") - F.col("start")).alias("seq"))

@@ -505,6 +505,6 @@ def within_feature(spark, d):
 
 
 # the other catalogs register theirs
-from strandline.plans import catalog_features, catalog_selection  # noqa: E402
+from strandline.plans import catalog_design, catalog_features, catalog_selection  # noqa: E402
 
-__all__ = ["ORACLES", "QUERIES", "catalog_features", "catalog_selection"]
+__all__ = ["ORACLES", "QUERIES", "catalog_design", "catalog_features", "catalog_selection"]
