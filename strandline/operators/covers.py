@@ -79,8 +79,7 @@ def approximate_cover(groups: DataFrame, penalty: float = 0.0, seed: str | None
                 break
             picks, whole = ([top[0]["cg"]], False) if penalty else _light_picks(left, top)
         out += picks
-        names = groups.sparkSession.createDataFrame([(c,) for c in picks], "cg string")
-        gone = left.join(F.broadcast(names), "cg", "left_semi").select("target").distinct()
+        gone = left.where(F.col("cg").isin(picks)).select("target").distinct() if len(picks) == 1 else left.join(F.broadcast(groups.sparkSession.createDataFrame([(c,) for c in picks], "cg string")), "cg", "left_semi").select("target").distinct()
         left = left if whole else stored(left.join(gone, "target", "left_anti"), "panel")
     return groups.sparkSession.createDataFrame(list(enumerate(out, 1)), "step int, cg string")
 
