@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.pam import Pam
+from strandline.operators.joins import merged_in_joins
 from strandline.operators.ranges import merged, range_join
 from strandline.operators.sequences import letters, reverse_complement, windows
 
@@ -97,7 +98,7 @@ def hamming_hits(guides: DataFrame, windows: DataFrame, length: int, most: int,
         pieces = [F.struct(F.lit(sum(1 << i for i in choice)).alias("choice"), F.concat(*[piece(c, i) for i in choice]).alias("seed")) for choice in combinations(range(parts), agree)]
         return df.select(c, F.explode(F.array(*pieces)).alias("x")).select(c, "x.choice", "x.seed")
 
-    pairs = seeds(guides.select("grna").distinct(), "grna").join(seeds(windows.select("w").distinct(), "w").hint("merge"), ["choice", "seed"])
+    pairs = seeds(guides.select("grna").distinct(), "grna").join(merged_in_joins(seeds(windows.select("w").distinct(), "w")), ["choice", "seed"])
     same = F.array_compact(F.array(*[F.when(piece("grna", i) == piece("w", i), F.lit(1 << i)) for i in range(parts)]))
     letters = F.zip_with(F.split("grna", ""), F.split("w", ""), lambda x, y: (x != y).cast("int"))
     return pairs.where(F.aggregate(F.slice(same, 1, agree), F.lit(0), lambda a, x: a + x) == F.col("choice")).select("grna", "w", F.aggregate(letters, F.lit(0), lambda a, x: a + x).alias("mismatches")).where(F.col("mismatches") <= most)
