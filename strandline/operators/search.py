@@ -16,6 +16,8 @@ from strandline.operators.sequences import letters, reverse_complement, windows
 #: Bases by which sequences to be masked are looked up: the most that a sequence has, or all
 #: of one that is shorter.
 SEEDS = (8, 12, 16, 24)
+#: Letters with a code of three bits of their own, and how many of them a long holds.
+LETTERS, CODE = "ACGTUN-", 21
 
 
 def merged_hits(hits: DataFrame, keys: Sequence[str], within: int, min_len: int, min_id: float, id_before: float | None = None) -> DataFrame:
@@ -84,24 +86,63 @@ def outside_masks(hits: DataFrame, masks: DataFrame, bin_size: int = 1000) -> Da
     return hits.join(inside, ["molecule", "start", "end"], "left_anti")
 
 
+def _coded(df: DataFrame, c: str, to: str, length: int) -> DataFrame:
+    """(to0, to1..., to_text): sequences ``c`` of ``length`` letters, ``CODE`` letters in a long of
+    three bits each; the text itself only where a letter has no code of its own.  Sequences of
+    another length are left out."""
+    at = range(0, length, CODE)
+    digits = F.translate(F.regexp_replace(c, f"[^{LETTERS}]", "7"), LETTERS, "0123456")
+    longs = [F.conv(F.substr(digits, F.lit(i + 1), F.lit(min(CODE, length - i))), 8, 10).cast("long").alias(f"{to}{k}") for k, i in enumerate(at)]
+    return df.where(F.length(c) == length).select(*longs, F.when(F.col(c).rlike(f"[^{LETTERS}]"), F.col(c)).alias(f"{to}_text")).distinct()
+
+
+def _decoded(c: str, length: int) -> Column:
+    sizes = [min(CODE, length - i) for i in range(0, length, CODE)]
+    texts = [F.lpad(F.conv(F.col(f"{c}{k}").cast("string"), 10, 8), n, "0") for k, n in enumerate(sizes)]
+    return F.coalesce(f"{c}_text", F.translate(F.concat(*texts), "0123456", LETTERS))
+
+
 def hamming_hits(guides: DataFrame, windows: DataFrame, length: int, most: int, agree: int = 1) -> DataFrame:
     """(grna, w, mismatches): windows within ``most`` mismatches of a guide, all of them:
     of most + agree equal parts at least ``agree`` are the same, so every choice of
     ``agree`` parts meets by equality and the rest is counted; a pair is kept for its first
     choice only.  More parts make longer seeds, so fewer pairs meet by chance.
+    Letters are compared as bits of longs; letters other than ``LETTERS`` share a code, and
+    pairs that both have some are compared as texts.
     The seeds of small tables are many: they are merged, not broadcast."""
     parts = most + agree
     cuts = [length * i // parts for i in range(parts + 1)]
-    piece = lambda c, i: F.substr(c, F.lit(cuts[i] + 1), F.lit(cuts[i + 1] - cuts[i]))
-
-    def seeds(df: DataFrame, c: str) -> DataFrame:
-        pieces = [F.struct(F.lit(sum(1 << i for i in choice)).alias("choice"), F.concat(*[piece(c, i) for i in choice]).alias("seed")) for choice in combinations(range(parts), agree)]
-        return df.select(c, F.explode(F.array(*pieces)).alias("x")).select(c, "x.choice", "x.seed")
-
-    pairs = seeds(guides.select("grna").distinct(), "grna").join(merged_in_joins(seeds(windows.select("w").distinct(), "w")), ["choice", "seed"])
-    same = F.array_compact(F.array(*[F.when(piece("grna", i) == piece("w", i), F.lit(1 << i)) for i in range(parts)]))
+    words = [(i, min(CODE, length - i)) for i in range(0, length, CODE)]
+    bits = lambda lo, hi, word: sum(7 << 3 * (word[0] + word[1] - 1 - p) for p in range(max(lo, word[0]), min(hi, word[0] + word[1])))
+    masks = [[bits(cuts[i], cuts[i + 1], word) for word in words] for i in range(parts)]
+    choices = [(sum(1 << i for i in choice), [sum(masks[i][k] for i in choice) for k in range(len(words))]) for choice in combinations(range(parts), agree)]
+
+    def seeds(df: DataFrame, to: str) -> DataFrame:
+        pieces = [F.struct(F.lit(c).alias("choice"), *[F.col(f"{to}{k}").bitwiseAND(F.lit(m)).alias(f"seed{k}") for k, m in enumerate(ms)]) for c, ms in choices]
+        return merged_in_joins(df.select(*df.columns, F.explode(F.array(*pieces)).alias("x")).select(*df.columns, "x.*"))
+
+    pairs = seeds(_coded(guides, "grna", "g", length), "g").join(seeds(_coded(windows, "w", "w", length), "w"), ["choice", *[f"seed{k}" for k in range(len(words))]])
+    other = [F.col(f"g{k}").bitwiseXOR(F.col(f"w{k}")) for k in range(len(words))]
+    none = F.lit(0)
+    for i in range(parts):
+        unlike = [other[k].bitwiseAND(F.lit(m)) for k, m in enumerate(masks[i]) if m]
+        equal = F.lit(True)
+        for u in unlike:
+            equal = equal & (u == 0)
+        none = none.bitwiseOR(F.when(equal, F.lit(1 << i)).otherwise(0))
+    # The bits up to the choice's highest: the first ``agree`` equal parts are the choice.
+    upto = F.col("choice")
+    for step in (1, 2, 4, 8, 16):
+        upto = upto.bitwiseOR(F.shiftright(upto, step))
+    first = none.bitwiseAND(upto) == F.col("choice")
+    counts = [F.bit_count(x.bitwiseOR(F.shiftright(x, 1)).bitwiseOR(F.shiftright(x, 2)).bitwiseAND(F.lit(sum(1 << 3 * p for p in range(n))))) for x, (_, n) in zip(other, words, strict=True)]
+    coded = counts[0]
+    for c in counts[1:]:
+        coded = coded + c
+    found = pairs.where(first & (coded <= most)).select(_decoded("g", length).alias("grna"), _decoded("w", length).alias("w"), coded.alias("coded"), (F.col("g_text").isNotNull() & F.col("w_text").isNotNull()).alias("both"))
     letters = F.zip_with(F.split("grna", ""), F.split("w", ""), lambda x, y: (x != y).cast("int"))
-    return pairs.where(F.aggregate(F.slice(same, 1, agree), F.lit(0), lambda a, x: a + x) == F.col("choice")).select("grna", "w", F.aggregate(letters, F.lit(0), lambda a, x: a + x).alias("mismatches")).where(F.col("mismatches") <= most)
+    exact = F.when(F.col("both"), F.aggregate(letters, F.lit(0), lambda a, x: a + x)).otherwise(F.col("coded"))
+    return found.select("grna", "w", exact.alias("mismatches")).where(F.col("mismatches") <= most)
 
 
 def near_pam(seq: Column, start: Column, end: Column, strand: Column, q_start: Column, q_end: Column, length: int, gaps: Column, pam: Pam, max_gap: int) -> Column:

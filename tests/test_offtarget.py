@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
+from strandline.operators.search import hamming_hits
 from strandline.plans import catalog
 from strandline.plans import substrate as sub
 
@@ -25,3 +26,17 @@ def test_all_guides_meet_both_strands(spark, sf_dir):
         expected |= {(guides[i], w, int(n[i])) for i in np.flatnonzero(n <= 4)}
     found = [(r.grna, r.w, r.mismatches) for r in catalog.QUERIES["offtarget_hits"](spark, sf_dir).collect()]
     assert len(found) == len(set(found)) and set(found) == expected
+
+
+def test_any_letters_and_lengths_of_two_longs(spark):
+    rng = np.random.default_rng(5)
+    for length, most, agree in ((25, 3, 2), (20, 4, 3), (21, 2, 1)):
+        seqs = ["".join(rng.choice(list("ACGTNRYa-"), length)) for _ in range(12)]
+        near = ["".join(c if rng.random() > 0.12 else rng.choice(list("ACRYg")) for c in s) for s in seqs for _ in range(12)]
+        frames = spark.createDataFrame([(s,) for s in seqs], "grna string"), spark.createDataFrame([(s,) for s in [*near, *seqs]], "w string")
+        plan = hamming_hits(*frames, length, most, agree)
+        assert "seed0#" in plan._jdf.queryExecution().executedPlan().toString()
+        count = lambda a, b: sum(x != y for x, y in zip(a, b, strict=True))
+        expected = {(g, w, count(g, w)) for g in seqs for w in {*near, *seqs} if count(g, w) <= most}
+        found = [(r.grna, r.w, r.mismatches) for r in plan.collect()]
+        assert len(found) == len(set(found)) and set(found) == expected and len(expected) > 12
