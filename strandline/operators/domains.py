@@ -1,7 +1,7 @@
 """Domains found by position-specific score matrices over translated sequences.
 
-A window whose score reaches the threshold has, among the words of three residues that a
-matrix is cut into, one that reaches its share of it.  Words that do are listed for each
+A window whose score reaches the threshold has, among the words of five (or three) residues
+that a matrix is cut into, one that reaches its share of it.  Words that do are listed for each
 matrix and meet the peptides' words by equality; only windows met are scored whole.
 """
 
@@ -18,12 +18,15 @@ from pyspark.sql import functions as F
 
 from strandline.operators.homology import COMPLEMENT
 from strandline.operators.joins import merged_in_joins
+from strandline.operators.scratch import stored
 from strandline.operators.sequences import genetic_code, letters, windows
 
 #: Positions of a matrix at most, and places of a peptide that are scored in one row.
 LONGEST, BLOCK = 16_384, 4_096
 RESIDUES = "ACDEFGHIKLMNPQRSTVWY"
 WORD = 3
+#: Lengths of words, the longest first, and how many of a longer one may reach its share.
+WORDS, MOST_SEEDS = (5, WORD), 16_384
 #: Parameters of the distribution of the best score without gaps.
 RATE, WEIGHT = 0.3176, 0.134
 
@@ -48,25 +51,46 @@ def six_frames(sequences: DataFrame, code: int = 1, both: bool = True) -> DataFr
     return sequences.select(F.col("target_id").cast("string"), "seq").mapInArrow(read, "target_id string, strand string, frame int, n int, peptide string")
 
 
+def _reaching(word: np.ndarray, share: float, room: int) -> np.ndarray | None:
+    """Rows of residues (the last code is any other letter) whose summed scores reach ``share``;
+    None where they are more than ``room``."""
+    rest = np.append(np.cumsum(word.max(1)[::-1])[::-1], 0.0)
+    sums, rows = np.zeros(1), np.zeros((1, 0), np.int8)
+    for i, scores in enumerate(word):
+        total = sums[:, None] + scores
+        r, c = np.nonzero(total + rest[i + 1] >= share - 1e-9)
+        if len(r) > room:
+            return None
+        sums, rows = total[r, c], np.hstack([rows[r], c[:, None].astype(np.int8)])
+    return rows
+
+
 def _words(matrices: DataFrame) -> DataFrame:
-    """(domain, least, scores, off, seed): the words of each matrix that reach their share."""
+    """(domain, size, off, seed): the words of each matrix that reach their share, of the longest
+    length of ``WORDS`` at which they are not too many: longer ones are met less by chance."""
+    letters_ = np.array(list(RESIDUES + "X"))
+
+    def seeds(m: np.ndarray, least: float) -> Iterator[tuple[int, np.ndarray]]:
+        for size in WORDS:
+            words, found = len(m) // size, []
+            # What the residues behind the last word can add at most is taken off.
+            share = (least - np.maximum(m[words * size :].max(1, initial=-np.inf), 0).sum()) / words if words else np.inf
+            for w in range(words):
+                rows = _reaching(m[w * size : (w + 1) * size], share, MOST_SEEDS if size > WORD else len(letters_) ** WORD)
+                if rows is None:
+                    break
+                found.append((w * size, rows))
+            if words and len(found) == words:
+                return found
+        return []
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
                 m = np.array(r["scores"], float).reshape(-1, len(RESIDUES))
-                words = len(m) // WORD
-                # What the residues behind the last word can add at most is taken off.
-                share = (r["least"] - np.maximum(m[words * WORD :].max(1, initial=-np.inf), 0).sum()) / words if words else np.inf
-                at, seeds = [], []
-                for w in range(words):
-                    a, b_, c = m[w * WORD : w * WORD + WORD]
-                    total = a[:, None, None] + b_[None, :, None] + c[None, None, :]
-                    for i, j, k in zip(*np.nonzero(total >= share - 1e-9), strict=True):
-                        at.append(w * WORD)
-                        seeds.append(RESIDUES[i] + RESIDUES[j] + RESIDUES[k])
-                n = len(at)
-                yield pa.RecordBatch.from_arrays([pa.array([r["domain"]] * n, pa.string()), pa.array([len(m)] * n, pa.int32()), pa.array(at, pa.int32()), pa.array(seeds, pa.string())], names=["domain", "size", "off", "seed"])
+                for at, rows in seeds(np.hstack([m, np.full((len(m), 1), -4.0)]), r["least"]):
+                    n = len(rows)
+                    yield pa.RecordBatch.from_arrays([pa.array([r["domain"]] * n, pa.string()), pa.array([len(m)] * n, pa.int32()), pa.array([at] * n, pa.int32()), pa.array(["".join(x) for x in letters_[rows]], pa.string())], names=["domain", "size", "off", "seed"])
 
     return matrices.select("domain", "least", "scores").mapInArrow(read, "domain string, size int, off int, seed string")
 
@@ -89,8 +113,14 @@ def domain_hits(matrices: DataFrame, peptides: DataFrame, expect: float = 0.01)
     least = (F.log(F.col("size") * F.lit(float(max(residues, 1)) * WEIGHT)) - log(expect)) / RATE
     table = sized.select("domain", "size", scores.alias("scores"), least.alias("least"))
     keep = ["target_id", "strand", "frame"]
-    w = windows(peptides, keep, WORD, seq="peptide").select(*keep, F.col("at").alias("pos"), letters(F.col("part"), F.col("at") - F.col("lo"), F.lit(WORD)).alias("seed"))
-    met = w.join(_words(table), "seed").select("domain", *keep, (F.col("pos") - F.col("off")).alias("at"), "size").where("at >= 0").distinct()
+    words = stored(_words(table), "words")
+    met = None
+    for k in [r[0] for r in words.select(F.length("seed")).distinct().collect()] or [WORD]:  # a row for each of ``WORDS``
+        w = windows(peptides, keep, k, seq="peptide").select(*keep, F.col("at").alias("pos"), letters(F.col("part"), F.col("at") - F.col("lo"), F.lit(k)).alias("seed"))
+        some = w.withColumn("seed", F.regexp_replace("seed", f"[^{RESIDUES}]", "X")).join(merged_in_joins(words.where(F.length("seed") == k)), "seed")
+        some = some.select("domain", *keep, (F.col("pos") - F.col("off")).alias("at"), "size")
+        met = some if met is None else met.unionByName(some)
+    met = met.where("at >= 0").distinct()
     # Each peptide once with the places met on it and their matrix.
     places = met.groupBy("domain", *keep, F.floor(F.col("at") / BLOCK).alias("block")).agg(F.sort_array(F.collect_set("at")).alias("places"))
     rows = places.join(merged_in_joins(peptides.select(*keep, "peptide")), keep).select("domain", *keep, "places", F.substr("peptide", F.element_at("places", 1) + 1, F.lit(BLOCK + LONGEST)).alias("part"))
@@ -100,17 +130,27 @@ def domain_hits(matrices: DataFrame, peptides: DataFrame, expect: float = 0.01)
         code = np.full(256, len(RESIDUES), np.int64)
         code[np.frombuffer(RESIDUES.encode(), np.uint8)] = np.arange(len(RESIDUES))
         for b in batches:
-            out = []
-            for r in b.to_pylist():
-                m = np.hstack([np.array(r["scores"]).reshape(r["size"], -1), np.full((r["size"], 1), -4.0)])
-                part = code[np.frombuffer(r["part"].encode(), np.uint8)]
-                at = np.array(r["places"]) - r["places"][0]
-                at = at[at + r["size"] <= len(part)]
-                total = m[np.arange(r["size"]), part[at[:, None] + np.arange(r["size"])]].sum(1)
-                out += [(r["domain"], r["target_id"], r["strand"], r["frame"], int(p) + r["places"][0], r["size"], float(s)) for p, s in zip(at, total, strict=True) if s >= r["least"]]
-            columns = zip(*out, strict=True) if out else [()] * 7
-            types = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["domain", *keep, "at", "size", "score"])
+            col = dict(zip(b.schema.names, b.columns, strict=True))
+            text = col["part"].cast(pa.large_binary())
+            begin = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + b.num_rows + 1]
+            letter = code[np.frombuffer(text.buffers()[2] or b"", np.uint8)]
+            place, first = col["places"].values.to_numpy(), col["places"].offsets.to_numpy()
+            scores, start = col["scores"].values.to_numpy(), col["scores"].offsets.to_numpy()
+            size, least = col["size"].to_numpy(), col["least"].to_numpy()
+            domain = col["domain"].dictionary_encode().indices.to_numpy()
+            edges = np.flatnonzero(np.append(True, domain[1:] != domain[:-1])) if b.num_rows else []
+            for lo, hi in zip(edges, [*edges[1:], b.num_rows], strict=True):
+                k = int(size[lo])
+                m = np.hstack([scores[start[lo] : start[lo + 1]].reshape(k, -1), np.full((k, 1), -4.0)])
+                row = np.repeat(np.arange(lo, hi), np.diff(first[lo : hi + 1]))
+                at = place[first[lo] : first[hi]]
+                on = at - place[first[row]]
+                inside = on + k <= begin[row + 1] - begin[row]
+                row, at, on = row[inside], at[inside], on[inside]
+                total = m[np.arange(k), letter[(begin[row] + on)[:, None] + np.arange(k)]].sum(1)
+                good = total >= least[row]
+                take = pa.array(row[good])
+                yield pa.RecordBatch.from_arrays([*(col[c].take(take) for c in ("domain", *keep)), pa.array(at[good], pa.int32()), pa.array(size[row[good]], pa.int32()), pa.array(total[good])], names=["domain", *keep, "at", "size", "score"])
 
     return rows.mapInArrow(score, "domain string, target_id string, strand string, frame int, at int, size int, score double")
 

@@ -56,3 +56,17 @@ def test_equals_a_plain_scan(spark):
     for r in dm.domain_ranges(hits, peptides).collect():
         piece = seqs[r.target_id][r.start : r.end]
         assert len(piece) == 3 * len(matrices[r.domain])
+
+
+def test_a_word_with_an_unknown_residue_may_be_the_one_that_reaches_its_share(spark):
+    strong, weak = {"W": 90.0}, {"A": 1.0}
+    cols = [strong, weak, strong, weak, weak, weak]
+    m = spark.createDataFrame([("d", p, a, x) for p, col in enumerate(cols) for a, x in col.items()], "domain string, pos int, residue string, score double")
+    peptides = spark.createDataFrame([("t", "+", 0, 18, "WXWGGG")], "target_id string, strand string, frame int, n int, peptide string")
+    assert [(r.at, r.score) for r in dm.domain_hits(m, peptides).collect()] == [(0, 180.0 - 16.0)]
+
+
+def test_words_of_five_where_they_are_few(spark):
+    rows = [("d", 40.0, [8.0 if a == p % 20 else -4.0 for p in range(10) for a in range(20)]), ("flat", 1.0, [1.0] * 200)]
+    found = dm._words(spark.createDataFrame(rows, "domain string, least double, scores array<double>"))
+    assert {(r.domain, len(r.seed)) for r in found.select("domain", "seed").collect()} == {("d", 5), ("flat", 3)}
