@@ -122,7 +122,9 @@ def edit_hits(guides: DataFrame, subjects: DataFrame, most: int, every_end: bool
                     )
 
     kind = "grna string, strand string, molecule string, start int, end int, edits int, text string"
-    hits = found.distinct().mapInArrow(measured, kind)
+    # A stretch met by several parts is measured for each: sorting all of them out of the meetings
+    # would write every text to disk, while hits are few.
+    hits = found.mapInArrow(measured, kind)
     hits = hits.groupBy("grna", "strand", "molecule", "end").agg(F.min(F.struct("edits", (-F.col("start")).alias("s"), "text")).alias("b"))
     hits = hits.select("grna", "strand", "molecule", "end", "b.edits", (-F.col("b.s")).alias("start"), "b.text")
     if not every_end:

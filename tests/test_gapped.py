@@ -72,3 +72,11 @@ def test_hits_feed_the_off_target_checks(spark, sf_dir):
     checked = {r.grna: r.background for r in catalog.QUERIES["background_gapped"](spark, sf_dir).collect()}
     exact = {r.grna for r in rows if r.edits == 0}
     assert exact and {True, False} == set(checked.values())
+
+
+def test_texts_of_meetings_are_not_shuffled(spark):
+    guides = spark.createDataFrame([("ACGTTGCAACGTGATCCGAT",)], "grna string")
+    subjects = spark.createDataFrame([("m", "TTACGTTGCAACGTGATCCGATTT")], "molecule string, seq string")
+    plan = edit_hits(guides, subjects, 2)._jdf.queryExecution().executedPlan().toString().split("\n")
+    dealt = [x for x in plan if "Exchange" in x]
+    assert dealt and not any("form#" in x and "from#" in x for x in dealt)
