@@ -20,7 +20,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.components import components
@@ -221,20 +221,40 @@ def partners(blocks: DataFrame, percent: int, most: int) -> DataFrame:
     return rows.select("bucket", "piece", "turn", "id", "comp", "n", "sketch", "left", "asks").mapInArrow(compare, "bucket long, a long, b long, more boolean")
 
 
-def blocked(placed: DataFrame, brief: DataFrame) -> DataFrame:
-    """Rows of ``partners`` for buckets (bucket, id, comp) with several components: all
-    members but those of a bucket's largest component ask, all members are asked, in blocks
-    of bounded size, so a bucket of any size is dealt to as many tasks as it needs."""
-    sizes = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k"))
-    mixed = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("k", "comp")).alias("main"), F.sum("k").alias("m"), F.max("k").alias("most")).where("comps > 1")
-    mixed = mixed.select("bucket", "main", F.ceil(F.col("m") / BLOCK).cast("int").alias("pieces"), F.ceil((F.col("m") - F.col("most")) / BLOCK).cast("int").alias("turns"))
-    rows = placed.join(mixed, "bucket").withColumn("asks", F.col("comp") != F.col("main"))
+def _component_key(component: str) -> Column:
+    """The number under which a component is held in blocks, among those of buckets."""
+    return F.xxhash64(F.lit("component"), component)
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows (bucket, id, comp, left, asks) dealt into blocks of bounded size in which each
+    asking row meets each left one once, so a bucket of any size is dealt to as many tasks
+    as it needs."""
+    sizes = rows.groupBy("bucket").agg(F.ceil(F.count_if("left") / BLOCK).cast("int").alias("pieces"), F.ceil(F.count_if("asks") / BLOCK).cast("int").alias("turns"))
     piece, turn = F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("turns")).cast("int")
     at = lambda p, t, left, asks: F.struct(p.alias("piece"), t.alias("turn"), left.alias("left"), asks.alias("asks"))
-    asked = F.transform(F.sequence(F.lit(0), F.col("turns") - 1), lambda t: at(piece, t, F.lit(True), F.col("asks") & (t == turn)))
-    asking = F.filter(F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda p: at(p, turn, F.lit(False), F.col("asks"))), lambda x: x["asks"] & (x["piece"] != piece))
-    rows = rows.select("bucket", "id", "comp", F.explode(F.concat(asked, asking)).alias("x")).select("bucket", "id", "comp", "x.*")
-    return rows.join(brief, "id")
+    asked = F.filter(F.transform(F.sequence(F.lit(0), F.col("turns") - 1), lambda t: at(piece, t, F.col("left"), F.col("asks") & (t == turn))), lambda x: x["left"])
+    asking = F.filter(F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda p: at(p, turn, F.lit(False), F.col("asks"))), lambda x: x["asks"] & ~(F.col("left") & (x["piece"] == piece)))
+    return rows.join(sizes, "bucket").select("bucket", "id", "comp", F.explode(F.concat(asked, asking)).alias("x")).select("bucket", "id", "comp", "x.*")
+
+
+def blocked(placed: DataFrame, brief: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``partners`` for buckets (bucket, id, comp) with several components, and these
+    buckets with their largest component (bucket, main).
+
+    Members of other components ask those of their bucket's other components, and they ask
+    the whole largest one, once however many buckets they share with it: a group of near
+    copies stands in most tables, and its rows are not repeated for each of them."""
+    sizes = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k"))
+    mixed = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("k", "comp")).alias("main")).where("comps > 1")
+    mixed = stored(mixed, "mhmixed")
+    asking = stored(placed.join(mixed, "bucket").where("comp != main"), "mhasking")
+    yes, no = F.lit(True), F.lit(False)
+    among = asking.where("comps > 2").select("bucket", "id", "comp", yes.alias("left"), yes.alias("asks"))
+    to_main = asking.select("main", "id", "comp").distinct().select(_component_key("main").alias("bucket"), "id", "comp", no.alias("left"), yes.alias("asks"))
+    whole = placed.select("id", "comp").distinct().join(asking.select(F.col("main").alias("comp")).distinct(), "comp")
+    whole = whole.select(_component_key("comp").alias("bucket"), "id", "comp", yes.alias("left"), no.alias("asks"))
+    return _dealt(among.unionByName(to_main).unionByName(whole)).join(brief, "id"), mixed.select("bucket", "main")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,7 +263,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     Equal sets are collapsed first, so exact copies cost one representative.  Each member
     of a bucket is first compared with one member chosen by hash; the nearest few of these
     that a document has are confirmed and linked.  Then, in rounds, each member of a bucket that still
-    holds several components is compared with all members of other components, and its
+    holds several components is compared with all members of other components (of the
+    bucket's largest one with all that it has anywhere), and its
     nearest possible partners are confirmed: 32 in the first round, sixteen times as many in
     each later one, until no bucket has a possible pair left.  So every pair that meets in a
     table is either linked, ruled out, or inside one component; pairs are never listed
@@ -259,7 +280,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     signed = stored(signatures(docs, width, collections, id_col, text_col), "mhsig")
     reps = stored(signed.where("n > 0").groupBy("set_hash", "n").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")).dropDuplicates(["id"]), "mhreps")
     buckets = bucketed(reps, collections)
-    order = F.xxhash64("id", "bucket")
+    order = F.xxhash64("id", F.pmod("bucket", F.lit(PIVOTS)))  # near copies share most buckets, and so most pivots
     pivots = buckets.groupBy("bucket").agg(F.min_by("id", order).alias("p"), F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket", "p")
     buckets = stored(buckets.join(pivots, "bucket"), "mhbuckets")
     brief = reps.select("id", "n", "sketch")
@@ -290,7 +311,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     open_, most = buckets.select("bucket", "id"), 32
     while True:
         placed = stored(open_.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("comp")), "mhplaced")
-        pairs = stored(partners(blocked(placed, brief), percent, most), "mhpairs")
+        blocks, mixed = blocked(placed, brief)
+        pairs = stored(partners(blocks, percent, most), "mhpairs")
         new = pairs.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
         links = confirmed(new, texts, width, percent)
         tested = tested.unionByName(links)
@@ -299,7 +321,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         more = stored(pairs.where("more").select("bucket").distinct(), "mhmore")
         if more.isEmpty():
             break
-        open_, most = buckets.join(more, "bucket", "left_semi").select("bucket", "id"), most * 16
+        again = mixed.select("bucket", F.explode(F.array("bucket", _component_key("main"))).alias("more")).join(more.withColumnRenamed("bucket", "more"), "more", "left_semi")
+        open_, most = buckets.join(again.select("bucket").distinct(), "bucket", "left_semi").select("bucket", "id"), most * 16
 
     classes = reps.select("set_hash", "n", F.col("id").alias("rep")).join(found.withColumnRenamed("id", "rep"), "rep", "left").select("set_hash", "n", F.coalesce("component", "rep").alias("comp"))
     out = signed.select("id", "n", "set_hash").join(classes, ["set_hash", "n"], "left")

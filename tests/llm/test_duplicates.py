@@ -5,7 +5,7 @@ import random
 import pytest
 
 from strandline.llm.components import components
-from strandline.llm.minhash import near_duplicates
+from strandline.llm.minhash import blocked, near_duplicates
 from strandline.llm.pfp import parse_rows, removal_digest, without_repeats
 from tests.llm.brute import near_components, removal_row, removed
 
@@ -38,6 +38,19 @@ def test_chains_and_large_groups_are_joined(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == expected
 
 
+def test_a_group_that_fills_many_buckets_is_compared_with_others_once(spark):
+    rows = [(b, i, 1) for b in range(40) for i in range(1, 301)] + [(b, 1000 + b % 3, 1000 + b % 3) for b in range(40)] + [(0, 2000, 2000)]
+    placed = spark.createDataFrame(rows, "bucket long, id long, comp long")
+    blocks, mixed = blocked(placed, placed.selectExpr("id", "10L as n", "binary('') as sketch").distinct())
+    got = blocks.collect()
+    assert len(got) == 300 + 4 + 2 and mixed.count() == 40
+    by = {}
+    for r in got:
+        by.setdefault((r.bucket, r.piece, r.turn), []).append(r)
+    met = {(q.id, c.id) for block in by.values() for q in block if q.asks for c in block if c.left and c.comp != q.comp}
+    assert met >= {(q, c) for q in (1000, 1001, 1002, 2000) for c in range(1, 301)} | {(1000, 2000), (2000, 1000)}
+
+
 def test_components_of_a_path_a_star_and_loops(spark):
     links = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(200, 260)] + [(300, 300)]
     got = {r.id: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
