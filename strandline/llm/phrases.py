@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -28,6 +29,8 @@ LEAST_BITS, MOST_BITS = 20, 28
 #: Bytes of text that are cut into words at a time.
 BLOCK_BYTES = 2 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Weights of a word's bytes by their place; words with more bytes are hashed one by one.
+WEIGHTS = np.random.default_rng(20250117).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[list(BLANKS)] = 1
@@ -67,18 +70,41 @@ class Words:
 
     def distinct(self, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """One place of each distinct n-gram (by language) of ``at``, and its count; exact."""
-        ids = self.lang[at].astype(np.int64)
+        ids, room = self.lang[at].astype(np.int64), int(self.lang.max(initial=0)) + 1
         for k in range(n):
-            pair = ids * len(self.names) + self.codes[at + k]
-            _, first, ids, count = np.unique(pair, return_index=True, return_inverse=True, return_counts=True)
-        return at[first], count
-
-    def text(self, at: np.ndarray, n: int) -> list[str]:
+            if room * len(self.names) >= 1 << 63:
+                ids, room = _numbered(ids)
+            ids, room = ids * len(self.names) + self.codes[at + k], room * len(self.names)
+        ids, many = _numbered(ids)
+        first = np.empty(many, np.int64)
+        first[ids[::-1]] = at[::-1]
+        return first, np.bincount(ids, minlength=many)
+
+    def text(self, at: np.ndarray, n: int) -> pa.Array:
         """The n-grams at ``at``, their words parted by single blanks."""
-        used = np.unique(np.concatenate([self.codes[at + k] for k in range(n)]))
-        words = np.array(self.names.take(pa.array(used, pa.int64())).to_pylist(), object)
-        parts = [words[np.searchsorted(used, self.codes[at + k])] for k in range(n)]
-        return [b" ".join(w).decode() for w in zip(*parts, strict=True)]
+        parts = [self.names.take(pa.array(self.codes[at + k], pa.int64())) for k in range(n)]
+        return pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary())).cast(pa.large_string()).cast(pa.string())
+
+
+def _numbered(ids: np.ndarray) -> tuple[np.ndarray, int]:
+    """Equal numbers under equal ones from 0, and how many there are."""
+    coded = pa.array(ids).dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+
+
+def word_hashes(names: pa.LargeBinaryArray) -> np.ndarray:
+    """A hash of each word (not empty): its bytes with a weight for each place, longer words
+    one by one."""
+    if not len(names):
+        return np.empty(0, np.uint64)
+    _, offsets, data = names.buffers()
+    at = np.frombuffer(offsets, np.int64)[names.offset : names.offset + len(names) + 1]
+    size, at, data = np.diff(at), at - at[0], np.frombuffer(data, np.uint8)[at[0] : at[-1]]
+    place = np.arange(len(data)) - np.repeat(at[:-1], size)
+    out = np.add.reduceat((data + np.uint64(1)) * WEIGHTS[np.minimum(place, len(WEIGHTS) - 1)], at[:-1])
+    for i in np.flatnonzero(size > len(WEIGHTS)):
+        out[i] = xxh64_intdigest(names[i].as_py())
+    return out
 
 
 def words_of(texts: list[bytes], langs: list[int]) -> Words:
@@ -94,8 +120,7 @@ def words_of(texts: list[bytes], langs: list[int]) -> Words:
     offsets = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64)
     names = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[word]))])
     coded = names.dictionary_encode()
-    hashes = np.array([xxh64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)
-    return Words(coded.dictionary, coded.indices.to_numpy(), np.searchsorted(breaks, start), np.array(langs, np.int64)[text] if len(langs) else np.empty(0, np.int64), hashes)
+    return Words(coded.dictionary, coded.indices.to_numpy(), np.searchsorted(breaks, start), np.array(langs, np.int64)[text] if len(langs) else np.empty(0, np.int64), word_hashes(coded.dictionary))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], langs: list[str]) -> Iterator[Words]:
@@ -148,7 +173,7 @@ def _counted(texts: DataFrame, langs: list[str], n: int, maps: dict, bits: int)
                 at = at[_set(buckets.value, w.keys(at, n), bits)]
             first, count = w.distinct(at, n)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(len(first), np.int32)), pa.array([langs[i] for i in w.lang[first]], pa.string()), pa.array(w.text(first, n), pa.string()), pa.nulls(len(first), pa.int64()), pa.array(count.astype(np.int64))],
+                [pa.array(np.zeros(len(first), np.int32)), pa.array([langs[i] for i in w.lang[first]], pa.string()), w.text(first, n), pa.nulls(len(first), pa.int64()), pa.array(count.astype(np.int64))],
                 names=["kind", "lang", "phrase", "bucket", "c"],
             )
             if n == LONGEST:
@@ -201,9 +226,8 @@ def _gram_buckets(langs: list[str], n: int, bits: int):
             phrases = [p.encode() for p in b.column("phrase").to_pylist()]
             split = [w for p in phrases for w in p.split(b" ")]
             coded = pa.array(split, pa.large_binary()).dictionary_encode()
-            hashes = np.array([xxh64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)
             lang = np.repeat(np.array([number[x] for x in b.column("lang").to_pylist()], np.int64), n)
-            w = Words(coded.dictionary, coded.indices.to_numpy(), np.empty(0), lang, hashes)
+            w = Words(coded.dictionary, coded.indices.to_numpy(), np.empty(0), lang, word_hashes(coded.dictionary))
             yield pa.RecordBatch.from_arrays([pa.array((w.keys(np.arange(0, len(split), n), n) >> np.uint64(64 - bits)).astype(np.int64))], names=["bucket"])
 
     return run

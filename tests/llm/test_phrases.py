@@ -79,3 +79,17 @@ def test_pieces_ties_and_covered_phrases(spark):
     assert got == plain([(r[2], r[1]) for r in rows], 1)
     phrases = {r[2] for r in got}
     assert "a b c d" in phrases and "a b" not in phrases and "x y" in phrases
+
+
+def test_words_are_hashed_alike_everywhere_and_texts_made_in_bulk():
+    long = b"x" * 200
+    a, b = ph.words_of([b"one two three " + long], [0]), ph.words_of([b"three", "zé ".encode() + long + b"y two,two"], [1, 2])
+    of = lambda w: dict(zip(w.names.to_pylist(), w.hashes.tolist(), strict=True))
+    both = of(a).keys() & of(b).keys()
+    assert both == {b"two", b"three"} and all(of(a)[w] == of(b)[w] for w in both)
+    assert len({*of(a).values(), *of(b).values()}) == len(of(a).keys() | of(b).keys()) == 6
+    assert ph.word_hashes(a.names[2:]).tolist() == a.hashes[2:].tolist()
+    texts = a.text(a.grams(2), 2)
+    assert texts.type == "string" and texts.to_pylist() == ["one two", "two three", f"three {long.decode()}"]
+    place, count = b.distinct(b.grams(1), 1)
+    assert sorted(zip(b.text(place, 1).to_pylist(), count.tolist(), strict=True))[1:3] == [("two", 2), (f"{long.decode()}y", 1)]
