@@ -100,9 +100,7 @@ def _features(spark, d):
 
 
 def _mapped(spark, d):
-    rows = _features(spark, d)
-    lines = rows.select("line_no", "attrs").distinct()
-    return rows.join(ft.attribute_map(lines, ["line_no", "attrs"]), ["line_no", "attrs"])
+    return ft.with_attribute_map(_features(spark, d))
 
 
 @query(f"WITH {D_FEATURES} SELECT line_no, name AS id, p1 || ',' || p2 AS parents, p2 = 'h3' AS of_h3 FROM f")

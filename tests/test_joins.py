@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 
+from strandline.operators.features import with_attribute_map
 from strandline.operators.joins import ROWS, spread
 from strandline.plans import catalog
 
@@ -20,3 +21,14 @@ def test_rows_are_dealt_over_more_tasks_as_they_grow(spark):
     few, many = spread(spark.range(100), "id"), spread(spark.range(5 * ROWS), "id")
     assert few.rdd.getNumPartitions() == 1 and many.rdd.getNumPartitions() == 6
     assert many.count() == 5 * ROWS
+
+
+@pytest.mark.parametrize("name", ["attr_lookup", "attr_standardise"])
+def test_attribute_maps_shuffle_nothing(spark, sf_dir, name):
+    assert "Exchange" not in catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_attribute_maps(spark):
+    texts = ["Name=a;Parent=b,c; Parent =d;note;x=1=2", "note", None]
+    found = with_attribute_map(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, attrs string")).orderBy("k").collect()
+    assert [r["attributes"] for r in found] == [{"Name": ["a"], "Parent": ["b", "c", "d"], "x": ["1=2"]}, {}, None]
