@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import accumulate
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,18 +76,19 @@ def tie_keys(pairs: DataFrame, covered: DataFrame) -> DataFrame:
     return per.select("grna", "gain", (F.col("s") / F.col("n")).alias("pos"), "redundancy")
 
 
-def sure_picks(sets: dict[str, dict], covered: set, whole_pos: bool, bound: tuple | None) -> list[str]:
-    """Greedy picks among ``sets`` (grna: {target: (s, n)}): most targets not ``covered``, then
-    nearest to 5', then fewest covered ones, then by name.  They end at the first that comes
-    after ``bound``: a guide not at hand may come before it.  A guide's key changes only with
-    its number of uncovered targets, and that only falls, so a waiting key whose number is
-    still right is right altogether."""
-    covered = set(covered)
+def sure_picks(sets: dict[str, dict], every: dict[str, tuple], whole_pos: bool, bound: tuple | None) -> tuple[list[str], set]:
+    """Greedy picks among ``sets`` (grna: {open target: (s, n)}) and the targets that they cover:
+    most open targets, then nearest to 5', then fewest covered ones, then by name.  ``every`` has
+    for each guide the number of all of its targets, and its mean position on them.  Picks end at
+    the first that comes after ``bound``: a guide not at hand may come before it.  A guide's key
+    changes only with its number of open targets, and that only falls, so a waiting key whose
+    number is still right is right altogether."""
+    covered: set = set()
 
     def key(g: str) -> tuple:
-        new = [t for t in sets[g] if t not in covered]
-        on = [sets[g][t] for t in (sets[g] if whole_pos else new)]
-        return (-len(new), sum(v[0] for v in on) / sum(v[1] for v in on) if new else 0.0, len(sets[g]) - len(new), g)
+        on = [v for t, v in sets[g].items() if t not in covered]
+        pos = every[g][1] if whole_pos else sum(v[0] for v in on) / sum(v[1] for v in on) if on else 0.0
+        return (-len(on), pos if on else 0.0, every[g][0] - len(on), g)
 
     chosen, heap = [], [key(g) for g in sets]
     heapq.heapify(heap)
@@ -99,49 +102,90 @@ def sure_picks(sets: dict[str, dict], covered: set, whole_pos: bool, bound: tupl
         elif now[0]:
             chosen.append(old[3])
             covered.update(sets[old[3]])
-    return chosen
-
-
-def greedy_cover(pairs: DataFrame, whole_pos: bool = False) -> list[str]:
-    """Guides in the order in which the greedy cover picks them, from ``pairs`` (grna,
-    target, s, n) of at least one guide a target.  Ties go to the guide nearest to 5' on its
+    return chosen, covered
+
+
+def guide_rows(pairs: DataFrame) -> DataFrame:
+    """(grna, all, all_pos, targets, s, n): ``paired`` with a row for each guide."""
+    per = pairs.groupBy("grna").agg(F.collect_list(F.struct("target", "s", "n")).alias("p"), F.count(F.lit(1)).alias("all"), (F.sum("s") / F.sum("n")).alias("all_pos"))
+    return per.select("grna", "all", "all_pos", F.col("p.target").alias("targets"), F.col("p.s").alias("s"), F.col("p.n").alias("n"))
+
+
+def _open(rows: DataFrame, covered: set, sums: bool) -> DataFrame:
+    """Guide rows without their ``covered`` targets (a bounded number), and without guides that
+    have no other; with ``sums`` not arrays but gain (their number) and the sums of s and n.
+    Each row by itself: nothing is shuffled."""
+    schema = rows.schema
+    s_type = schema["s"].dataType.elementType.simpleString()
+    gone = rows.sparkSession.sparkContext.broadcast(sorted(covered))
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            lists = b.column(3)
+            flat = lists.flatten()
+            known = pa.array(gone.value, flat.type) if known is None else known
+            new = pc.invert(pc.is_in(flat, value_set=known)).to_numpy(zero_copy_only=False)
+            first = (lists.offsets.to_numpy() - lists.offsets[0].as_py())[:-1]  # no list is empty
+            gain = np.add.reduceat(new.astype(np.int64), first)
+            some = pa.array(gain > 0)
+            scalars = [b.column(i).filter(some) for i in range(3)]
+            values = [b.column(i).flatten() for i in (4, 5)]
+            if sums:
+                totals = [np.add.reduceat(np.where(new, pc.fill_null(v, 0).to_numpy(zero_copy_only=False), 0), first) for v in values]
+                yield pa.RecordBatch.from_arrays([*scalars, *[pa.array(x).filter(some) for x in (gain, *totals)]], names=["grna", "all", "all_pos", "gain", "s", "n"])
+            else:
+                ends = pa.array(np.concatenate([[0], np.cumsum(gain[gain > 0])]).astype(np.int32))
+                arrays = [pa.ListArray.from_arrays(ends, x.filter(pa.array(new))) for x in (flat, *values)]
+                yield pa.RecordBatch.from_arrays([*scalars, *arrays], names=b.schema.names)
+
+    return rows.mapInArrow(kept, f"grna string, all long, all_pos double, gain long, s {s_type}, n long" if sums else schema)
+
+
+def _without_targets(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Guide rows without the targets in ``gone`` (target), however many."""
+    pairs = rows.select("grna", "all", "all_pos", F.explode(F.arrays_zip("targets", "s", "n")).alias("x")).select("grna", "all", "all_pos", F.col("x.targets").alias("target"), "x.s", "x.n")
+    per = pairs.join(gone, "target", "left_anti").groupBy("grna", "all", "all_pos").agg(F.collect_list(F.struct("target", "s", "n")).alias("p"))
+    return per.select("grna", "all", "all_pos", F.col("p.target").alias("targets"), F.col("p.s").alias("s"), F.col("p.n").alias("n"))
+
+
+def greedy_cover(rows: DataFrame, n_targets: int, whole_pos: bool = False) -> list[str]:
+    """Guides in the order in which the greedy cover picks them, from ``guide_rows`` of at least
+    one guide for each of ``n_targets`` targets.  Ties go to the guide nearest to 5' on its
     uncovered targets (``whole_pos``: on all), then to the least redundant, then by name.
 
-    Each round counts the uncovered targets of all guides on Spark and brings only the first
-    guides to the driver (at most ``CANDIDATES`` with ``PAIRS`` pairs).  Counts never grow,
-    so picks that come before the last of these are those of the whole table.
+    Each round counts the uncovered targets of all guides where their rows stand and brings only
+    the first guides to the driver (at most ``CANDIDATES`` with ``PAIRS`` uncovered pairs).  Counts
+    never grow, so picks that come before the last of these are those of the whole table.  Rows are
+    written anew, shorter, only when half of what they hold is covered: what is written adds up to
+    no more than about the table, however many rounds there are.
     """
-    total = stored(pairs.groupBy("grna").agg((F.sum("s") / F.sum("n")).alias("all_pos"), F.count(F.lit(1)).alias("all")), "total")
-    chosen, left = [], pairs
+    chosen, left, open_, covered = [], rows, n_targets, set()
     while True:
-        gains = left.groupBy("grna").agg(F.count(F.lit(1)).alias("gain"), (F.sum("s") / F.sum("n")).alias("pos"))
-        gains = gains.join(total, "grna").withColumn("red", F.col("all") - F.col("gain"))
-        gains = gains.withColumn("pos", F.col("all_pos")) if whole_pos else gains
+        gains = _open(left, covered, sums=True).select("grna", "gain", "all", "all_pos", (F.col("all_pos") if whole_pos else F.col("s") / F.col("n")).alias("pos"), (F.col("all") - F.col("gain")).alias("red"))
         top = gains.orderBy(F.desc("gain"), "pos", "red", "grna").limit(CANDIDATES).collect()
         if not top:
             return chosen
-        sums = list(accumulate(r["all"] for r in top))
+        sums = list(accumulate(r["gain"] for r in top))
         first = top[: max(1, sum(n <= PAIRS for n in sums))]
         whole = len(first) == len(top) < CANDIDATES
-        if len(first) == 1:
-            picked = [first[0]["grna"]]
-        else:
-            names = left.sparkSession.createDataFrame([(r["grna"],) for r in first], "grna string")
-            sets: dict = defaultdict(dict)
-            open_ = left.select("target").distinct().withColumn("open", F.lit(True))
-            covered = set()
-            for r in pairs.join(F.broadcast(names), "grna").join(open_, "target", "left").collect():
-                sets[r["grna"]][r["target"]] = (r["s"], r["n"])
-                if not r["open"]:
-                    covered.add(r["target"])
-            last = first[-1]
-            picked = sure_picks(sets, covered, whole_pos, None if whole else (-last["gain"], last["pos"], last["red"], last["grna"]))
+        names = F.broadcast(rows.sparkSession.createDataFrame([(r["grna"],) for r in first], "grna string"))
+        if first[0]["gain"] > PAIRS:  # its targets do not come to the driver
+            gone = _open(left, covered, sums=False).join(names, "grna", "left_semi").select(F.explode("targets").alias("target"))
+            left, covered, open_ = stored(_without_targets(_open(left, covered, sums=False), gone), "cover"), set(), open_ - len(covered) - first[0]["gain"]
+            chosen.append(first[0]["grna"])
+            continue
+        sets = {r["grna"]: dict(zip(r["targets"], zip(r["s"], r["n"], strict=True), strict=True)) for r in _open(left.join(names, "grna", "left_semi"), covered, sums=False).select("grna", "targets", "s", "n").collect()}
+        last = first[-1]
+        picked, new = sure_picks(sets, {r["grna"]: (r["all"], r["all_pos"]) for r in first}, whole_pos, None if whole else (-last["gain"], last["pos"], last["red"], last["grna"]))
         chosen += picked
-        if whole:
+        covered |= new
+        if whole or len(covered) >= open_:
             return chosen
-        names = left.sparkSession.createDataFrame([(g,) for g in picked], "grna string")
-        gone = left.join(F.broadcast(names), "grna", "left_semi").select("target").distinct()
-        left = stored(left.join(gone, "target", "left_anti"), "cover")
+        if 2 * len(covered) >= open_ or len(covered) > PAIRS:
+            left, covered, open_ = stored(_open(left, covered, sums=False), "cover"), set(), open_ - len(covered)
 
 
 def exclusive_sets(hits: DataFrame, n_sets: int = 1, targets: DataFrame | None = None, algorithm: str = "LAR", approve: Callable[[int, list[str]], Sequence[str]] | None = None, ranks: DataFrame | None = None) -> DataFrame:
@@ -157,18 +201,21 @@ def exclusive_sets(hits: DataFrame, n_sets: int = 1, targets: DataFrame | None =
     """
     if algorithm not in ("LAR", "greedy"):
         raise ValueError(f"no such set cover: {algorithm!r}")
-    pairs = stored(paired(hits) if ranks is None else ranked_pairs(hits, ranks), "cover")
-    asked = stored((pairs.select("target") if targets is None else targets.select(F.col("target_id").alias("target"))).distinct(), "cover")
-    pairs = pairs.join(asked, "target", "left_semi")
-    n_targets, out, rejected = asked.count(), [], []
+    pairs = (paired(hits) if ranks is None else ranked_pairs(hits, ranks)).where("target is not null")
+    if targets is not None:
+        asked = stored(targets.select(F.col("target_id").alias("target")).where("target is not null").distinct(), "cover")
+        pairs = pairs.join(asked, "target", "left_semi")
+    rows = stored(guide_rows(pairs), "cover")
+    held = lambda some: some.select(F.explode("targets").alias("target")).distinct().count()
+    n_targets, out, rejected = held(rows) if targets is None else asked.count(), [], []
     while len({i for i, _ in out}) < n_sets:
-        free, used = pairs, [g for _, g in out] + rejected
+        free, used = rows, [g for _, g in out] + rejected
         if used:
-            free = stored(pairs.join(hits.sparkSession.createDataFrame([(g,) for g in used], "grna string"), "grna", "left_anti"), "cover")
-        if not n_targets or free.select("target").distinct().count() < n_targets:
+            free = rows.join(F.broadcast(hits.sparkSession.createDataFrame([(g,) for g in used], "grna string")), "grna", "left_anti")
+        if not n_targets or held(free) < n_targets:
             break
         number = len({i for i, _ in out}) + 1
-        picked = greedy_cover(free, whole_pos=algorithm == "greedy")
+        picked = greedy_cover(free, n_targets, whole_pos=algorithm == "greedy")
         bad = set(approve(number, picked)) & set(picked) if approve else set()
         if bad:
             rejected += sorted(bad)

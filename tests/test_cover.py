@@ -56,6 +56,24 @@ def test_cover_in_rounds_equals_the_greedy_cover(spark, monkeypatch, candidates,
     assert sorted(map(tuple, found)) == plain_sets(rows, 2, whole_pos=True)
 
 
+def test_rounds_do_not_write_the_pairs_anew(spark, monkeypatch):
+    written, store = [], cov.stored
+    monkeypatch.setattr(cov, "CANDIDATES", 7)
+    monkeypatch.setattr(cov, "stored", lambda df, tag, **k: written.append(tag) or store(df, tag, **k))
+    rows = random_hits(90, 40, 2)
+    found = cov.exclusive_sets(spark.createDataFrame(rows, HIT), 1).collect()
+    assert sorted(map(tuple, found)) == plain_sets(rows, 1)
+    assert len(written) <= 1 + 6  # the table, and at most each halving of 40 targets
+
+
+def test_a_guide_of_more_targets_than_may_come_to_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(cov, "PAIRS", 5)
+    rows = [("big", f"t{i}", i, i + 20, "+", 100) for i in range(9)] + random_hits(12, 20, 4)
+    for name, whole in (("LAR", False), ("greedy", True)):
+        found = cov.exclusive_sets(spark.createDataFrame(rows, HIT), 1, algorithm=name).collect()
+        assert sorted(map(tuple, found)) == plain_sets(rows, 1, whole_pos=whole)
+
+
 def test_targets_that_no_guide_hits_leave_no_set(spark):
     hits = spark.createDataFrame(random_hits(20, 5, 1), HIT)
     more = hits.select("target_id").unionByName(spark.createDataFrame([("lone",)], "target_id string"))
