@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.pam import Pam
-from strandline.operators.joins import merged_in_joins
+from strandline.operators.joins import dealt, merged_in_joins
 from strandline.operators.prefix import global_prefix
 from strandline.operators.ranges import intersected, merged
 
@@ -140,15 +140,18 @@ def feature_sequences(parts: DataFrame, molecules: DataFrame, keys: Sequence[str
     start, end) cut out of its molecule (target_id, seq) in order, the other strand for -;
     ``within`` (keys..., start, end, in molecule coordinates) restricts the parts, and
     ``translate`` gives the peptide.  places: 1-based inclusive ranges."""
-    group = [*keys, "target_id", "strand"]
-    ranges = merged(parts.select(*group, "start", "end"), group)
+    group, n = [*keys, "target_id", "strand"], parts.count()
+    ranges = merged(dealt(parts.select(*group, "start", "end"), keys, n), group)
     if within is not None:
         strands = ranges.select(*group).distinct()
         ranges = intersected(ranges, within.join(strands, list(keys)).select(*group, "start", "end"), group)
-    pieces = ranges.join(molecules, "target_id").select(*keys, "strand", "start", "end", F.substr("seq", F.col("start") + 1, F.col("end") - F.col("start")).alias("piece"))
-    ordered = F.array_sort(F.collect_list(F.struct("start", "end", "piece")))
+    # A feature's ranges stay together from here on: one row of it meets the molecule.
+    spans = ranges.groupBy(*group).agg(F.collect_list(F.struct("start", "end")).alias("p"))
+    cut = lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), F.substr("seq", p["start"] + 1, p["end"] - p["start"]).alias("piece"))
+    pieces = dealt(spans, ["target_id"], n).join(molecules, "target_id").select(*keys, "strand", F.transform("p", cut).alias("p"))
+    ordered = F.array_sort(F.flatten(F.collect_list("p")))
     place = lambda p: F.concat((p["start"] + 1).cast("string"), F.lit("-"), p["end"].cast("string"))
-    out = pieces.groupBy(*keys, "strand").agg(ordered.alias("p")).select(*keys, "strand", F.array_join(F.transform("p", place), ",").alias("places"), F.array_join(F.transform("p", lambda p: p["piece"]), "").alias("seq"))
+    out = dealt(pieces, keys, n).groupBy(*keys, "strand").agg(ordered.alias("p")).select(*keys, "strand", F.array_join(F.transform("p", place), ",").alias("places"), F.array_join(F.transform("p", lambda p: p["piece"]), "").alias("seq"))
     seq = F.when(F.col("strand") == "-", reverse_complement(F.col("seq"))).otherwise(F.col("seq"))
     out = out.select(*keys, "places", seq.alias("seq"))
     return out.withColumn("seq", translated(F.upper("seq"), genetic_code(code))) if translate else out

@@ -16,6 +16,7 @@ from strandline.operators import homology as hom
 from strandline.operators import ranges as rg
 from strandline.operators import search as sr
 from strandline.operators import sequences as sq
+from strandline.operators.joins import dealt
 from strandline.plans import substrate as sub
 from strandline.plans.registry import ORACLES, QUERIES, big, query
 from strandline.sources import text as src
@@ -154,7 +155,8 @@ def pos_to_ranges(spark, d):
 
 @query(f"""WITH {sub.D_CODING}, {UNION} SELECT gene, min(pos) AS "start", max(pos) + 1 AS "end" FROM i GROUP BY gene, k""")
 def ranges_union(spark, d):
-    return rg.merged(sub.coding(spark, d), ["gene"]).select("gene", *big("start", "end"))
+    coding = sub.coding(spark, d)
+    return rg.merged(dealt(coding, ["gene"], coding.count()), ["gene"]).select("gene", *big("start", "end"))
 
 
 WINDOWS = """o AS (SELECT gene, g_start % 300 + 100 AS "start", g_start % 300 + 350 AS "end" FROM ge), q AS (SELECT DISTINCT gene, unnest(range("start", "end")) AS pos FROM o)"""

@@ -9,6 +9,7 @@ from strandline.operators import features as ft
 from strandline.operators import ranges as rg
 from strandline.operators import sequences as sq
 from strandline.operators import targets as tg
+from strandline.operators.joins import dealt
 from strandline.plans import substrate as sub
 from strandline.plans.registry import big, query
 
@@ -212,5 +213,6 @@ def reference_seq(spark, d):
 @query(f"""WITH {sub.D_TARGETS}, {D_PARTS}, n AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY gene, "start") AS i FROM pr) SELECT 'q1|' || target_id || '|' || i || '|' || (n."start" + 1) || '-' || n."end" AS seq_id, substring(seq, n."start" + 1, n."end" - n."start") AS seq FROM n JOIN t USING (target_id)""")
 def merged_seqs(spark, d):
     rows, t = _parts(spark, d)
-    regions = rg.merged(rows, ["gene", "target_id"]).withColumn("molecule", F.col("target_id"))
+    n = rows.count()
+    regions = dealt(rg.merged(dealt(rows, ["gene"], n), ["gene", "target_id"]).withColumn("molecule", F.col("target_id")), ["molecule"], n)
     return sq.region_sequences(regions, t.select(F.col("target_id").alias("molecule"), "seq"), "q1", ["gene"])

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import pytest
 
+from strandline.operators import joins
 from strandline.operators.features import with_attribute_map
-from strandline.operators.joins import ROWS, spread
+from strandline.operators.joins import ROWS, SORTED_ROWS, dealt, spread
+from strandline.operators.sequences import feature_sequences
 from strandline.plans import catalog
 
 NAMES = ["aln_target_join", "background_check", "effective_feature_ranges", "feature_check", "find_identical", "flank", "homologue_hsp", "mask_identical", "domain_ranges", "background_gapped"]
@@ -32,3 +34,25 @@ def test_attribute_maps(spark):
     texts = ["Name=a;Parent=b,c; Parent =d;note;x=1=2", "note", None]
     found = with_attribute_map(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, attrs string")).orderBy("k").collect()
     assert [r["attributes"] for r in found] == [{"Name": ["a"], "Parent": ["b", "c", "d"], "x": ["1=2"]}, {}, None]
+
+
+def test_large_tables_are_sorted_in_more_tasks(spark):
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert dealt(spark.range(100), ["id"], 3 * usual * SORTED_ROWS).rdd.getNumPartitions() == 3 * usual + 1
+    few = spark.range(100)
+    assert dealt(few, ["id"], SORTED_ROWS) is few
+
+
+def test_large_tables_of_ranges_are_dealt_by_their_rows(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(joins, "SORTED_ROWS", 100)
+    for name in ("ranges_union", "extract_ranges", "reference_seq", "merged_seqs"):
+        tasks = catalog.sub.table(spark, sf_dir, "lineitem").count() // 100 + 1
+        plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert f", {tasks}), REPARTITION_BY_NUM" in plan, name
+
+
+def test_a_feature_on_two_molecules_is_one_sequence(spark):
+    parts = spark.createDataFrame([("g", "a", "+", 4, 6), ("g", "b", "+", 0, 2), ("g", "a", "+", 5, 8), ("h", "a", "-", 0, 2)], "gene string, target_id string, strand string, start int, end int")
+    molecules = spark.createDataFrame([("a", "AACCGGTTAA"), ("b", "CATCAT")], "target_id string, seq string")
+    found = feature_sequences(parts, molecules, ["gene"]).collect()
+    assert sorted(map(tuple, found)) == [("g", "1-2,5-8", "CAGGTT"), ("h", "1-2", "TT")]
