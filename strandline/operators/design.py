@@ -20,6 +20,7 @@ from strandline.operators.chunks import chunked, slices
 from strandline.operators.covers import nonredundant_sets
 from strandline.operators.gapped import edit_hits
 from strandline.operators.homology import homologous_hsps
+from strandline.operators.joins import merged_in_joins
 from strandline.operators.ranges import intersected
 from strandline.operators.scratch import stored
 from strandline.operators.targets import exclude_check
@@ -59,7 +60,8 @@ def background_hits(guides: DataFrame, background: DataFrame, most: int) -> Data
     column (see ``btop_expanded``): all places without gaps, and the best of those with."""
     forms = guides.select(F.upper("grna").alias("grna")).distinct()
     length = forms.agg(F.max(F.length("grna"))).first()[0] or 1
-    forms = forms.select("grna", F.lit("+").alias("strand"), F.col("grna").alias("form")).unionByName(forms.select("grna", F.lit("-").alias("strand"), sq.reverse_complement(F.col("grna")).alias("form")))
+    both = F.array(F.struct(F.lit("+").alias("strand"), F.col("grna").alias("form")), F.struct(F.lit("-").alias("strand"), sq.reverse_complement(F.col("grna")).alias("form")))
+    forms = merged_in_joins(forms.select("grna", F.explode(both).alias("x")).select("grna", "x.*"))
     places = sq.windows(background.select("molecule", F.upper("seq").alias("s")), ["molecule"], length)
     places = places.select("molecule", F.col("at").alias("start"), sq.letters(F.col("part"), F.col("at") - F.col("lo"), F.lit(length)).alias("w"))
     if most == 0:
@@ -110,7 +112,7 @@ def screened(guides: DataFrame, background: DataFrame, design: Design, masks: Da
     hits = risky_hits(guides.select("grna"), background.select(key, "seq"), design)
     if masks is not None:
         hidden = sr.masked_regions(masks, background.select("source", "molecule", "seq")).select(key, "start", "end")
-        hits = sr.outside_masks(hits, hidden)
+        hits = sr.outside_masks(stored(hits, "design"), hidden)  # read twice
     return sr.background_checked(guides, hits)
 
 

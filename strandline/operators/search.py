@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from strandline.functions.pam import Pam
 from strandline.operators.joins import merged_in_joins
 from strandline.operators.ranges import merged, range_join
+from strandline.operators.scratch import stored
 from strandline.operators.sequences import letters, reverse_complement, windows
 
 #: Bases by which sequences to be masked are looked up: the most that a sequence has, or all
@@ -177,10 +178,11 @@ def masked_regions(masks: DataFrame, subjects: DataFrame, perfect: DataFrame | N
     q_len, mismatches, gaps) count besides where a hit covers its query without mismatch and gap.
     """
     m = masks.where(F.length("seq") > 0).select(F.col("seq_id").alias("masked"), F.upper("seq").alias("f"))
-    forms = m.unionByName(m.select("masked", reverse_complement(F.col("f")).alias("f"))).distinct()
+    forms = m.select("masked", F.explode(F.array("f", reverse_complement(F.col("f")))).alias("f")).distinct()
     size = F.length("f")
     seed = F.when(size < SEEDS[0], size).otherwise(F.greatest(*[F.when(size >= k, k).otherwise(0) for k in (0, *SEEDS)]))
-    forms = forms.withColumn("k", seed)
+    # Stored: filters on a derived text would be pushed to the scan of a small file, one task's work.
+    forms = stored(forms.withColumn("k", seed), "masks")
     found = masks.sparkSession.createDataFrame([], "source string, molecule string, start int, end int, masked string")
     for r in forms.groupBy("k").agg(F.max(size).alias("longest")).orderBy("k").collect():  # a row for each length of seeds
         k = r["k"]

@@ -6,6 +6,7 @@ import re
 import time
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions.pam import Pam
@@ -52,3 +53,10 @@ def test_masks_of_many_lengths(spark):
     rows = masked_regions(spark.createDataFrame(list(masks.items()), "seq_id string, seq string"), spark.createDataFrame([("f", "m", s)], "source string, molecule string, seq string")).collect()
     expected = {(name, m.start(), m.start() + len(q)) for name, q in masks.items() if q for form in (q, turn(q)) for m in re.finditer(f"(?={form})", s)}
     assert len(rows) == len(expected) and {(r.masked, r.start, r.end) for r in rows} == expected
+
+
+@pytest.mark.parametrize("name", ["design_guides", "mask_identical"])
+def test_masks_are_derived_once(spark, sf_dir, name):
+    from strandline.plans import catalog
+
+    assert "part.parquet" not in catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().toString()
