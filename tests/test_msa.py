@@ -87,3 +87,18 @@ def test_too_many_references(spark):
     g = spark.createDataFrame([("s", f"g{i}", "ACGT") for i in range(msa.MOST_REFERENCES + 1)], "aln_id string, seq_id string, seq string")
     with pytest.raises(Exception, match="too many"):
         msa.aligned_references(g, spark.createDataFrame([], "aln_id string, seq_id string, cds_id string, start int, end int")).collect()
+
+
+def test_pairs_at_once_are_those_alone():
+    rng = random.Random(11)
+    profiles = [msa._counts(msa._matrix(msa.aligned_rows([mutated(rng, dna(rng, 60), 0.1, 0.05) for _ in range(n)]))) for n in (1, 2, 3)]
+    singles = [msa._counts(msa._matrix([dna(rng, n)])) for n in (1, 7, 55, 60, 61, 200)]
+    pairs = [(a, b) for a in profiles for b in singles]
+    assert msa.all_paired(pairs) == [msa.paired(a, b) for a, b in pairs]
+
+
+def test_alignments_are_made_once(spark, sf_dir):
+    from strandline.plans import catalog
+
+    plan = catalog.QUERIES["align_targets"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("FlatMap", "MapInArrow", "supplier.parquet"))
