@@ -50,7 +50,10 @@ def off_target(pattern: str, ops: Column, length: int, back_ops: Column | None =
         if hi < lo:
             return F.lit(True)
         part = F.array_join(F.slice(back_ops if back and back_ops is not None else ops, lo, hi - lo + 1), "")
-        return F.length(F.regexp_replace(part, f"[^{letters}]", "")) <= int(most)
+        others = part
+        for c in letters:
+            others = F.replace(others, F.lit(c), F.lit(""))
+        return F.length(part) - F.length(others) <= int(most)
 
     def group(i: int) -> tuple[Column, int]:
         value, how = None, None

@@ -40,3 +40,11 @@ def test_any_letters_and_lengths_of_two_longs(spark):
         expected = {(g, w, count(g, w)) for g in seqs for w in {*near, *seqs} if count(g, w) <= most}
         found = [(r.grna, r.w, r.mismatches) for r in plan.collect()]
         assert len(found) == len(set(found)) and set(found) == expected and len(expected) > 12
+
+
+def test_letters_are_counted_without_patterns(spark, sf_dir):
+    """Alignments are written out once, and letters counted by plain replacement."""
+    from strandline.plans import catalog
+
+    plan = catalog.QUERIES["ot_pattern_forms"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_replace" not in plan and plan.count("transform(") == 1
