@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
-from strandline.operators.gapped import edit_hits
+from strandline.operators.gapped import PART, _meetings, edit_hits
 from tests.test_homology import OTHER, dna, mutated
 
 
@@ -80,3 +81,29 @@ def test_texts_of_meetings_are_not_shuffled(spark):
     plan = edit_hits(guides, subjects, 2)._jdf.queryExecution().executedPlan().toString().split("\n")
     dealt = [x for x in plan if "Exchange" in x]
     assert dealt and not any("form#" in x and "from#" in x for x in dealt)
+
+
+def test_few_pairs_are_measured_and_no_near_one_is_lost():
+    rng = np.random.default_rng(4)
+    letters, most, m, cuts = np.frombuffer(b"ACGT", np.uint8), 2, 20, [0, 4, 8, 12, 16, 20]
+    side = m + most
+    guides, texts = letters[rng.integers(0, 4, (3_000, m))], letters[rng.integers(0, 4, (3_000, 2 * side + PART))]
+    guides[:, :4] = texts[:, side : side + 4] = letters[0]
+    for i in range(0, 3_000, 10):  # a guide with two edits behind its first part
+        near = guides[i].tolist()
+        a, b = sorted(rng.integers(4, m, 2).tolist(), reverse=True)
+        for at in (a, b):
+            near[at : at + 1] = [[], [int(rng.choice(letters))], [near[at], int(rng.choice(letters))]][rng.integers(3)]
+        texts[i, side : side + len(near)] = near
+    measured = {pair for a, b in _meetings(guides, texts, 0, side, cuts, most) for pair in zip(a.tolist(), b.tolist(), strict=True)}
+    assert {(i, i) for i in range(0, 3_000, 10)} <= measured
+    assert len(measured) < 3_000 * 3_000 / 5_000
+
+
+def test_guides_and_background_meet_in_groups(spark, sf_dir):
+    """No join writes out a row for each of the many pairs that share a few letters."""
+    from strandline.plans import catalog
+
+    for name in ("offtarget_gapped", "background_gapped"):
+        plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapCoGroupsInArrow" in plan and "[seed" not in "".join(x for x in plan.split("\n") if "Join" in x)
