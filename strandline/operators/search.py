@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +22,9 @@ from strandline.operators.sequences import letters, reverse_complement, windows
 SEEDS = (8, 12, 16, 24)
 #: Letters with a code of three bits of their own, and how many of them a long holds.
 LETTERS, CODE = "ACGTUN-", 21
+#: Letters by which guides and windows are dealt, rows so dealt that a task meets, and pairs looked at
+#: together.
+SEED, SEEDED, MET = 4, 250_000, 262_144
 
 
 def merged_hits(hits: DataFrame, keys: Sequence[str], within: int, min_len: int, min_id: float, id_before: float | None = None) -> DataFrame:
@@ -97,53 +103,124 @@ def _coded(df: DataFrame, c: str, to: str, length: int) -> DataFrame:
     return df.where(F.length(c) == length).select(*longs, F.when(F.col(c).rlike(f"[^{LETTERS}]"), F.col(c)).alias(f"{to}_text")).distinct()
 
 
-def _decoded(c: str, length: int) -> Column:
-    sizes = [min(CODE, length - i) for i in range(0, length, CODE)]
-    texts = [F.lpad(F.conv(F.col(f"{c}{k}").cast("string"), 10, 8), n, "0") for k, n in enumerate(sizes)]
-    return F.coalesce(f"{c}_text", F.translate(F.concat(*texts), "0123456", LETTERS))
+def _pieces(codes: np.ndarray, length: int, skip: range, n: int) -> list[np.ndarray]:
+    """Letters of ``codes`` (longs a row, see ``_coded``) outside ``skip`` in ``n`` runs, each run as
+    one number of two bits a letter, eight letters at most; letters may share their two bits."""
+    rest = [p for p in range(length) if p not in skip]
+    out = []
+    for i in range(n):
+        piece = np.zeros(len(codes), np.uint16)
+        for k, p in enumerate(rest[len(rest) * i // n : len(rest) * (i + 1) // n][:8]):
+            piece |= _digit(codes, length, p, 3).astype(np.uint16) << np.uint16(2 * k)
+        out.append(piece)
+    return out
+
+
+def _digit(codes: np.ndarray, length: int, p: int, bits: int = 7) -> np.ndarray:
+    word = p // CODE
+    return (codes[:, word] >> np.int64(3 * (min(CODE, length - word * CODE) - 1 - p % CODE))) & np.int64(bits)
+
+
+def _texts(codes: np.ndarray, length: int, other: pa.Array) -> pa.Array:
+    data = np.empty((len(codes), length), np.uint8)
+    known = np.frombuffer(f"{LETTERS}?".encode(), np.uint8)
+    for p in range(length):
+        data[:, p] = known[_digit(codes, length, p)]
+    plain = pa.StringArray.from_buffers(len(codes), pa.py_buffer(np.arange(len(codes) + 1, dtype=np.int32) * np.int32(length)), pa.py_buffer(data))
+    return pc.coalesce(other, plain) if other.null_count < len(other) else plain
+
+
+def _near(g: np.ndarray, w: np.ndarray, length: int, most: int, agree: int, part: int, cuts: list[int], bits: list[list[int]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of ``g`` and of ``w`` (longs a row) with ``most`` differing letters at most, and their
+    number: pairs whose first equal part is ``part``, whose first letters are the same in all.
+    Of the letters outside that part, in most + agree + 1 pieces, at least agree + 1 are equal;
+    pairs meet by each such choice, and count for the first."""
+    agree += 1
+    lo, hi = cuts[part], cuts[part + 1]
+    own = [_pieces(x, length, range(0, lo + SEED), 1)[0] if hi - lo > SEED else None for x in (g, w)]
+    own_bits = 2 * min(hi - lo - SEED, 8) if own[0] is not None else 0
+    if own_bits:
+        own = [x & np.uint16((1 << own_bits) - 1) for x in own]
+    n = most + agree
+    pieces = [_pieces(x, length, range(lo, hi), n) for x in (g, w)]
+    rest = length - (hi - lo)
+    sizes = [2 * min(rest * (i + 1) // n - rest * i // n, 8) for i in range(n)]
+    short = min(length, 32)
+    two = [sum((_digit(x, length, p, 3).astype(np.uint64) << np.uint64(2 * p) for p in range(short)), np.zeros(len(x), np.uint64)) for x in (g, w)]
+    low = np.uint64(int("01" * short, 2))
+    ones = [np.int64(sum(1 << 3 * p for p in range(min(CODE, length - i)))) for i in range(0, length, CODE)]
+    for choice in combinations(range(n), agree):
+        keys, used = [np.zeros(len(x), np.uint16) for x in (g, w)], 0
+        for values, size in ((own, own_bits), *(((pieces[0][i], pieces[1][i]), sizes[i]) for i in choice)):
+            size = min(size, 16 - used)
+            if size > 0:
+                keys = [k | ((v & np.uint16((1 << size) - 1)) << np.uint16(used)) for k, v in zip(keys, values, strict=True)]
+                used += size
+        order, count = np.argsort(keys[1], kind="stable").astype(np.int32), np.bincount(keys[1], minlength=1 << 16)
+        begin = np.cumsum(count) - count
+        times = count[keys[0]]
+        ends = np.cumsum(times)
+        at = 0
+        while at < len(g):  # some rows of g at a time, so that their pairs are few
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + MET, "right")))
+            k, total = times[at:to], int(ends[to - 1] - (ends[at - 1] if at else 0))
+            if total:
+                a = np.repeat(np.arange(at, to, dtype=np.int32), k)
+                b = order[np.arange(total) + np.repeat(begin[keys[0][at:to]] - (np.cumsum(k) - k), k)]
+                x = np.repeat(two[0][at:to], k) ^ two[1][b]
+                good = np.flatnonzero(np.bitwise_count((x | (x >> np.uint64(1))) & low) <= most)
+                a, b = a[good], b[good]
+                other = [g[a, i] ^ w[b, i] for i in range(g.shape[1])]
+                unlike = sum(np.bitwise_count((x | (x >> np.int64(1)) | (x >> np.int64(2))) & m).astype(np.int32) for x, m in zip(other, ones, strict=True))
+                same = lambda i: np.logical_and.reduce([(x & np.int64(m)) == 0 for x, m in zip(other, bits[i], strict=True)])  # noqa: E731, B023
+                ok = (unlike <= most) & same(part)
+                for i in range(part):
+                    ok &= ~same(i)
+                for i in range(choice[-1] + 1 if choice else 0):
+                    ok &= (pieces[0][i][a] == pieces[1][i][b]) == (i in choice)
+                yield a[ok], b[ok], unlike[ok]
+            at = to
 
 
 def hamming_hits(guides: DataFrame, windows: DataFrame, length: int, most: int, agree: int = 1) -> DataFrame:
     """(grna, w, mismatches): windows within ``most`` mismatches of a guide, all of them:
-    of most + agree equal parts at least ``agree`` are the same, so every choice of
-    ``agree`` parts meets by equality and the rest is counted; a pair is kept for its first
-    choice only.  More parts make longer seeds, so fewer pairs meet by chance.
+    of most + 1 equal parts at least one is the same, so both are dealt by the first letters of
+    each part, a row for each, and meet within a group by agree + 1 of most + agree + 1 pieces of
+    the rest; a pair is kept for its first part and choice only.  More pieces make longer seeds,
+    so fewer pairs meet by chance, and none of the choices is written to disk.
     Letters are compared as bits of longs; letters other than ``LETTERS`` share a code, and
-    pairs that both have some are compared as texts.
-    The seeds of small tables are many: they are merged, not broadcast."""
-    parts = most + agree
+    pairs that both have some are compared as texts."""
+    parts = most + 1
     cuts = [length * i // parts for i in range(parts + 1)]
     words = [(i, min(CODE, length - i)) for i in range(0, length, CODE)]
     bits = lambda lo, hi, word: sum(7 << 3 * (word[0] + word[1] - 1 - p) for p in range(max(lo, word[0]), min(hi, word[0] + word[1])))
     masks = [[bits(cuts[i], cuts[i + 1], word) for word in words] for i in range(parts)]
-    choices = [(sum(1 << i for i in choice), [sum(masks[i][k] for i in choice) for k in range(len(words))]) for choice in combinations(range(parts), agree)]
+    firsts = [[bits(cuts[i], min(cuts[i + 1], cuts[i] + SEED), word) for word in words] for i in range(parts)]
+    keys = ["part", *[f"seed{k}" for k in range(len(words))]]
+    coded = stored(_coded(guides, "grna", "g", length), "near"), stored(_coded(windows, "w", "w", length), "near")
+    rows = parts * sum(df.count() for df in coded)
+    tasks = max(int(guides.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(parts * 4**SEED, rows // SEEDED + 1))
 
     def seeds(df: DataFrame, to: str) -> DataFrame:
-        pieces = [F.struct(F.lit(c).alias("choice"), *[F.col(f"{to}{k}").bitwiseAND(F.lit(m)).alias(f"seed{k}") for k, m in enumerate(ms)]) for c, ms in choices]
-        return merged_in_joins(df.select(*df.columns, F.explode(F.array(*pieces)).alias("x")).select(*df.columns, "x.*"))
-
-    pairs = seeds(_coded(guides, "grna", "g", length), "g").join(seeds(_coded(windows, "w", "w", length), "w"), ["choice", *[f"seed{k}" for k in range(len(words))]])
-    other = [F.col(f"g{k}").bitwiseXOR(F.col(f"w{k}")) for k in range(len(words))]
-    none = F.lit(0)
-    for i in range(parts):
-        unlike = [other[k].bitwiseAND(F.lit(m)) for k, m in enumerate(masks[i]) if m]
-        equal = F.lit(True)
-        for u in unlike:
-            equal = equal & (u == 0)
-        none = none.bitwiseOR(F.when(equal, F.lit(1 << i)).otherwise(0))
-    # The bits up to the choice's highest: the first ``agree`` equal parts are the choice.
-    upto = F.col("choice")
-    for step in (1, 2, 4, 8, 16):
-        upto = upto.bitwiseOR(F.shiftright(upto, step))
-    first = none.bitwiseAND(upto) == F.col("choice")
-    counts = [F.bit_count(x.bitwiseOR(F.shiftright(x, 1)).bitwiseOR(F.shiftright(x, 2)).bitwiseAND(F.lit(sum(1 << 3 * p for p in range(n))))) for x, (_, n) in zip(other, words, strict=True)]
-    coded = counts[0]
-    for c in counts[1:]:
-        coded = coded + c
-    found = pairs.where(first & (coded <= most)).select(_decoded("g", length).alias("grna"), _decoded("w", length).alias("w"), coded.alias("coded"), (F.col("g_text").isNotNull() & F.col("w_text").isNotNull()).alias("both"))
-    letters = F.zip_with(F.split("grna", ""), F.split("w", ""), lambda x, y: (x != y).cast("int"))
-    exact = F.when(F.col("both"), F.aggregate(letters, F.lit(0), lambda a, x: a + x)).otherwise(F.col("coded"))
-    return found.select("grna", "w", exact.alias("mismatches")).where(F.col("mismatches") <= most)
+        pieces = [F.struct(F.lit(i).cast("byte").alias("part"), *[F.col(f"{to}{k}").bitwiseAND(F.lit(m)).alias(f"seed{k}") for k, m in enumerate(ms)]) for i, ms in enumerate(firsts)]
+        dealt = merged_in_joins(df.select(*df.columns, F.explode(F.array(*pieces)).alias("x")).select("x.*", *df.columns))
+        return dealt.repartition(tasks, *keys).groupBy(*keys)
+
+    def met(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = []
+        if left.num_rows and right.num_rows:
+            g, w = (np.column_stack([t[f"{to}{k}"].to_numpy() for k in range(len(words))]) for t, to in ((left, "g"), (right, "w")))
+            texts = left["g_text"].combine_chunks(), right["w_text"].combine_chunks()
+            for a, b, unlike in _near(g, w, length, most, agree, left["part"][0].as_py(), cuts, masks):
+                if len(a):
+                    some = [t.take(pa.array(i)) for t, i in zip(texts, (a, b), strict=True)]
+                    for i in np.flatnonzero(~(pc.is_null(some[0]).to_numpy(zero_copy_only=False) | pc.is_null(some[1]).to_numpy(zero_copy_only=False))).tolist():
+                        unlike[i] = sum(x != y for x, y in zip(some[0][i].as_py(), some[1][i].as_py(), strict=True))
+                    near = pa.table([_texts(g[a], length, some[0]), _texts(w[b], length, some[1]), pa.array(unlike, pa.int32())], names=["grna", "w", "mismatches"])
+                    found.append(near.filter(pa.array(unlike <= most)))
+        return pa.concat_tables(found) if found else pa.table([pa.array([], t) for t in (pa.string(), pa.string(), pa.int32())], names=["grna", "w", "mismatches"])
+
+    return seeds(coded[0], "g").cogroup(seeds(coded[1], "w")).applyInArrow(met, "grna string, w string, mismatches int")
 
 
 def near_pam(seq: Column, start: Column, end: Column, strand: Column, q_start: Column, q_end: Column, length: int, gaps: Column, pam: Pam, max_gap: int) -> Column:
