@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.joins import merged_in_joins
 from strandline.operators.prefix import global_prefix
 from strandline.operators.scratch import stored
 
@@ -151,9 +152,19 @@ def _without_targets(rows: DataFrame, gone: DataFrame) -> DataFrame:
     return per.select("grna", "all", "all_pos", F.col("p.target").alias("targets"), F.col("p.s").alias("s"), F.col("p.n").alias("n"))
 
 
-def greedy_cover(rows: DataFrame, n_targets: int, whole_pos: bool = False) -> list[str]:
+def _last_picks(rows: DataFrame, covered: set, whole_pos: bool) -> DataFrame:
+    """(grna): what the greedy cover picks once no guide has more than one open target: of each
+    open target's guides the first.  A pick then takes nothing from guides of other targets."""
+    one = _open(rows, covered, sums=False)
+    pos = F.col("all_pos") if whole_pos else F.element_at("s", 1) / F.element_at("n", 1)
+    keys = one.select(F.element_at("targets", 1).alias("target"), F.struct(pos.alias("pos"), (F.col("all") - 1).alias("red"), "grna").alias("key"))
+    return keys.groupBy("target").agg(F.min("key").alias("key")).select("key.grna")
+
+
+def greedy_cover(rows: DataFrame, n_targets: int, whole_pos: bool = False) -> tuple[list[str], DataFrame | None]:
     """Guides in the order in which the greedy cover picks them, from ``guide_rows`` of at least
-    one guide for each of ``n_targets`` targets.  Ties go to the guide nearest to 5' on its
+    one guide for each of ``n_targets`` targets, and a table (grna) of those that it picks last,
+    where they have one open target each and are many.  Ties go to the guide nearest to 5' on its
     uncovered targets (``whole_pos``: on all), then to the least redundant, then by name.
 
     Each round counts the uncovered targets of all guides where their rows stand and brings only
@@ -167,7 +178,9 @@ def greedy_cover(rows: DataFrame, n_targets: int, whole_pos: bool = False) -> li
         gains = _open(left, covered, sums=True).select("grna", "gain", "all", "all_pos", (F.col("all_pos") if whole_pos else F.col("s") / F.col("n")).alias("pos"), (F.col("all") - F.col("gain")).alias("red"))
         top = gains.orderBy(F.desc("gain"), "pos", "red", "grna").limit(CANDIDATES).collect()
         if not top:
-            return chosen
+            return chosen, None
+        if top[0]["gain"] == 1 and len(top) == CANDIDATES:
+            return chosen, stored(_last_picks(left, covered, whole_pos), "cover")
         sums = list(accumulate(r["gain"] for r in top))
         first = top[: max(1, sum(n <= PAIRS for n in sums))]
         whole = len(first) == len(top) < CANDIDATES
@@ -183,7 +196,7 @@ def greedy_cover(rows: DataFrame, n_targets: int, whole_pos: bool = False) -> li
         chosen += picked
         covered |= new
         if whole or len(covered) >= open_:
-            return chosen
+            return chosen, None
         if 2 * len(covered) >= open_ or len(covered) > PAIRS:
             left, covered, open_ = stored(_open(left, covered, sums=False), "cover"), set(), open_ - len(covered)
 
@@ -197,7 +210,8 @@ def exclusive_sets(hits: DataFrame, n_sets: int = 1, targets: DataFrame | None =
     the one of least rank (the least of several), then the first by name; guides without a
     rank come last.  ``approve`` is shown each set and returns the guides that it rejects:
     they leave the candidates, the others return to them, and the set is made anew.  Only
-    the sets and a bounded part of a round's pairs come to the driver.
+    a bounded part of a round's pairs comes to the driver, and of the sets the guides picked
+    for several targets, or all where ``approve`` is to see them.
     """
     if algorithm not in ("LAR", "greedy"):
         raise ValueError(f"no such set cover: {algorithm!r}")
@@ -208,20 +222,29 @@ def exclusive_sets(hits: DataFrame, n_sets: int = 1, targets: DataFrame | None =
     rows = stored(guide_rows(pairs), "cover")
     held = lambda some: some.select(F.explode("targets").alias("target")).distinct().count()
     n_targets, out, rejected = held(rows) if targets is None else asked.count(), [], []
-    while len({i for i, _ in out}) < n_sets:
+    number, last = 1, None
+    while number <= n_sets:
         free, used = rows, [g for _, g in out] + rejected
         if used:
-            free = rows.join(F.broadcast(hits.sparkSession.createDataFrame([(g,) for g in used], "grna string")), "grna", "left_anti")
+            free = free.join(F.broadcast(hits.sparkSession.createDataFrame([(g,) for g in used], "grna string")), "grna", "left_anti")
+        if last is not None:
+            free = stored(free.join(merged_in_joins(last), "grna", "left_anti"), "cover")
         if not n_targets or held(free) < n_targets:
             break
-        number = len({i for i, _ in out}) + 1
-        picked = greedy_cover(free, n_targets, whole_pos=algorithm == "greedy")
+        picked, rest = greedy_cover(free, n_targets, whole_pos=algorithm == "greedy")
+        if approve and rest is not None:
+            picked, rest = picked + sorted(r[0] for r in rest.collect()), None
         bad = set(approve(number, picked)) & set(picked) if approve else set()
         if bad:
             rejected += sorted(bad)
-        else:
-            out += [(number, g) for g in picked]
-    return hits.sparkSession.createDataFrame(out, "set_number int, grna string")
+            continue
+        out += [(number, g) for g in picked]
+        if rest is not None:
+            rest = rest.select(F.lit(number).alias("set_number"), "grna")
+            last = rest if last is None else last.unionByName(rest)
+        number += 1
+    sets = hits.sparkSession.createDataFrame(out, "set_number int, grna string")
+    return sets if last is None else sets.unionByName(last)
 
 
 def one_from_each_group(groups: DataFrame, n_sets: int | None = None, from_3prime: bool = False) -> DataFrame:

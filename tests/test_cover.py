@@ -56,6 +56,19 @@ def test_cover_in_rounds_equals_the_greedy_cover(spark, monkeypatch, candidates,
     assert sorted(map(tuple, found)) == plain_sets(rows, 2, whole_pos=True)
 
 
+@pytest.mark.parametrize("algorithm", ["LAR", "greedy"])
+def test_guides_of_one_target_are_picked_at_once(spark, monkeypatch, algorithm):
+    monkeypatch.setattr(cov, "CANDIDATES", 5)
+    rounds, opened = [], cov._open
+    monkeypatch.setattr(cov, "_open", lambda *a, **k: rounds.append(k["sums"]) or opened(*a, **k))
+    rng = random.Random(9)
+    rows = [(f"g{t}{i}", f"t{t}", s := rng.randrange(5), s + 20, "+", 100) for t in range(40) for i in range(3)]
+    rows += [("wide", f"t{t}", 3, 23, "+", 100) for t in range(3)] + [("g00", "t0", 1, 21, "-", 100)]
+    found = cov.exclusive_sets(spark.createDataFrame(rows, HIT), 3, algorithm=algorithm).collect()
+    assert sorted(map(tuple, found)) == plain_sets(rows, 3, whole_pos=algorithm == "greedy") and len(found) > 3 * 37
+    assert rounds.count(True) <= 6  # one pick of 5 candidates a round were 24
+
+
 def test_rounds_do_not_write_the_pairs_anew(spark, monkeypatch):
     written, store = [], cov.stored
     monkeypatch.setattr(cov, "CANDIDATES", 7)
