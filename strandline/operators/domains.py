@@ -2,7 +2,8 @@
 
 A window whose score reaches the threshold has, among the words of five (or three) residues
 that a matrix is cut into, one that reaches its share of it.  Words that do are listed for each
-matrix and meet the peptides' words by equality; only windows met are scored whole.
+matrix and meet the peptides' words by equality, in groups of some matrices and some peptides;
+windows met are scored there, and left as soon as they cannot reach the threshold.
 """
 
 from __future__ import annotations
@@ -13,16 +14,18 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.operators.homology import COMPLEMENT
 from strandline.operators.joins import merged_in_joins
 from strandline.operators.scratch import stored
-from strandline.operators.sequences import genetic_code, letters, windows
+from strandline.operators.sequences import genetic_code
 
-#: Positions of a matrix at most, and places of a peptide that are scored in one row.
-LONGEST, BLOCK = 16_384, 4_096
+#: Positions of a matrix at most; of all matrices, and residues of all peptides, of a group; and
+#: windows looked at together.
+LONGEST, POSITIONS, PEPTIDES, MET = 16_384, 163_840, 25_000_000, 262_144
 RESIDUES = "ACDEFGHIKLMNPQRSTVWY"
 WORD = 3
 #: Lengths of words, the longest first, and how many of a longer one may reach its share.
@@ -65,36 +68,58 @@ def _reaching(word: np.ndarray, share: float, room: int) -> np.ndarray | None:
     return rows
 
 
+def _seeds(m: np.ndarray, least: float) -> list[tuple[int, np.ndarray]]:
+    """The words of a matrix that reach their share, as rows of residues at their first position, of
+    the longest length of ``WORDS`` at which they are not too many: longer ones are met less by chance."""
+    for size in WORDS:
+        words, found = len(m) // size, []
+        # What the residues behind the last word can add at most is taken off.
+        share = (least - np.maximum(m[words * size :].max(1, initial=-np.inf), 0).sum()) / words if words else np.inf
+        for w in range(words):
+            rows = _reaching(m[w * size : (w + 1) * size], share, MOST_SEEDS if size > WORD else (len(RESIDUES) + 1) ** WORD)
+            if rows is None:
+                break
+            found.append((w * size, rows))
+        if words and len(found) == words:
+            return found
+    return []
+
+
 def _words(matrices: DataFrame) -> DataFrame:
-    """(domain, size, off, seed): the words of each matrix that reach their share, of the longest
-    length of ``WORDS`` at which they are not too many: longer ones are met less by chance."""
+    """(domain, size, off, seed): the words of each matrix that reach their share (see ``_seeds``)."""
     letters_ = np.array(list(RESIDUES + "X"))
 
-    def seeds(m: np.ndarray, least: float) -> Iterator[tuple[int, np.ndarray]]:
-        for size in WORDS:
-            words, found = len(m) // size, []
-            # What the residues behind the last word can add at most is taken off.
-            share = (least - np.maximum(m[words * size :].max(1, initial=-np.inf), 0).sum()) / words if words else np.inf
-            for w in range(words):
-                rows = _reaching(m[w * size : (w + 1) * size], share, MOST_SEEDS if size > WORD else len(letters_) ** WORD)
-                if rows is None:
-                    break
-                found.append((w * size, rows))
-            if words and len(found) == words:
-                return found
-        return []
-
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
                 m = np.array(r["scores"], float).reshape(-1, len(RESIDUES))
-                for at, rows in seeds(np.hstack([m, np.full((len(m), 1), -4.0)]), r["least"]):
+                for at, rows in _seeds(np.hstack([m, np.full((len(m), 1), -4.0)]), r["least"]):
                     n = len(rows)
                     yield pa.RecordBatch.from_arrays([pa.array([r["domain"]] * n, pa.string()), pa.array([len(m)] * n, pa.int32()), pa.array([at] * n, pa.int32()), pa.array(["".join(x) for x in letters_[rows]], pa.string())], names=["domain", "size", "off", "seed"])
 
     return matrices.select("domain", "least", "scores").mapInArrow(read, "domain string, size int, off int, seed string")
 
 
+def _with_words(table: DataFrame) -> DataFrame:
+    """``table`` (domain, size, scores, least) with the words of each matrix (see ``_seeds``): their
+    length, and of each its residues as one number and its first position in the matrix."""
+    kind = "domain string, size int, scores array<double>, least double, word int, seeds array<int>, offs array<int>"
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            added = []
+            for size, scores, least in zip(*(b.column(c).to_pylist() for c in ("size", "scores", "least")), strict=True):
+                m = np.hstack([np.array(scores, float).reshape(size, -1), np.full((size, 1), -4.0)])
+                found = [(at, rows) for at, rows in _seeds(m, least) if len(rows)]
+                k = found[0][1].shape[1] if found else WORD
+                codes = [rows.astype(np.int32) @ ((len(RESIDUES) + 1) ** np.arange(k)[::-1]).astype(np.int32) for _, rows in found]
+                added.append((k, np.concatenate([np.empty(0, np.int32), *codes]), np.concatenate([np.empty(0, np.int32), *[np.full(len(rows), at, np.int32) for at, rows in found]])))
+            words, seeds, offs = zip(*added, strict=True) if added else ((), (), ())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("domain", "size", "scores", "least")), pa.array(words, pa.int32()), pa.array(seeds, pa.list_(pa.int32())), pa.array(offs, pa.list_(pa.int32()))], names=[x.split()[0] for x in kind.split(", ")])
+
+    return table.select("domain", "size", "scores", "least").mapInArrow(read, kind)
+
+
 def domain_hits(matrices: DataFrame, peptides: DataFrame, expect: float = 0.01) -> DataFrame:
     """(domain, target_id, strand, frame, at, size, score): windows of ``peptides`` (see
     ``six_frames``) as long as a matrix whose summed scores are expected by chance ``expect``
@@ -113,46 +138,88 @@ def domain_hits(matrices: DataFrame, peptides: DataFrame, expect: float = 0.01)
     least = (F.log(F.col("size") * F.lit(float(max(residues, 1)) * WEIGHT)) - log(expect)) / RATE
     table = sized.select("domain", "size", scores.alias("scores"), least.alias("least"))
     keep = ["target_id", "strand", "frame"]
-    words = stored(_words(table), "words")
-    met = None
-    for k in [r[0] for r in words.select(F.length("seed")).distinct().collect()] or [WORD]:  # a row for each of ``WORDS``
-        w = windows(peptides, keep, k, seq="peptide").select(*keep, F.col("at").alias("pos"), letters(F.col("part"), F.col("at") - F.col("lo"), F.lit(k)).alias("seed"))
-        some = w.withColumn("seed", F.regexp_replace("seed", f"[^{RESIDUES}]", "X")).join(merged_in_joins(words.where(F.length("seed") == k)), "seed")
-        some = some.select("domain", *keep, (F.col("pos") - F.col("off")).alias("at"), "size")
-        met = some if met is None else met.unionByName(some)
-    met = met.where("at >= 0").distinct()
-    # Each peptide once with the places met on it and their matrix.
-    places = met.groupBy("domain", *keep, F.floor(F.col("at") / BLOCK).alias("block")).agg(F.sort_array(F.collect_set("at")).alias("places"))
-    rows = places.join(merged_in_joins(peptides.select(*keep, "peptide")), keep).select("domain", *keep, "places", F.substr("peptide", F.element_at("places", 1) + 1, F.lit(BLOCK + LONGEST)).alias("part"))
-    rows = rows.join(merged_in_joins(table), "domain").select("domain", *keep, "places", "part", "size", "scores", "least")
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = np.full(256, len(RESIDUES), np.int64)
-        code[np.frombuffer(RESIDUES.encode(), np.uint8)] = np.arange(len(RESIDUES))
-        for b in batches:
-            col = dict(zip(b.schema.names, b.columns, strict=True))
-            text = col["part"].cast(pa.large_binary())
-            begin = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + b.num_rows + 1]
-            letter = code[np.frombuffer(text.buffers()[2] or b"", np.uint8)]
-            place, first = col["places"].values.to_numpy(), col["places"].offsets.to_numpy()
-            scores, start = col["scores"].values.to_numpy(), col["scores"].offsets.to_numpy()
-            size, least = col["size"].to_numpy(), col["least"].to_numpy()
-            domain = col["domain"].dictionary_encode().indices.to_numpy()
-            edges = np.flatnonzero(np.append(True, domain[1:] != domain[:-1])) if b.num_rows else []
-            for lo, hi in zip(edges, [*edges[1:], b.num_rows], strict=True):
-                k = int(size[lo])
-                m = np.hstack([scores[start[lo] : start[lo + 1]].reshape(k, -1), np.full((k, 1), -4.0)])
-                row = np.repeat(np.arange(lo, hi), np.diff(first[lo : hi + 1]))
-                at = place[first[lo] : first[hi]]
-                on = at - place[first[row]]
-                inside = on + k <= begin[row + 1] - begin[row]
-                row, at, on = row[inside], at[inside], on[inside]
-                total = m[np.arange(k), letter[(begin[row] + on)[:, None] + np.arange(k)]].sum(1)
-                good = total >= least[row]
-                take = pa.array(row[good])
-                yield pa.RecordBatch.from_arrays([*(col[c].take(take) for c in ("domain", *keep)), pa.array(at[good], pa.int32()), pa.array(size[row[good]], pa.int32()), pa.array(total[good])], names=["domain", *keep, "at", "size", "score"])
-
-    return rows.mapInArrow(score, "domain string, target_id string, strand string, frame int, at int, size int, score double")
+    table = stored(_with_words(table), "matrices")
+    blocks = (table.agg(F.sum("size")).first()[0] or 0) // POSITIONS + 1
+    parts = max(residues // PEPTIDES + 1, -(-int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")) // blocks))
+    dealt = lambda df: df.repartition(blocks * parts, "block", "part").groupBy("block", "part")
+    some = table.select(F.pmod(F.hash("domain"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), *table.columns)
+    texts = peptides.where(F.length("peptide") >= WORD).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.hash(*keep), F.lit(parts)).alias("part"), *keep, "peptide")
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = []
+        if left.num_rows and right.num_rows:
+            for domain, row, at, size, total in _scored(left, right["peptide"].combine_chunks()):
+                found.append(pa.table([left["domain"].take(pa.array(domain)), *(right[c].take(pa.array(row)) for c in keep), pa.array(at, pa.int32()), pa.array(size, pa.int32()), pa.array(total)], names=["domain", *keep, "at", "size", "score"]))
+        kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
+        return pa.concat_tables(found).combine_chunks() if found else pa.table([pa.array([], t) for t in kinds], names=["domain", *keep, "at", "size", "score"])
+
+    return dealt(some).cogroup(dealt(texts)).applyInArrow(score, "domain string, target_id string, strand string, frame int, at int, size int, score double")
+
+
+def _scored(matrices: pa.Table, peptides: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
+    """Rows of ``matrices`` (see ``_with_words``) and of ``peptides``, places, sizes and scores of all
+    windows whose scores reach the matrix's least."""
+    other = len(RESIDUES)
+    code = np.full(256, other, np.int32)
+    code[np.frombuffer(RESIDUES.encode(), np.uint8)] = np.arange(other)
+    ends = np.cumsum(np.array([0, *pc.binary_length(peptides).to_numpy()]))
+    letter = code[np.frombuffer("".join(peptides.to_pylist()).encode(), np.uint8)]
+    row = np.repeat(np.arange(len(peptides), dtype=np.int32), np.diff(ends))
+    sizes, least = matrices["size"].to_numpy(), matrices["least"].to_numpy()
+    whole = matrices["scores"].combine_chunks().flatten().to_numpy().reshape(-1, other)
+    whole, base = np.hstack([whole, np.full((len(whole), 1), -4.0)]), np.cumsum(sizes) - sizes
+    tables, flat = np.split(whole, base[1:]), whole.ravel()
+    # What all positions from one on can add at most.
+    rest = np.concatenate([np.cumsum(t.max(1)[::-1])[::-1] for t in tables])
+    lengths, seeds, offs = matrices["word"].to_numpy(), matrices["seeds"].combine_chunks(), matrices["offs"].combine_chunks()
+    hits = []
+    for k in np.unique(lengths).tolist():
+        mine = np.flatnonzero(lengths == k)
+        seed, off = (x.take(pa.array(mine)).flatten().to_numpy() for x in (seeds, offs))
+        domain = np.repeat(mine, seeds.value_lengths().to_numpy()[mine])
+        order = np.argsort(seed, kind="stable")
+        domain, off = domain[order], off[order]
+        count = np.bincount(seed, minlength=(other + 1) ** k)
+        begin = np.cumsum(count) - count
+        last = len(letter) - k + 1
+        word = np.zeros(max(last, 0), np.int32)
+        for j in range(k):
+            word = word * np.int32(other + 1) + letter[j : j + last]
+        places = np.flatnonzero(count[word])
+        places = places[places + k <= ends[row[places] + 1]]
+        times = count[word[places]]
+        upto = np.cumsum(times)
+        lo = 0
+        while lo < len(places):
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + MET, "right")))
+            n = times[lo:hi]
+            at = np.repeat(places[lo:hi], n)
+            of = np.arange(len(at)) + np.repeat(begin[word[places[lo:hi]]] - (np.cumsum(n) - n), n)
+            d, r = domain[of], row[at]
+            at = at - off[of]
+            inside = (at >= ends[r]) & (at + sizes[d] <= ends[r + 1])
+            d, at = d[inside], at[inside]
+            total, p = np.zeros(len(d)), 0
+            done = []
+            while len(d):
+                ready = sizes[d] == p
+                good = ready & (total >= least[d] - 1e-6)
+                if good.any():
+                    done.append((d[good], at[good]))
+                open_ = ~ready if p % 5 else ~ready & (total + rest[np.minimum(base[d] + p, len(rest) - 1)] >= least[d] - 1e-6)
+                d, at, total = d[open_], at[open_], total[open_]
+                total += flat[(base[d] + p) * (other + 1) + letter[at + p]]
+                p += 1
+            hits += done
+            lo = hi
+    if hits:
+        pairs = np.unique(np.stack([np.concatenate(x) for x in zip(*hits, strict=True)], 1), axis=0)
+        for i in np.unique(pairs[:, 0]).tolist():
+            at = pairs[pairs[:, 0] == i, 1]
+            total = tables[i][np.arange(sizes[i]), letter[at[:, None] + np.arange(sizes[i])]].sum(1)
+            good = total >= least[i]
+            at, total = at[good], total[good]
+            yield np.full(len(at), i), row[at], at - ends[row[at]], np.full(len(at), sizes[i]), total
 
 
 def domain_ranges(hits: DataFrame, peptides: DataFrame) -> DataFrame:

@@ -70,3 +70,13 @@ def test_words_of_five_where_they_are_few(spark):
     rows = [("d", 40.0, [8.0 if a == p % 20 else -4.0 for p in range(10) for a in range(20)]), ("flat", 1.0, [1.0] * 200)]
     found = dm._words(spark.createDataFrame(rows, "domain string, least double, scores array<double>"))
     assert {(r.domain, len(r.seed)) for r in found.select("domain", "seed").collect()} == {("d", 5), ("flat", 3)}
+
+
+def test_meetings_are_scored_within_groups(spark):
+    """No row for each meeting of a word is shuffled: matrices and peptides are dealt, and that is all."""
+    m = spark.createDataFrame([("d", p, "W", 90.0) for p in range(6)], "domain string, pos int, residue string, score double")
+    peptides = spark.createDataFrame([("t", "+", 0, 24, "WWWWWWWW")], "target_id string, strand string, frame int, n int, peptide string")
+    hits = dm.domain_hits(m, peptides)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Join" not in plan and "Aggregate" not in plan
+    assert sorted((r.at, r.score) for r in hits.collect()) == [(i, 540.0) for i in range(3)]
