@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandline.operators import joins
-from strandline.operators.features import with_attribute_map
+from strandline.operators.features import with_attribute_map, with_ids
 from strandline.operators.joins import ROWS, SORTED_ROWS, dealt, spread
 from strandline.operators.sequences import feature_sequences
 from strandline.plans import catalog
@@ -36,6 +37,35 @@ def test_attribute_maps(spark):
     assert [r["attributes"] for r in found] == [{"Name": ["a"], "Parent": ["b", "c", "d"], "x": ["1=2"]}, {}, None]
 
 
+def test_attribute_maps_of_odd_texts(spark):
+    """Against a plain parser: no text, empty text, items without ``=``, names that repeat, in order."""
+
+    def plain(text):
+        out = {}
+        for kv in (text or "").split(";"):
+            if "=" in kv:
+                name, values = kv.split("=", 1)
+                out.setdefault(name.strip(" "), []).extend(values.split(","))
+        return None if text is None else list(out.items())
+
+    texts = [None, "", ";", "=", "a=", "=b", "x", "x;y=1=2,3;;", "a=1;a=2,3;b=4", "b=1;a=2; b =,;c=;a=3", "A=1;a=2", "=1;=2", "\u00e9=\u00fc,\u00df;\u00e9=1"]
+    found = with_attribute_map(spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *texts])], "k int, attrs string")).orderBy("k").select(F.map_entries("attributes").alias("x")).collect()
+    assert [None if r["x"] is None else [(e["key"], e["value"]) for e in r["x"]] for r in found] == [plain(t) for t in [*texts, *texts]]
+
+
+def test_attributes_are_entries_as_they_stand_unless_a_name_repeats(spark, sf_dir):
+    """Names are looked up among the items of their text only in the branch for names that repeat."""
+    for name in ("features_by_id", "attr_lookup"):
+        plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "map_from_entries" in plan and "stringsplitsql" not in plan, name
+
+
+def test_features_of_ids_keep_null_and_repeated_rows(spark):
+    features = spark.createDataFrame([(1, "a"), (2, None), (3, "b"), (3, "b"), (4, ""), (5, "c")], "line_no int, id string")
+    ids = spark.createDataFrame([("a",), ("b",), ("b",), (None,), ("",)], "id string")
+    assert sorted((r["line_no"], r["id"]) for r in with_ids(features, ids).collect()) == [(1, "a"), (3, "b"), (3, "b"), (4, "")]
+
+
 def test_large_tables_are_sorted_in_more_tasks(spark):
     usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert dealt(spark.range(100), ["id"], 3 * usual * SORTED_ROWS).rdd.getNumPartitions() == 3 * usual + 1
