design_guides: a guide is one row in the background search, only marked windows meet masks

Symptom: design_guides shuffled 75 MB and read 83 on an input of about 11 MB.
Evidence: event log by stage at sf0.1: guides went out twice, each row with the guide and its other strand (16.5 MB); masks were made distinct on both strands (3.9), and every window of the background was sent with its piece to meet them (7.1).
Fix: guide and window meet by the lesser of both strands and the strand is told after the join; masks are made distinct before they are turned; seeds of masks begin at the first G where all masks of that length have one, so only windows beginning with G are sent, else all as before.
Effect: at 1 GB of input CPU 1212 -> 1225 s, shuffle 5.74 -> 3.95 GB, spill 0.00 -> 0.00 GB, read 1.46 -> 1.46 GB, longest task 7 -> 8 s, most memory of a task 403 -> 403 MB; at 6 GB of input CPU 6535 -> 6249 s, shuffle 34.50 -> 23.73 GB, spill 0.00 -> 0.00 GB, read 8.64 -> 8.65 GB, longest task 16 -> 18 s, most memory of a task 604 -> 604 MB; with hot keys, at 1 GB of input CPU 1260 -> 1287 s, shuffle 5.74 -> 3.95 GB, spill 0.00 -> 0.00 GB, read 1.46 -> 1.46 GB, longest task 7 -> 7 s, most memory of a task 403 -> 403 MB.

@@ -58,15 +58,18 @@ def background_hits(guides: DataFrame, background: DataFrame, most: int) -> Data
     """(grna, molecule, strand, start, end, expanded): where guides (grna) of one length stand in
     ``background`` (molecule, seq) with ``most`` edits or fewer, and the alignment a letter a
     column (see ``btop_expanded``): all places without gaps, and the best of those with."""
-    forms = guides.select(F.upper("grna").alias("grna")).distinct()
-    length = forms.agg(F.max(F.length("grna"))).first()[0] or 1
-    both = F.array(F.struct(F.lit("+").alias("strand"), F.col("grna").alias("form")), F.struct(F.lit("-").alias("strand"), sq.reverse_complement(F.col("grna")).alias("form")))
-    forms = merged_in_joins(forms.select("grna", F.explode(both).alias("x")).select("grna", "x.*"))
+    own = guides.select(F.upper("grna").alias("grna")).distinct()
+    length = own.agg(F.max(F.length("grna"))).first()[0] or 1
+    both = F.explode(F.array(*[F.struct("grna", F.lit(strand).alias("strand"), form.alias("form")) for strand, form in (("+", F.col("grna")), ("-", sq.reverse_complement(F.col("grna"))))])).alias("x")
     places = sq.windows(background.select("molecule", F.upper("seq").alias("s")), ["molecule"], length)
     places = places.select("molecule", F.col("at").alias("start"), sq.letters(F.col("part"), F.col("at") - F.col("lo"), F.lit(length)).alias("w"))
     if most == 0:
-        found = places.join(forms, F.col("w") == F.col("form"))
-        return found.select("grna", "molecule", "strand", "start", (F.col("start") + length).alias("end"), F.lit("." * length).alias("expanded"))
+        # A guide and a window meet by what both strands share, so that a guide is one row, and no text is sent twice.
+        met = sq.strandless(places, "w").join(merged_in_joins(sq.strandless(own, "grna")), "either")
+        found = met.select("molecule", "start", sq.of_strandless("w").alias("w"), sq.of_strandless("grna").alias("grna"))
+        found = found.select("molecule", "start", "w", both).where("x.form = w")
+        return found.select("x.grna", "molecule", "x.strand", "start", (F.col("start") + length).alias("end"), F.lit("." * length).alias("expanded"))
+    forms = merged_in_joins(own.select(both).select("x.*"))
     near = sr.hamming_hits(forms.select(F.col("form").alias("grna")), places, length, most).select(F.col("grna").alias("form"), "w")
     along = F.array_join(F.zip_with(F.split("form", ""), F.split("w", ""), lambda x, y: F.when(x == y, ".").otherwise("m")), "")
     whole = near.join(forms, "form").join(places, "w").select("grna", "molecule", "strand", "start", (F.col("start") + length).alias("end"), F.when(F.col("strand") == "-", F.reverse(along)).otherwise(along).alias("expanded"))

@@ -20,6 +20,8 @@ from strandline.operators.sequences import letters, reverse_complement, windows
 #: Bases by which sequences to be masked are looked up: the most that a sequence has, or all
 #: of one that is shorter.
 SEEDS = (8, 12, 16, 24)
+#: The letter at which the bases to look up begin, in sequences that all have it early enough.
+MARK = "G"
 #: Letters with a code of three bits of their own, and how many of them a long holds.
 LETTERS, CODE = "ACGTUN-", 21
 #: Letters by which guides and windows are dealt, rows so dealt that a task meets, and pairs looked at
@@ -249,25 +251,30 @@ def masked_regions(masks: DataFrame, subjects: DataFrame, perfect: DataFrame | N
     """(source, molecule, start, end, masked): where a sequence to be masked (seq_id, seq)
     stands whole and unchanged in ``subjects`` (source, molecule, seq), on either strand.
 
-    Sequences meet windows by their first bases, each by as many as its length allows (see
-    ``SEEDS``), and are compared whole: a short one costs its own meetings only.
+    Sequences meet windows by some of their bases, each by as many as its length allows (see
+    ``SEEDS``), and are compared whole: a short one costs its own meetings only.  These bases
+    begin at the first ``MARK``, so that only windows that begin with it are shuffled; at the
+    first base where any sequence with as many bases has none before its last ones.
     ``perfect``: rows of a hit table (source, molecule, start, end, masked, q_start, q_end,
     q_len, mismatches, gaps) count besides where a hit covers its query without mismatch and gap.
     """
-    m = masks.where(F.length("seq") > 0).select(F.col("seq_id").alias("masked"), F.upper("seq").alias("f"))
-    forms = m.select("masked", F.explode(F.array("f", reverse_complement(F.col("f")))).alias("f")).distinct()
+    m = masks.where(F.length("seq") > 0).select(F.col("seq_id").alias("masked"), F.upper("seq").alias("f")).distinct()
+    forms = m.select("masked", F.explode(F.array_distinct(F.array("f", reverse_complement(F.col("f"))))).alias("f"))
     size = F.length("f")
     seed = F.when(size < SEEDS[0], size).otherwise(F.greatest(*[F.when(size >= k, k).otherwise(0) for k in (0, *SEEDS)]))
+    marked = F.instr(F.substr("f", F.lit(1), size - F.col("k") + 1), MARK)
     # Stored: filters on a derived text would be pushed to the scan of a small file, one task's work.
-    forms = stored(forms.withColumn("k", seed), "masks")
+    forms = stored(forms.withColumn("k", seed).withColumn("marked", marked), "masks")
     found = masks.sparkSession.createDataFrame([], "source string, molecule string, start int, end int, masked string")
-    for r in forms.groupBy("k").agg(F.max(size).alias("longest")).orderBy("k").collect():  # a row for each length of seeds
-        k = r["k"]
-        some = forms.where(F.col("k") == k).withColumn("w", F.substr("f", F.lit(1), F.lit(k)))
-        rows = windows(subjects.select("source", "molecule", F.upper("seq").alias("s")), ["source", "molecule"], k, 0, r["longest"])
-        at = F.col("at") - F.col("lo")
-        met = rows.withColumn("w", letters(F.col("part"), at, F.lit(k))).join(some, "w").where(letters(F.col("part"), at, size) == F.col("f"))
-        found = found.unionByName(met.select("source", "molecule", F.col("at").alias("start"), (F.col("at") + size).alias("end"), "masked"))
+    for r in forms.groupBy("k").agg(F.max(size).alias("longest"), F.min("marked").alias("least"), F.max("marked").alias("most")).orderBy("k").collect():  # a row for each length of seeds
+        k, all_marked = r["k"], r["least"] > 0
+        some = forms.where(F.col("k") == k).withColumn("before", F.col("marked") - 1 if all_marked else F.lit(0)).withColumn("w", F.substr("f", F.col("before") + 1, F.lit(k)))
+        rows = windows(subjects.select("source", "molecule", F.upper("seq").alias("s")), ["source", "molecule"], k, r["most"] - 1 if all_marked else 0, r["longest"])
+        at, start = F.col("at") - F.col("lo"), F.col("at") - F.col("before")
+        if all_marked:
+            rows = rows.where(letters(F.col("part"), at, F.lit(1)) == MARK)
+        met = rows.withColumn("w", letters(F.col("part"), at, F.lit(k))).join(some, "w").where((start >= 0) & (letters(F.col("part"), at - F.col("before"), size) == F.col("f")))
+        found = found.unionByName(met.select("source", "molecule", start.alias("start"), (start + size).alias("end"), "masked"))
     found = found.distinct()
     if perfect is not None:
         whole = perfect.where("q_start = 0 and q_end = q_len and mismatches = 0 and gaps = 0").select("source", "molecule", "start", "end", "masked")

@@ -42,6 +42,21 @@ def reverse_complement(seq: Column) -> Column:
     return F.reverse(F.translate(seq, BASES, COMPLEMENTS))
 
 
+def strandless(df: DataFrame, seq: str) -> DataFrame:
+    """``df`` with ``either``, the same text for the sequence ``seq`` (upper case) and its reverse
+    complement, in its place: the lesser of both, U read as T.  (seq)_turned tells which of the two it was,
+    (seq)_other is the sequence itself where it has a U and cannot be told from these.  Rows without it go."""
+    text, rna = F.col(seq), F.contains(F.col(seq), F.lit("U"))
+    plain = F.when(rna, F.translate(text, "U", "T")).otherwise(text)
+    either = F.coalesce(F.least(plain, reverse_complement(plain)), F.lit(""))  # never null, so that a join has nothing to test
+    return df.where(text.isNotNull()).withColumns({"either": either, f"{seq}_turned": plain != either, f"{seq}_other": F.when(rna, text)}).drop(seq)
+
+
+def of_strandless(seq: str) -> Column:
+    """The sequence that ``strandless`` took."""
+    return F.coalesce(f"{seq}_other", F.when(F.col(f"{seq}_turned"), reverse_complement(F.col("either"))).otherwise(F.col("either")))
+
+
 def gc_content(seq: Column) -> Column:
     """(G + C) / length without gaps; other letters count in the length; null for none."""
     bare = F.upper(F.replace(seq, F.lit("-"), F.lit("")))

@@ -95,6 +95,20 @@ def test_checks_and_sets(spark, sequences, design, most, motif):
     assert {r[0] for r in des.uncovered(result).collect()} == {t for v in guides.values() for t, *_ in v} - {t for v in good.values() for t, *_ in v}
 
 
+def test_exact_places_of_guides_on_both_strands(spark):
+    """Guides in lower case, twice, with a U, equal to their other strand, null and of another length, against a plain search."""
+    plain = dna(20, 31)
+    guides = [plain, plain.lower(), turned(dna(20, 32)), "ACGTACGTACACGTACGTAC"[:10] + turned("ACGTACGTAC"), "U" + dna(19, 33), "T" + dna(19, 33), dna(12, 34), None]
+    molecules = {"a": plain + "AA" + turned(plain) + plain, "b": dna(20, 32) + guides[3] + guides[4] + "g" * 20, "c": "T" + dna(19, 33) + turned("T" + dna(19, 33)), "d": plain[:19], "e": None}
+    found = des.background_hits(spark.createDataFrame([(g,) for g in guides], "grna string").repartition(3), spark.createDataFrame(list(molecules.items()), "molecule string, seq string"), 0)
+    turn = lambda s: s.translate(str.maketrans("ACGTU", "TGCAA"))[::-1]
+    expected = {(g, m, strand, at, at + 20) for g in {g.upper() for g in guides if g and len(g) == 20} for m, s in molecules.items() if s for strand, form in (("+", g), ("-", turn(g))) for at in range(len(s) - 19) if s[at : at + 20].upper() == form}
+    rows = [(r.grna, r.molecule, r.strand, r.start, r.end) for r in found.collect()]
+    assert len(rows) == len(expected) >= 9 and set(rows) == expected
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(either#" in plan and not any("form#" in x for x in plan.split("\n") if "Exchange" in x)  # a guide is one row
+
+
 def test_mismatches_and_gaps_take_effect(spark, sequences):
     targets, background = sequences
     t, b = frames(spark, targets, background)

@@ -55,6 +55,32 @@ def test_masks_of_many_lengths(spark):
     assert len(rows) == len(expected) and {(r.masked, r.start, r.end) for r in rows} == expected
 
 
+@pytest.mark.parametrize("marked", [True, False])
+def test_only_marked_windows_meet_masks_that_all_have_a_mark(spark, marked):
+    """Masks as texts, in lower case, twice, turned, equal to their other strand, null, empty and with a U;
+    one without a mark where its bases may begin makes all of that length meet all windows."""
+    from strandline.operators.search import masked_regions
+
+    s = molecule(1500, 7)
+    turn = lambda x: x.translate(str.maketrans("ACGTU", "TGCAA"))[::-1]
+    s = s[:700] + "TTTTTTTCTTTTTTTTTTTTTTTTTTTTTTTTTTTT" + "ACGTTGCAACGTTGCAACGTTGCAACGT" + s[700:]
+    masks = [("a", s[600:640].lower()), ("a", s[600:640]), ("b", turn(s[1:90])), ("p", "ACGTTGCAACGTTGCAACGTTGCAACGT"), ("u", "U" + s[300:330]), ("n", None), ("e", ""), ("first", s[:30] + s[30:60]), ("last", s[-40:])]
+    masks += [] if marked else [("t", "TTTTTTTCTTTTTTTTTTTTTTTTTTTTTTTT")]
+    found = masked_regions(spark.createDataFrame(masks, "seq_id string, seq string").repartition(3), spark.createDataFrame([("f", "m", s), ("f", "x", None), ("f", "y", s[:5])], "source string, molecule string, seq string"))
+    expected = {(name, m.start(), m.start() + len(q)) for name, q in masks if q for form in (q.upper(), turn(q.upper())) for m in re.finditer(f"(?={form})", s)}
+    rows = found.collect()
+    assert len(rows) == len(expected) >= 5 and {(r.masked, r.start, r.end) for r in rows} == expected
+    assert ("as string) = G)" in found._jdf.queryExecution().executedPlan().toString()) == marked
+
+
+def test_both_strands_have_one_text(spark):
+    texts = ["ACGT", "AACC", "GGTT", "UUCG", "CGAA", "TTCG", "NRYN", "", "A-x", None]
+    found = sq.strandless(spark.createDataFrame([(t, t) for t in texts], "s string, t string"), "s").select("t", "either", sq.of_strandless("s").alias("s")).collect()
+    assert [r.s for r in found] == [r.t for r in found] == texts[:-1]
+    same = {r.t: r.either for r in found}
+    assert same["AACC"] == same["GGTT"] and same["UUCG"] == same["CGAA"] == same["TTCG"] and same["ACGT"] == "ACGT"
+
+
 @pytest.mark.parametrize("name", ["design_guides", "mask_identical"])
 def test_masks_are_derived_once(spark, sf_dir, name):
     from strandline.plans import catalog
